@@ -5,7 +5,9 @@ from __future__ import annotations
 from .common import table
 from .linededup import line_dedup_digest
 from .oracles import ORACLES  # noqa: F401
+from .simhash import simhash_digest
 
 QUERIES = {
+    "op2_simhash_golay": lambda spark, sf_dir: simhash_digest(table(spark, sf_dir, "documents")),
     "op10_line_dedup": lambda spark, sf_dir: line_dedup_digest(table(spark, sf_dir, "documents")),
 }
