@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .common import table
 from .linededup import line_dedup_digest
+from .phraseindex import contamination_digest
 from .oracles import ORACLES  # noqa: F401
 from .simhash import simhash_digest
 
 QUERIES = {
+    "op3_phrase_index": lambda spark, sf_dir: contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op2_simhash_golay": lambda spark, sf_dir: simhash_digest(table(spark, sf_dir, "documents")),
     "op10_line_dedup": lambda spark, sf_dir: line_dedup_digest(table(spark, sf_dir, "documents")),
 }
