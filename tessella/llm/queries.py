@@ -6,9 +6,15 @@ from .common import table
 from .linededup import line_dedup_digest
 from .phraseindex import contamination_digest
 from .oracles import ORACLES  # noqa: F401
+from .piecefst import encoding_digest
+from .quality import quality_digest
 from .simhash import simhash_digest
+from .toxicity import toxicity_digest
 
 QUERIES = {
+    "op6_sentencepiece_fst": lambda spark, sf_dir: encoding_digest(table(spark, sf_dir, "documents")),
+    "op1_toxicity_nnpu": lambda spark, sf_dir: toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op9_quality_random_indexing": lambda spark, sf_dir: quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op3_phrase_index": lambda spark, sf_dir: contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op2_simhash_golay": lambda spark, sf_dir: simhash_digest(table(spark, sf_dir, "documents")),
     "op10_line_dedup": lambda spark, sf_dir: line_dedup_digest(table(spark, sf_dir, "documents")),
