@@ -8,6 +8,14 @@ _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 ORACLES = {
+    "op8_arc_to_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+last AS (SELECT h, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY h HAVING count(*) > 1)
+SELECT page_id, n AS payload_bytes, p.h AS payload_digest,
+       CASE WHEN m IS NULL OR m = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN m <> page_id THEN m END AS refers_to
+FROM p LEFT JOIN last ON p.h = last.h""",
     "op3_phrase_index": f"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_WORD}) AS w FROM documents),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .arc import warc_digest
 from .common import table
 from .linededup import line_dedup_digest
 from .phraseindex import contamination_digest
@@ -9,9 +10,14 @@ from .oracles import ORACLES  # noqa: F401
 from .piecefst import encoding_digest
 from .quality import quality_digest
 from .simhash import simhash_digest
+from .tagpath import extraction_digest
 from .toxicity import toxicity_digest
+from .urlfilter import url_digest
 
 QUERIES = {
+    "op4_url_filter": lambda spark, sf_dir: url_digest(table(spark, sf_dir, "pages")),
+    "op7_tag_path": lambda spark, sf_dir: extraction_digest(table(spark, sf_dir, "pages")),
+    "op8_arc_to_warc": lambda spark, sf_dir: warc_digest(table(spark, sf_dir, "pages")),
     "op6_sentencepiece_fst": lambda spark, sf_dir: encoding_digest(table(spark, sf_dir, "documents")),
     "op1_toxicity_nnpu": lambda spark, sf_dir: toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_quality_random_indexing": lambda spark, sf_dir: quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
