@@ -13,8 +13,10 @@ from .simhash import simhash_digest
 from .tagpath import extraction_digest
 from .toxicity import toxicity_digest
 from .urlfilter import url_digest
+from .vptree import nearest
 
 QUERIES = {
+    "op5_vp_tree": lambda spark, sf_dir: nearest(table(spark, sf_dir, "embeddings")),
     "op4_url_filter": lambda spark, sf_dir: url_digest(table(spark, sf_dir, "pages")),
     "op7_tag_path": lambda spark, sf_dir: extraction_digest(table(spark, sf_dir, "pages")),
     "op8_arc_to_warc": lambda spark, sf_dir: warc_digest(table(spark, sf_dir, "pages")),
