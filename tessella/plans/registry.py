@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import annotation_queries
+
+QUERIES: dict = {**annotation_queries.QUERIES}
+ORACLES: dict = {**annotation_queries.ORACLES}
