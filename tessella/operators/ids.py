@@ -100,7 +100,7 @@ def bloom_build(items: DataFrame, column: str, capacity: int, rate: float = 0.00
     """(word, mask): the set bits, 64 a row; rows grow with the filter, not on the driver."""
     m, k = bloom_size(capacity, rate)
     at = items.select(F.explode(bloom_positions(F.col(column), m, k)).alias("p"))
-    return at.groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("mask"))
+    return at.groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(p, 64) AS INT))")).alias("mask"))
 
 
 def bloom_stats(bitmap: DataFrame, capacity: int, items: int, rate: float = 0.001) -> DataFrame:
@@ -115,6 +115,6 @@ def bloom_might_contain(items: DataFrame, column: str, bitmap: DataFrame, capaci
     m, k = bloom_size(capacity, rate)
     one = items.withColumn("_row", F.monotonically_increasing_id())
     probe = one.select("_row", F.explode(bloom_positions(F.col(column), m, k)).alias("p")).withColumn("word", F.floor(F.col("p") / 64))
-    hit = probe.join(bitmap, "word", "left").select("_row", (F.coalesce(F.col("mask").bitwiseAND(F.shiftleft(F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))), F.lit(0)) != 0).alias("set"))
+    hit = probe.join(bitmap, "word", "left").select("_row", (F.coalesce(F.col("mask").bitwiseAND(F.expr("shiftleft(1L, CAST(pmod(p, 64) AS INT))")), F.lit(0)) != 0).alias("set"))
     found = hit.groupBy("_row").agg(F.bool_and("set").alias("might_exist"))
     return one.join(found, "_row").drop("_row")

@@ -86,7 +86,7 @@ def as_arrays(pixels: DataFrame, *planes: str) -> DataFrame:
     """One row per image with its planes as one flat array, in row order; an image is what one task must hold."""
     ordered = F.array_sort(F.collect_list(F.struct("y", "x", *[F.expr(p).cast("double").alias(f"p{i}") for i, p in enumerate(planes)])))
     g = pixels.groupBy("image_id").agg(F.max("y").alias("_h"), F.max("x").alias("_w"), ordered.alias("_p"))
-    flat = F.concat(*[F.transform("_p", lambda s, i=i: s[f"p{i}"]) for i in range(len(planes))])
+    flat = F.concat(*[F.expr(f"transform(_p, s -> s.p{i})") for i in range(len(planes))])
     return g.select("image_id", (F.col("_h") + 1).alias("height"), (F.col("_w") + 1).alias("width"), flat.alias("values"))
 
 
