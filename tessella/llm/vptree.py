@@ -138,7 +138,7 @@ class Tree:
             seeded[rows] = at
             leaf(node, rows)
         visit(self.root, np.arange(n))
-        row, col = np.nonzero(who >= 0)
+        row, col = np.nonzero((who >= 0) & np.isfinite(best))
         member = who[row, col]
         return row, member, inner(queries[row], self.raw[member])
 
