@@ -67,7 +67,7 @@ def polygon_perimeter(ring: str) -> Column:
 
 def segmentation_features(segmentation: str = "segmentation", box_area: str = "w * h") -> dict[str, Column]:
     """Features of the first ring if it has three corners or more and an even length; else 0, 0, 1, 0, 0."""
-    ring = f"{segmentation}[0]"
+    ring = f"get({segmentation}, 0)"
     good = f"size({segmentation}) > 0 AND size({ring}) >= 6 AND size({ring}) % 2 = 0"
     a, p = polygon_area(ring), polygon_perimeter(ring)
     ok = F.expr(f"coalesce({good}, false)")

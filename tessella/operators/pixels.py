@@ -141,7 +141,8 @@ def correct_channel(channel: np.ndarray, guide: np.ndarray, radius: int = 10, st
     for share in (1 - t, t):
         w = weight * (share + tiny)
         fields.append(guided_filter(guide, ratio * w, radius) / np.maximum(guided_filter(guide, w, radius), tiny))
-    smooth = (1 - t) * fields[0] + t * fields[1]
+    # a mean of clamped ratios, so it stays within their range
+    smooth = np.clip((1 - t) * fields[0] + t * fields[1], -4, 4)
     change = smooth - ratio
     if mode == "brighten":
         change = np.maximum(change, 0)
