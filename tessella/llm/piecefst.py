@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from math import inf
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ UNIGRAM, BPE = 1, 2
 #: By how much an unknown character weighs more than the heaviest piece.
 UNKNOWN_COST = 10.0
 #: Most paths that a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -120,6 +122,7 @@ class Trie:
     def __init__(self, words: dict):
         self.arcs: list[dict[str, int]] = [{}]
         self.out: list = [None]
+        self.longest = max(map(len, words), default=0)
         for word, value in words.items():
             state = 0
             for c in word:
@@ -129,17 +132,43 @@ class Trie:
                     self.out.append(None)
             self.out[state] = value
 
-    def matches(self, text: str, at: int) -> list[tuple[int, object]]:
-        """(end, value) of the words that start here, shortest first."""
-        state, found, arcs, out = 0, [], self.arcs, self.out
-        for c in text[at:]:
-            state = arcs[state].get(c)
-            if state is None:
+        # what a walk that ends in a state has passed: (length, value), shortest first
+        self.passed: list[tuple[tuple[int, object], ...]] = [()] * len(self.out)
+        open_ = [(0, 0, ())]
+        while open_:
+            state, depth, found = open_.pop()
+            if self.out[state] is not None:
+                found = (*found, (depth, self.out[state]))
+            self.passed[state] = found
+            open_ += [(child, depth + 1, found) for child in self.arcs[state].values()]
+
+    def matches(self, text: str, at: int) -> tuple[tuple[int, object], ...]:
+        """(length, value) of the words that start here, shortest first."""
+        state, arcs = 0, self.arcs
+        for c in text[at : at + self.longest]:
+            step = arcs[state].get(c)
+            if step is None:
                 break
-            at += 1
-            if (value := out[state]) is not None:
-                found.append((at, value))
-        return found
+            state = step
+        return self.passed[state]
+
+
+class _Paths(dict):
+    """Part of a text to its path's ids as int32 bytes; two generations, so that the commonest parts stay."""
+
+    def __init__(self, search):
+        self.search, self.older = search, {}
+
+    def __missing__(self, part: str) -> bytes:
+        path = self.older.get(part) or array("i", self.search(part)).tobytes()
+        if len(part) <= 64:
+            self[part] = path
+        return path
+
+    def aged(self) -> None:
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
 
 
 class Transducer:
@@ -157,9 +186,7 @@ class Transducer:
         self.byte_ids = byte_ids if model.byte_fallback and len(byte_ids) == 256 else None
         self.surface = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in model.pieces]
         self._beside: dict[int, bool] = {}
-        # two generations of remembered paths
-        self._paths: dict[str, tuple[int, ...]] = {}
-        self._older: dict[str, tuple[int, ...]] = {}
+        self._paths = _Paths(self._shortest)
         # where no piece has a space after another character, and none a line feed, all paths meet before a space and at a line feed
         inner = any(SPACE in p.lstrip(SPACE) for p in own)
         self._cut = None if inner else re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if not any("\n" in p for p in own) else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -169,8 +196,8 @@ class Transducer:
             out, at = [], 0
             while at < len(text):
                 end, value = at + 1, text[at]
-                for e, v in self.normaliser.matches(text, at):
-                    end, value = e, v
+                for size, v in self.normaliser.matches(text, at):
+                    end, value = at + size, v
                 out.append(value)
                 at = end
             text = "".join(out)
@@ -202,93 +229,91 @@ class Transducer:
         found = self._beside[a << 32 | b] = self._merged("".join(want)) == want
         return found
 
-    def _finite(self, text: str) -> list[tuple[int, int, int]]:
-        """Arcs (start, end, piece or -1) of the path of finite weight, which is unique, for a BPE model.
+    def _finite(self, text: str) -> list[int]:
+        """The path of finite weight, which is unique, for a BPE model: pieces, and -1 less the code point of unknown characters.
 
         Best first means depth first here, as all finite weights are equal; a prefix too has one path
         only, so that an end reached once needs no second visit.
         """
-        beside, matches = self._beside, self.lattice.matches
-        seen, path, at, last = bytearray(len(text) + 1), [], 0, -1
-        arcs = matches(text, 0)
-        known = bool(arcs) and arcs[0][0] == 1
-        turns = []
-        while at < len(text):
-            step = None
-            while arcs:
-                end, k = arcs.pop()
-                if not seen[end]:
-                    fits = beside.get(last << 32 | k)
+        beside, matches, n = self._beside.get, self.lattice.matches, len(text)
+        seen, path, turns = bytearray(n + 1), [], []
+        at, last, arcs = 0, -1, matches(text, 0)
+        left = len(arcs)
+        while at < n:
+            while left:
+                left -= 1
+                size, k = arcs[left]
+                if not seen[at + size]:
+                    fits = beside(last << 32 | k)
                     if fits or fits is None and self._stays(last, k):
-                        step = end, k
                         break
-            if step is None and not known and not seen[at + 1]:
-                step = at + 1, -1
-            if step is None:
-                at, last, arcs, known = turns.pop()
-                path.pop()
-                continue
-            turns.append((at, last, arcs, known))
-            path.append((at, *step))
-            at, last = step
+            else:
+                if (arcs and arcs[0][0] == 1) or seen[at + 1]:
+                    at, last, arcs, left = turns.pop()
+                    path.pop()
+                    continue
+                size, k = 1, -1 - ord(text[at])
+            turns.append((at, last, arcs, left))
+            path.append(k)
+            at += size
+            last = k if k >= 0 else -1
             seen[at] = 1
             arcs = matches(text, at)
-            known = bool(arcs) and arcs[0][0] == at + 1
+            left = len(arcs)
         return path
 
-    def _lightest(self, text: str) -> list[tuple[int, int, int]]:
-        """Arcs of the path of least weight, for a unigram model."""
+    def _lightest(self, text: str) -> list[int]:
+        """The path of least weight, for a unigram model, written likewise."""
         weight, back = [inf] * (len(text) + 1), [(0, -1)] * (len(text) + 1)
         weight[0] = 0.0
         for i in range(len(text)):
-            arcs = self.lattice.matches(text, i)
-            if not arcs or arcs[0][0] > i + 1:
-                arcs.append((i + 1, -1))
-            for end, k in arcs:
+            arcs = list(self.lattice.matches(text, i))
+            if not arcs or arcs[0][0] > 1:
+                arcs.append((1, -1 - ord(text[i])))
+            for size, k in arcs:
                 w = weight[i] + (self.cost[k] if k >= 0 else self.unknown_cost)
-                if w < weight[end]:
-                    weight[end], back[end] = w, (i, k)
+                if w < weight[i + size]:
+                    weight[i + size], back[i + size] = w, (i, k)
         path, at = [], len(text)
         while at:
-            path.append((back[at][0], at, back[at][1]))
-            at = back[at][0]
+            at, k = back[at]
+            path.append(k)
         return path[::-1]
 
     def _shortest(self, text: str) -> tuple[int, ...]:
         """Ids on the path of least weight; unknown characters are bytes, or one unknown id for a run of them."""
+        path = self._finite(text) if self.model.kind == BPE else self._lightest(text)
+        if min(path) >= 0:
+            return tuple(path)
         ids: list[int] = []
         was_unknown = False
-        for start, end, k in self._finite(text) if self.model.kind == BPE else self._lightest(text):
+        for k in path:
             if k >= 0:
                 ids.append(k)
             elif self.byte_ids:
-                ids += [self.byte_ids[b] for b in text[start:end].encode()]
+                ids += [self.byte_ids[b] for b in chr(-1 - k).encode()]
             elif not was_unknown:
                 ids.append(self.unknown)
             was_unknown = k < 0
         return tuple(ids)
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of the whole text; none for null or empty text."""
+    def packed(self, text: str | None) -> bytes:
+        """Ids of the whole text as int32 in native order; none for null or empty text."""
         text = self.normalise(text or "")
         if not text:
-            return []
+            return b""
         if self._cut is None or not self.byte_ids and "\n" in text:
-            return list(self._shortest(text))
-        paths, ids = self._paths, []
-        for part in self._cut.findall(text):
-            path = paths.get(part)
-            if path is None:
-                path = self._older.get(part) or self._shortest(part)
-                if len(part) <= 64:
-                    paths[part] = path
-            ids += path
-        if len(paths) >= REMEMBERED:
-            self._paths, self._older = {}, paths
+            return array("i", self._shortest(text)).tobytes()
+        paths = self._paths
+        ids = b"".join([paths[part] for part in self._cut.findall(text)])
+        paths.aged()
         return ids
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
+    def encode(self, text: str | None) -> list[int]:
+        return array("i", self.packed(text)).tolist()
+
+    def decode(self, ids: Iterable[int]) -> str:
+        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
@@ -303,6 +328,14 @@ def _transducer(data: bytes) -> Transducer:
     return _built[key]
 
 
+def _encoded(fst: Transducer, texts: list[str | None]) -> tuple[list[pa.Array], list[bytes]]:
+    """Columns token_ids and n_tokens, and the ids as bytes."""
+    packed = [fst.packed(t) for t in texts]
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+    return [pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), np.int32))), pa.array(sizes)], packed
+
+
 def encode_texts(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
     """The input's rows and columns plus token_ids and n_tokens; no ids for null or empty text.
 
@@ -314,9 +347,8 @@ def encode_texts(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
 
     def run(batches):
         fst = _transducer(model.value)
-        for part, (texts,) in rows_of(batches, "text"):
-            ids = [fst.encode(t) for t in texts]
-            cols = [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())]
+        for part, (texts,) in rows_of(batches, "text", most_bytes=2 << 20):
+            cols, _ = _encoded(fst, texts)
             yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, "token_ids", "n_tokens"])
 
     return docs.mapInArrow(run, plus(plus(docs.schema, "token_ids", T.ArrayType(T.IntegerType())), "n_tokens", T.LongType()))
@@ -337,6 +369,18 @@ def decode_ids(rows: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
 
 
 def encoding_digest(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
-    """The query's rows: doc_id, token_ids, n_tokens, round_trip (decoding gives the text; null counts as empty)."""
-    out = decode_ids(encode_texts(docs.select("doc_id", "text"), model_file), model_file)
-    return out.select("doc_id", "token_ids", "n_tokens", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    """The query's rows: doc_id, token_ids, n_tokens, round_trip (decoding gives the text; null counts as empty).
+
+    Each text is encoded and its ids are decoded in one pass, so that ids cross to Python only once.
+    """
+    with open(model_file, "rb") as f:
+        model = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches):
+        fst = _transducer(model.value)
+        for part, (texts,) in rows_of(batches, "text", most_bytes=2 << 20):
+            cols, packed = _encoded(fst, texts)
+            same = [fst.decode(array("i", ids)) == (t or "") for ids, t in zip(packed, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols, pa.array(same, pa.bool_())], names=["doc_id", "token_ids", "n_tokens", "round_trip"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens long, round_trip boolean")
