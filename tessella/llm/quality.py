@@ -152,7 +152,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> t
         return index / np.float32(np.sqrt(ONES)), float(known[0][1]) if known else 0.5
     ids = spark.createDataFrame(known, "_id long, y int")
     # at most `most` ids, so the broadcast is bounded
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y"), "quality-sample").repartition(SAMPLE_TASKS, "doc_id")
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y"), "quality-sample").coalesce(SAMPLE_TASKS)
 
     def sums(batches):
         total = np.zeros((BUCKETS, DIM), np.float32)
@@ -160,7 +160,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> t
             total += neighbour_sums(texts, index)
         yield pa.record_batch([pa.array([total.tobytes()])], names=["sums"])
 
-    total = sum(np.frombuffer(r.sums, np.float32).astype(np.float64).reshape(BUCKETS, DIM) for r in sample.mapInArrow(sums, "sums binary").toLocalIterator())
+    total = sum(np.frombuffer(r.sums, np.float32).astype(np.float64).reshape(BUCKETS, DIM) for r in sample.mapInArrow(sums, "sums binary").collect())
     vectors = word_vectors(total, index)
     shared = spark.sparkContext.broadcast(vectors)
 
@@ -168,7 +168,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> t
         for _, (doc_ids, texts, y) in rows_of(batches, "doc_id", "text", "y"):
             yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(list(pooled(texts, shared.value)), pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["doc_id", "x", "y"])
 
-    rows = sorted(((r.doc_id, r.x, r.y) for r in sample.mapInArrow(pool, "doc_id long, x array<double>, y int").toLocalIterator()), key=lambda r: r[0])
+    rows = sorted(((r.doc_id, r.x, r.y) for r in sample.mapInArrow(pool, "doc_id long, x array<double>, y int").collect()), key=lambda r: r[0])
     if len({r[2] for r in rows}) < 2:
         return vectors, float(rows[0][2]) if rows else 0.5
     return vectors, train_network(np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float))
