@@ -34,9 +34,14 @@ def word_features(word: str) -> list[str]:
     return [w + "$", *(w[:n] for n in range(4, 8) if len(w) > n)]
 
 
+def text_words(text: str | None) -> set[str]:
+    return {w.lower() for w in set(_WORD.findall(text or ""))}
+
+
 def text_features(text: str | None) -> set[str]:
-    """The distinct features of the whole text."""
-    return {f for w in set(_WORD.findall(text or "")) for f in word_features(w)}
+    """The distinct features of the whole text; those that two or more different words share count once more, marked by a plus."""
+    found = Counter(f for w in text_words(text) for f in word_features(w))
+    return {*found, *(f + "+" for f, n in found.items() if n > 1)}
 
 
 @dataclass
@@ -48,17 +53,20 @@ class Linear:
     bias: float
 
     def __post_init__(self):
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, tuple[str, ...]] = {}
+        self._base = {f.removesuffix("+") for f in self.features}
 
-    def _of(self, word: str) -> tuple[int, ...]:
+    def _of(self, word: str) -> tuple[str, ...]:
         if (found := self._known.get(word)) is None:
             if len(self._known) > 500_000:
                 self._known.clear()
-            found = self._known[word] = tuple(self.features[f] for f in word_features(word) if f in self.features)
+            found = self._known[word] = tuple(f for f in word_features(word) if f in self._base)
         return found
 
     def present(self, text: str | None) -> list[int]:
-        return sorted({i for w in set(_WORD.findall(text or "")) for i in self._of(w)})
+        found = Counter(f for w in text_words(text) for f in self._of(w))
+        names = (f for g, n in found.items() for f in ((g, g + "+") if n > 1 else (g,)))
+        return sorted(self.features[f] for f in names if f in self.features)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         return sigmoid(np.array([self.bias + self.weights[self.present(t)].sum() for t in texts], float))
