@@ -5,7 +5,8 @@ the indices of the codewords nearest to itself and to its 23 neighbours: one key
 that differ in two bits or fewer share a word at one bit from both, hence a key. Fingerprints meet
 under keys joined from segments such that pigeonhole finds every pair (`radius_keys`), or from a
 segment and a min-hash anchor (`anchored_keys`). Fingerprints of one key are compared inside a
-task, and only a star of each connected part is emitted, never all pairs.
+task, and only a star of each connected part is emitted, never all pairs. The pipeline's stage takes
+fingerprints for candidates only and keeps a link if the two texts' shingles say so (`alike`).
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ GOLAY = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Most members of a key that one task holds; a larger key is compared in pairs of blocks.
 BLOCK = 65_536
+#: The same where all pairs are emitted.
+PAIR_BLOCK = 2_048
 #: Runs up to this length are compared row by row for the whole batch at once.
 SHORT = 12
 
@@ -112,6 +115,17 @@ def anchored_keys(fps: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(rows), np.concatenate(found)
 
 
+def near_keys(fps: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): `anchored_keys` of the first three anchors, and one key for each three anchors in turn."""
+    row, key = anchored_keys(fps[:, :NEAR_WORDS], anchors[:, :3])
+    rows, found = [row], [key]
+    for k in range(0, anchors.shape[1], 3):
+        a, b, c = (anchors[:, k + i] for i in range(3))
+        rows.append(np.arange(len(anchors)))
+        found.append(_mixed(_mixed(_mixed(a + np.uint64(k + 1)) + b) + c).view(np.int64))
+    return np.concatenate(rows), np.concatenate(found)
+
+
 def shingle_hashes(text: str | None, n: int, block: int = 200_000) -> Iterator[np.ndarray]:
     """XXH64 (seed 42) of the text's n-word shingles, in blocks; of all its words if these are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
@@ -130,11 +144,11 @@ def shingle_hashes(text: str | None, n: int, block: int = 200_000) -> Iterator[n
         yield np.array([digest(joined[a:b], 42) for a, b in zip(first, last, strict=True)], np.uint64)
 
 
-def fingerprint_texts(texts: list[str | None], n: int, words: int = 1, anchors: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def fingerprint_texts(texts: list[str | None], n: int, words: int = 1, anchors: int = 0, shingles: Callable = shingle_hashes) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints [text, words] and min-hash anchors [text, anchors] as uint64; zeros without words.
 
-    A bit is 1 if set in over half of the shingles' hashes, repeats included. The first word takes
-    the hashes as they are, further words and anchors mixed ones.
+    A bit is 1 if set in over half of the hashes that `shingles` gives, by default with repeats. The
+    first word takes the hashes as they are, further words and anchors mixed ones.
     """
     count, bits = np.zeros(len(texts), np.int64), np.zeros((len(texts), 64 * words), np.int64)
     low = np.full((len(texts), anchors), np.iinfo(np.uint64).max, np.uint64)
@@ -157,7 +171,7 @@ def fingerprint_texts(texts: list[str | None], n: int, words: int = 1, anchors:
 
     waiting = 0
     for i, text in enumerate(texts):
-        for h in shingle_hashes(text, n):
+        for h in shingles(text, n):
             held.append((i, h))
             waiting += len(h)
             if waiting >= 200_000:
@@ -168,6 +182,17 @@ def fingerprint_texts(texts: list[str | None], n: int, words: int = 1, anchors:
     return packed.view(">u8").reshape(len(texts), words).astype(np.uint64), low
 
 
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """The distinct hashes of the text's shingles in order."""
+    parts = list(shingle_hashes(text, n))
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def set_digest(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets of shingles apart, as two signed numbers."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), "<i8").tolist())
+
+
 def fingerprints(docs: DataFrame, n: int, words: int = 1, anchors: int = 0) -> DataFrame:
     """(doc_id, f0.., m0..) of whole texts; null texts have no words."""
 
@@ -199,12 +224,60 @@ def stars(nodes: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, in
     return out
 
 
-def _linked(words: int, radius: int, block: int) -> Callable:
-    """mapInArrow over rows sorted by key: edges (a, b), and the rows (a, key, block, f..) of keys beyond `block` members."""
+def trees(nodes: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """(node, node) within the radius that span the connected parts of one key, from the member nearest to the most common bits."""
+    bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1)
+    left, out = np.lexsort((nodes, (bits != (bits.sum(0) * 2 > len(bits))).sum(1))), []
+    while len(left) > 1:
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            at = front.pop(0)
+            near = _apart(fps[left], fps[at]) <= radius
+            if near.any():
+                new, left = left[near], left[~near]
+                out += [(int(x), int(nodes[at])) for x in nodes[new]]
+                front += new.tolist()
+    return out
+
 
-    def edges(a: list[int], b: list[int]) -> pa.RecordBatch:
+def _near_unlike(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Of rows whose last column is a label: within the radius, under different labels."""
+    return (_apart(a[..., :-1], b[..., :-1]) <= radius) & (a[..., -1] != b[..., -1])
+
+
+def unlike_pairs(nodes: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of one key within the radius whose labels, the last column, differ, in pieces."""
+    if (fps[:, -1] == fps[0, -1]).all():
+        return
+    for i in range(0, len(nodes), 64):
+        x, y = np.nonzero(_near_unlike(fps[None, i:], fps[i : i + 64, None], radius))
+        upper = y > x
+        if upper.any():
+            yield nodes[i:][y[upper]], nodes[i:][x[upper]]
+
+
+def _pieces(found: list[tuple[int, int]] | Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
+    """Pairs as columns."""
+    if not isinstance(found, list):
+        yield from found
+    elif found:
+        yield [x for x, _ in found], [x for _, x in found]
+
+
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    return _apart(a, b) <= radius
+
+
+def _linked(words: int, radius: int, block: int, near: Callable = _near, spanning: Callable = stars) -> Callable:
+    """mapInArrow over rows sorted by key: edges (a, b), and the rows (a, key, block, f..) of keys beyond `block` members.
+
+    Short runs give all pairs that are `near`, longer ones what `spanning` makes of them, with block 1.
+    """
+
+    def edges(a: list[int], b: list[int], long: bool = False) -> pa.RecordBatch:
         none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, none, *[none] * words], names=names)
+        mark = pa.array([1] * len(a), pa.int64()) if long else none
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, mark, *[none] * words], names=names)
 
     def hot(key: int, nodes: np.ndarray, fps: np.ndarray, at: int) -> pa.RecordBatch:
         cols = [np.full(len(nodes), key), (at + np.arange(len(nodes))) // block, *(np.ascontiguousarray(c).view(np.int64) for c in fps.T)]
@@ -221,15 +294,16 @@ def _linked(words: int, radius: int, block: int) -> Callable:
         in_short = np.repeat(size <= SHORT, size)
         for step in range(1, int(min(SHORT, size.max()))):
             at = np.flatnonzero((keys[step:] == keys[:-step]) & in_short[step:])
-            at = at[_apart(fps[at], fps[at + step]) <= radius]
+            at = at[near(fps[at], fps[at + step], radius)]
             if len(at):
                 yield edges(nodes[at].tolist(), nodes[at + step].tolist())
         for i in np.flatnonzero(size > SHORT):
             s = slice(first[i], first[i] + size[i])
             if size[i] > block:
                 yield hot(keys[first[i]], nodes[s], fps[s], 0)
-            elif found := stars(nodes[s], fps[s], radius):
-                yield edges([x for x, _ in found], [x for _, x in found])
+            else:
+                for a, b in _pieces(spanning(nodes[s], fps[s], radius)):
+                    yield edges(a, b, True)
 
     def run(batches):
         keys, nodes, fps = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, words), np.uint64)
@@ -261,8 +335,8 @@ def _linked(words: int, radius: int, block: int) -> Callable:
     return run
 
 
-def links(nodes: DataFrame, words: int, keys_of: Callable, radius: int, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect what is connected among rows (node, f.., m..) that meet under a key and differ in `radius` bits or fewer."""
+def links(nodes: DataFrame, words: int, keys_of: Callable, radius: int, block: int = BLOCK, near: Callable = _near, spanning: Callable = stars) -> DataFrame:
+    """Edges (a, b, long) that connect what is connected among rows (node, f.., m..) that meet under a key and differ in `radius` bits or fewer; long: whether from a key with more than SHORT members."""
     fp_names = [f"f{i}" for i in range(words)]
     anchor_names = [c for c in nodes.columns if c[0] == "m" and c[1:].isdigit()]
 
@@ -278,14 +352,14 @@ def links(nodes: DataFrame, words: int, keys_of: Callable, radius: int, block: i
     fields = "".join(f", {x} long" for x in fp_names)
     rows = nodes.mapInArrow(keyed, f"key long, node long{fields}")
     sorted_rows = rows.repartition("key").sortWithinPartitions("key", "node")
-    found = written(sorted_rows.mapInArrow(_linked(words, radius, block), f"a long, b long, key long, block long{fields}"), "simhash-links")
-    edges, hot = found.where("b IS NOT NULL").select("a", "b"), found.where("b IS NULL")
+    found = written(sorted_rows.mapInArrow(_linked(words, radius, block, near, spanning), f"a long, b long, key long, block long{fields}"), "simhash-links")
+    edges, hot = found.where("b IS NOT NULL").selectExpr("a", "b", "block IS NOT NULL AS long"), found.where("b IS NULL")
     if not hot.isEmpty():
-        edges = edges.union(_between_blocks(hot, fp_names, radius))
+        edges = edges.union(_between_blocks(hot, fp_names, radius, spanning).withColumn("long", F.lit(True)))
     return edges
 
 
-def _between_blocks(hot: DataFrame, fp_names: list[str], radius: int) -> DataFrame:
+def _between_blocks(hot: DataFrame, fp_names: list[str], radius: int, spanning: Callable = stars) -> DataFrame:
     """Edges of keys with many members: each pair of blocks is one task, so none holds more than two blocks."""
     blocks = hot.groupBy("key").agg(F.max("block").alias("last"))
     pairs = F.expr("transform(sequence(0, last), x -> struct(least(x, block) AS i, greatest(x, block) AS j))")
@@ -293,8 +367,8 @@ def _between_blocks(hot: DataFrame, fp_names: list[str], radius: int) -> DataFra
 
     def compare(t: pa.Table) -> pa.Table:
         fps = np.stack([t.column(c).to_numpy() for c in fp_names], axis=1).view(np.uint64)
-        found = stars(t.column("node").to_numpy(), fps, radius)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        return pa.concat_tables([empty, *(pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}) for a, b in _pieces(spanning(t.column("node").to_numpy(), fps, radius)))])
 
     return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
@@ -308,7 +382,7 @@ def grouped(fps: DataFrame, words: int, keys_of: Callable, radius: int, block: i
     anchors = [c for c in fps.columns if c not in (*names, "doc_id")]
     first = fps.where("doc_id IS NOT NULL").groupBy(*names).agg(F.min(F.struct("doc_id", *anchors)).alias("x"))
     nodes = written(first.select(F.col("x.doc_id").alias("node"), *names, *(f"x.{c}" for c in anchors)), "simhash-nodes")
-    found = components(links(nodes, words, keys_of, radius, block))
+    found = components(links(nodes, words, keys_of, radius, block).select("a", "b"))
     label = nodes.select("node", *names).join(found, "node", "left").select(*(F.col(c).alias(f"_{c}") for c in names), F.coalesce("component", "node").alias("component_id"))
     out = fps.select("doc_id", *names).join(label, [F.col(c) == F.col(f"_{c}") for c in names], "left")
     return out.select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -325,18 +399,114 @@ def simhash_digest(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: 128 bits; at Jaccard 0.8 two sets' cosine is 2 * 0.8 / 1.8, an angle of 0.1515 pi, so of 19 bits.
-NEAR_WORDS, NEAR_ANCHORS, NEAR_RADIUS = 2, 3, 19
+#: 128 bits; at Jaccard 0.8 two sets' cosine is 2 * 0.8 / 1.8, an angle of 0.1515 pi, so of 19 bits with a deviation
+#: of 4. The radius is four deviations more, since it only finds candidates.
+NEAR_WORDS, NEAR_ANCHORS, NEAR_RADIUS = 2, 24, 36
+#: Shingles are of so many words; texts are near duplicates from this Jaccard similarity on, as a fraction.
+NEAR_SHINGLE, NEAR_LEAST = 5, (4, 5)
+
+
+def jaccard_at_least(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = NEAR_LEAST) -> bool:
+    """Whether two sets, sorted, are that similar; two empty ones are."""
+    top, bottom = least
+    if min(len(a), len(b)) * bottom < max(len(a), len(b)) * top:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common * bottom >= (len(a) + len(b) - common) * top
+
+
+def set_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, d0, d1, f0.., m0..) of the texts' sets of shingles, where a repeated shingle counts once; d0 and d1 are the set's digest."""
+    names = ["doc_id", "d0", "d1", *(f"f{i}" for i in range(NEAR_WORDS)), *(f"m{i}" for i in range(NEAR_ANCHORS))]
+
+    def run(batches):
+        for part, (texts,) in rows_of(batches, "text"):
+            digests = []
+
+            def once(text, n):
+                hashes = shingle_set(text, n)
+                digests.append(set_digest(hashes))
+                return shingle_hashes(text, n)
+
+            fps, low = fingerprint_texts(texts, NEAR_SHINGLE, NEAR_WORDS, NEAR_ANCHORS, once)
+            cols = [*np.array(digests, np.int64).reshape(-1, 2).T, *fps.T, *low.T]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in cols)], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, hashes) for nodes (node, doc_id, d0, d1): the set of shingles of that document's text with this digest."""
+
+    def run(batches):
+        for part, (texts,) in rows_of(batches, "text"):
+            sets = [shingle_set(t, NEAR_SHINGLE) for t in texts]
+            digests = np.array([set_digest(x) for x in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, np.ascontiguousarray(digests.T)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "d0", "d1", "hashes"])
+
+    some = docs.select(F.col("doc_id").cast("long"), "text").join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = some.mapInArrow(run, "doc_id long, d0 long, d1 long, hashes binary")
+    return sets.join(nodes, ["doc_id", "d0", "d1"]).select("node", "hashes").dropDuplicates(["node"])
+
+
+def alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets of shingles have the least Jaccard similarity or more."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = written(shingle_sets(docs, nodes.select("node", "doc_id", "d0", "d1").join(ends, "node", "left_semi")), "near-sets")
+
+    def run(batches):
+        for part, sets in rows_of(batches, "x", "y"):
+            keep = [jaccard_at_least(*(np.frombuffer(v, np.uint64) for v in pair)) for pair in zip(*sets, strict=True)]
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    with_a = pairs.select("a", "b").join(sets.toDF("a", "x"), "a")
+    return with_a.join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "long").groupBy("a", "b").agg(F.max("long").alias("long"))
+
+
+def near_groups(docs: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(node, component) over verified links of nodes (node, doc_id, d0, d1, f0.., m0..).
+
+    Keys with few members give all their candidate pairs, others first the pairs that span them. If
+    one of those fails, all candidate pairs between what is not yet connected follow. So each
+    candidate pair is connected or was looked at.
+    """
+    names = [f"f{i}" for i in range(NEAR_WORDS)]
+    anchors = [f"m{i}" for i in range(NEAR_ANCHORS)]
+    rows = nodes.select("node", *names, *anchors)
+    pairs = written(_pairs(links(rows, NEAR_WORDS, near_keys, NEAR_RADIUS, block, spanning=trees)), "near-pairs")
+    good = written(alike(pairs, docs, nodes), "near-links")
+    found = components(good)
+    spanning = pairs.where("long")
+    if spanning.join(good, ["a", "b"], "left_anti").isEmpty():
+        return found
+    ends = spanning.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    label = F.coalesce("component", "node").alias(f"f{NEAR_WORDS}")
+    labelled = rows.join(ends, "node", "left_semi").join(found, "node", "left").select("node", *names, label, *anchors)
+    more = _pairs(links(written(labelled, "near-labelled"), NEAR_WORDS + 1, near_keys, NEAR_RADIUS, min(block, PAIR_BLOCK), near=_near_unlike, spanning=unlike_pairs))
+    more = written(more.join(pairs, ["a", "b"], "left_anti"), "near-more")
+    return components(good.union(alike(more, docs, nodes)))
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The input's rows and columns, of each group of near duplicates only that with the smallest doc_id.
 
-    Five-word shingles and an estimated Jaccard similarity of 0.8 or more. Rows with a null doc_id
-    all stay; of rows with equal doc_id and text one stays.
+    Near duplicates have a Jaccard similarity of 0.8 or more of their sets of five-word shingles,
+    computed for all candidates that fingerprints and anchors find. Rows with a null doc_id all stay;
+    of rows with equal doc_id and text one stays.
     """
-    fps = written(fingerprints(docs, 5, NEAR_WORDS, NEAR_ANCHORS), "near-fps")
-    gone = grouped(fps, NEAR_WORDS, anchored_keys, NEAR_RADIUS, block).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    fps = written(set_fingerprints(docs), "near-fps")
+    rest = [c for c in fps.columns if c not in ("doc_id", "d0", "d1")]
+    first = fps.where("doc_id IS NOT NULL").groupBy("d0", "d1").agg(F.min(F.struct("doc_id", *rest)).alias("x"))
+    nodes = written(first.select(F.monotonically_increasing_id().alias("node"), "d0", "d1", "x.*"), "near-nodes")
+    grouped_nodes = near_groups(docs, nodes, block).join(nodes.select("node", "d0", "d1", "doc_id"), "node")
+    smallest = grouped_nodes.groupBy("component").agg(F.min("doc_id").alias("_first"))
+    linked = grouped_nodes.join(smallest, "component").select("d0", "d1", F.col("_first").alias("_linked"))
+    own = nodes.select("d0", "d1", F.col("doc_id").alias("_own")).join(linked, ["d0", "d1"], "left").select("d0", "d1", F.coalesce("_linked", "_own").alias("_first"))
+    gone = fps.select("doc_id", "d0", "d1").join(own, ["d0", "d1"]).where("doc_id <> _first").select(F.col("doc_id").alias("_gone"))
     kept = docs.join(gone.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
     # the join has dealt rows out by doc_id already; equal rows are told by the text's hash
     before = F.lag("_text").over(Window.partitionBy("doc_id").orderBy("_text"))

@@ -172,6 +172,37 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 10]
 
 
+def at_jaccard(rng, common, extra):
+    """Two texts whose sets of five-word shingles share `common` of them and have `extra` more each."""
+    word = lambda: f"x{rng.randrange(10**9)}"
+    head = [word() for _ in range(common + 4)]
+    return tuple(" ".join(head + [word() for _ in range(extra)]) for _ in range(2))
+
+
+@pytest.mark.parametrize("common, extra, gone", [(160, 20, 40), (158, 20, 0)])  # 0.8 and less
+def test_near_duplicates_are_verified(spark, common, extra, gone):
+    rng = random.Random(5)
+    texts = [t for _ in range(40) for t in at_jaccard(rng, common, extra)]
+    assert 80 - simhash.near_duplicates(docs(spark, texts)).count() == gone
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 5])
+def test_near_duplicates_of_long_keys_against_brute_force(spark, block):
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(60) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = {c for c in brute_components(pairs, set(range(60))).values()}
+    assert 1 < len(want) < 60
+    assert {r.doc_id for r in simhash.near_duplicates(docs(spark, texts), block).collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
