@@ -426,7 +426,7 @@ def set_fingerprints(docs: DataFrame) -> DataFrame:
             def once(text, n):
                 hashes = shingle_set(text, n)
                 digests.append(set_digest(hashes))
-                return shingle_hashes(text, n)
+                return [hashes] if len(hashes) else []
 
             fps, low = fingerprint_texts(texts, NEAR_SHINGLE, NEAR_WORDS, NEAR_ANCHORS, once)
             cols = [*np.array(digests, np.int64).reshape(-1, 2).T, *fps.T, *low.T]

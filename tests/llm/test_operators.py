@@ -203,6 +203,12 @@ def test_near_duplicates_of_long_keys_against_brute_force(spark, block):
     assert {r.doc_id for r in simhash.near_duplicates(docs(spark, texts), block).collect()} == want
 
 
+def test_near_duplicates_with_one_token_repeated(spark):
+    rng = random.Random(7)
+    texts = [" ".join([f"y{rng.randrange(10**9)}" for _ in range(1000)] + ["---"] * 150) for _ in range(6)]
+    assert simhash.near_duplicates(docs(spark, texts)).count() == 6
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
