@@ -523,7 +523,7 @@ def cloud_hulls(spark, sf):
 def ring_distances(spark, sf):
     a = V.annotations(spark, sf).selectExpr("id", "image_id", "array(x, y, x + w, y, x + w, y + h, x, y + h) AS ring")
     b = a.toDF("b_id", "_i", "ring_b")
-    pairs = a.join(b, (F.col("image_id") == F.col("_i")) & F.expr("b_id > id AND b_id <= id + 400")).selectExpr("id AS a_id", "b_id", "ring AS ring_a", "ring_b")
+    pairs = a.join(b, (F.col("image_id") == F.col("_i")) & F.expr("b_id > id")).selectExpr("id AS a_id", "b_id", "ring AS ring_a", "ring_b")
     return polygons.ring_distances(pairs).withColumn("distance", F.round("distance", 5))
 
 

@@ -1,5 +1,7 @@
 """Fixtures with known results for the annotation operators."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,8 @@ from pyspark.sql import functions as F
 from tessella.functions import geometry as G
 from tessella.functions import jsonpath as J
 from tessella.operators import clustering, ids, pixels, polygons, rects, stats, tiles, transforms
-from tessella.sources import coco
+from tessella.plans import annotation_queries
+from tessella.sources import coco, views
 
 BOX = "id long, x0 double, y0 double, x1 double, y1 double"
 
@@ -225,3 +228,13 @@ def test_color_filters():
 def test_spectrum_of_a_constant():
     s = pixels.spectrum(np.ones((1, 8, 8)))
     assert s["low_ratio"] == pytest.approx(1) and s["centroid"] == pytest.approx(0, abs=1e-9)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_ring_distances_of_all_pairs_of_an_image(spark):
+    rows = annotation_queries.ring_distances(spark, "/root/testdata/sf0.001").select("a_id", "b_id").collect()
+    by_image = {}
+    for r in views.annotations(spark, "/root/testdata/sf0.001").select("id", "image_id").collect():
+        by_image.setdefault(r.image_id, []).append(r.id)
+    want = {(a, b) for ids_ in by_image.values() for a in ids_ for b in ids_ if a < b}
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
