@@ -380,6 +380,21 @@ def test_url_regression_on_urls_left_out():
     assert np.mean([(model.score(h, p) >= 0.5) == bool(y) for i, (h, p, y) in enumerate(rows) if i % 3 == 0]) >= 0.9
 
 
+GIVEN_BAD = "spam-farm cheap-pills casino-win adult-x ads-track free-bets".split()
+GIVEN_GOOD = "thering therha ththon tionsh thther therou tionble ththre thernd ththwh".split()
+
+
+def test_url_table_holds_no_given_host_and_still_tells_them():
+    for host, path, _ in urlfilter.labelled_urls():
+        assert not any(name in host.split(".") for name in GIVEN_BAD + GIVEN_GOOD)
+        assert not re.match(r"/(en|de|es|fr)/", path)
+    score = urlfilter.default_model().score
+    urls = [(f"{before}{h}.example.{end}", "/en/12", h in GIVEN_BAD) for h in [*GIVEN_BAD, *GIVEN_GOOD, "weight-loss", "hot-singles", "crypto-doubler"] for before in ("", "www.") for end in ("com", "org")]
+    urls = [(h, p, bad or any(x in h for x in ("weight-loss", "hot-singles", "crypto-doubler"))) for h, p, bad in urls]
+    for y in (True, False):
+        assert np.mean([(score(h, p) >= 0.5) == y for h, p, bad in urls if bad == y]) >= 0.9
+
+
 # 5: nearest neighbours
 
 
