@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from math import floor, log2
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -63,17 +65,31 @@ def centers(df: DataFrame, features: list[str]) -> DataFrame:
     return df.groupBy("label").agg(F.count("*").alias("n"), *[F.avg(f).alias(f) for f in features])
 
 
-def silhouette(df: DataFrame, features: list[str]) -> DataFrame:
-    """(silhouette): the mean over rows with the squared Euclidean distance, from each label's sums only."""
-    sq = sum((F.col(f) * F.col(f) for f in features), F.lit(0.0))
-    x = df.select("id", "label", *features).withColumn("_q", sq)
-    sums = x.groupBy("label").agg(F.count("*").alias("_n"), F.sum("_q").alias("_sq"), *[F.sum(f).alias(f"_s_{f}") for f in features]).withColumnRenamed("label", "_other")
+def silhouette(df: DataFrame, features: list[str], block: int = 2048) -> DataFrame:
+    """(silhouette): the mean over rows with the Euclidean distance to all other rows, in pairs of blocks of about `block` rows."""
+    x = df.select("id", "label", F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    blocks = max(1, -(-x.count() // block))
+    held = x.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("id", "label", "x")).alias("rows"))
+    pairs = held.select(F.col("rows").alias("a")).crossJoin(held.select(F.col("rows").alias("b"))).repartition(blocks)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = (batch.column(c)[i].values for c in ("a", "b"))
+                p, q = (v.field("x").flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) for v in (a, b))
+                d = np.zeros((len(p), len(q)))
+                for f in range(p.shape[1]):
+                    d += (p[:, f, None] - q[None, :, f]) ** 2
+                np.sqrt(d, out=d)
+                labels, at = np.unique(b.field("label").to_numpy(zero_copy_only=False), return_inverse=True)
+                for k, other in enumerate(labels.tolist()):
+                    yield pa.RecordBatch.from_arrays([a.field("id").cast(pa.int64()), a.field("label").cast(pa.int64()), pa.array([other] * len(a), pa.int64()), pa.array(d[:, at == k].sum(1))], names=["id", "label", "_other", "_d"])
+
     # labels are few: as many rows as clusters
-    each = x.crossJoin(F.broadcast(sums))
-    dot = sum((F.col(f) * F.col(f"_s_{f}") for f in features), F.lit(0.0))
-    total = F.col("_n") * F.col("_q") + F.col("_sq") - 2 * dot
+    sizes = x.groupBy(F.col("label").cast("long").alias("_other")).agg(F.count("*").alias("_n"))
+    total = pairs.mapInArrow(run, "id long, label long, _other long, _d double").groupBy("id", "label", "_other").agg(F.sum("_d").alias("_d"))
     own = F.col("label") == F.col("_other")
-    per = each.groupBy("id", "label").agg(F.max(F.when(own, F.try_divide(total, F.col("_n") - 1))).alias("a"), F.max(F.when(own, F.col("_n"))).alias("own_n"), F.min(F.when(~own, total / F.col("_n"))).alias("b"))
+    per = total.join(F.broadcast(sizes), "_other").groupBy("id", "label").agg(F.max(F.when(own, F.try_divide(F.col("_d"), F.col("_n") - 1))).alias("a"), F.max(F.when(own, F.col("_n"))).alias("own_n"), F.min(F.when(~own, F.col("_d") / F.col("_n"))).alias("b"))
     s = F.when((F.col("own_n") == 1) | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return per.agg(F.avg(s).alias("silhouette"))
 

@@ -191,6 +191,21 @@ def test_single_cluster_scores(spark):
     assert one(clustering.silhouette(d, ["f"])).silhouette == 0
 
 
+@pytest.mark.parametrize("block", [2048, 20])
+def test_silhouette_is_euclidean(spark, block):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(90, 2)) * [1, 5], rng.integers(0, 3, 90)
+    y[0] = 7  # alone
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = []
+    for i in range(90):
+        mean = {k: d[i, y == k].sum() / ((y == k).sum() - (k == y[i])) for k in set(y.tolist()) if k != y[i] or (y == k).sum() > 1}
+        a = mean.pop(y[i], None)
+        want.append(0 if a is None else (min(mean.values()) - a) / max(a, min(mean.values())))
+    rows = spark.createDataFrame([(i, int(k), *map(float, v)) for i, (k, v) in enumerate(zip(y, x, strict=True))], "id long, label int, f double, g double")
+    assert one(clustering.silhouette(rows, ["f", "g"], block)).silhouette == pytest.approx(np.mean(want), abs=1e-9)
+
+
 def test_dbscan_noise(spark):
     d = spark.createDataFrame([(i, float(i) * 0.1, 0.0) for i in range(6)] + [(9, 50.0, 50.0)], "id long, a double, b double")
     got = {r.id: r.label for r in clustering.dbscan(d, ["a", "b"], 0.25, 3).collect()}
