@@ -21,7 +21,7 @@ from .common import shared_folder, written
 #: Rows of a shard, members of a leaf, vectors of a block of queries.
 SHARD_ROWS, LEAF, QUERY_BLOCK = 8192, 128, 8192
 K, QUERY_EVERY, FACTOR = 20, 20, 1.0
-#: What rounding may add to a distance.
+#: What rounding may add to a distance, as a part of the longest norm.
 SLACK = 1e-6
 
 
@@ -50,7 +50,7 @@ class Tree:
         self.raw, self.ids = vectors, ids
         rest = np.sqrt(np.maximum(norm * norm - (vectors * vectors).sum(1), 0))
         self.points = np.hstack([vectors, rest[:, None]])
-        self.order, self.leaf = np.arange(len(ids)), leaf
+        self.order, self.leaf, self.norm = np.arange(len(ids)), leaf, norm
         self.root = self._split(0, len(ids)) if len(ids) else None
         self.raw, self.ids, self.points = self.raw[self.order], self.ids[self.order], self.points[self.order]
 
@@ -64,7 +64,7 @@ class Tree:
         d = _distances(x[v : v + 1], x)[0]
         at = np.argsort(d, kind="stable")
         half = len(part) // 2
-        if d[at[-1]] - d[at[0]] < SLACK:
+        if d[at[-1]] - d[at[0]] < SLACK * self.norm:
             return node
         self.order[first:last] = part[at]
         d = d[at]
@@ -80,31 +80,40 @@ class Tree:
         if self.root is None or not n:
             return np.empty(0, int), np.empty(0, int), np.empty(0)
         points = np.hstack([queries, np.zeros((n, 1))])
-        best, who = np.full((n, k), np.inf), np.full((n, k), -1)
+        # inner products in the order of `inner`, which decide; lifted distances serve pruning only
+        best, who = np.full((n, k), -np.inf), np.full((n, k), -1)
+        square = (queries * queries).sum(1)
+        slack = SLACK * np.sqrt(square + self.norm**2)
+        # twice what the sums of a product's components can differ by in whatever order they are added
+        error = 2 * (queries.shape[1] + 2) * np.finfo(float).eps * np.sqrt(square)
+
+        def reach(rows: np.ndarray) -> np.ndarray:
+            """Lifted distance of the k-th best so far."""
+            return np.sqrt(np.maximum(square[rows] + self.norm**2 - 2 * best[rows, -1], 0)) + slack[rows]
 
         def leaf(node: Node, rows: np.ndarray) -> None:
             for at in range(node.first, node.last, 4096):
                 end = min(node.last, at + 4096)
+                sizes = np.sqrt((self.raw[at:end] ** 2).sum(1))
                 for i in range(0, len(rows), 1024):
                     r = rows[i : i + 1024]
-                    d = _distances(points[r], self.points[at:end])
-                    d[ids[r][:, None] == self.ids[None, at:end]] = np.inf
-                    closer = (d <= best[r, -1:] + SLACK).any(1)
-                    r, d = r[closer], d[closer]
-                    if not len(r):
+                    about, off = queries[r] @ self.raw[at:end].T, error[r][:, None] * sizes
+                    about[ids[r][:, None] == self.ids[None, at:end]] = -np.inf
+                    least = best[r, -1:]
+                    if end - at > k:
+                        least = np.maximum(least, np.partition(about - off, end - at - k, axis=1)[:, end - at - k, None])
+                    row, col = np.nonzero((about + off >= least) & np.isfinite(about))
+                    if not len(row):
                         continue
-                    m = min(2 * k, d.shape[1])
-                    # only the nearest go on, unless ties at their end make it more than 2k
-                    names = np.broadcast_to(np.arange(at, end), d.shape)
-                    if d.shape[1] > m:
-                        edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k] + SLACK
-                        if ((d <= edge).sum(1) <= m).all():
-                            names = np.argpartition(d, m - 1, axis=1)[:, :m]
-                            d, names = np.take_along_axis(d, names, 1), names + at
-                    both, names = np.hstack([best[r], d]), np.hstack([who[r], names])
-                    # ties in distance go to the smaller id
+                    exact = np.concatenate([inner(queries[r[row[x : x + 65536]]], self.raw[at + col[x : x + 65536]]) for x in range(0, len(row), 65536)])
+                    count = np.bincount(row, minlength=len(r))
+                    place = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+                    new, names = np.full((len(r), count.max()), -np.inf), np.full((len(r), count.max()), -1)
+                    new[row, place], names[row, place] = exact, at + col
+                    both, names = np.hstack([best[r], new]), np.hstack([who[r], names])
+                    # ties go to the smaller id
                     name_ids = np.where(names >= 0, self.ids[names], np.iinfo(np.int64).max)
-                    keep = np.lexsort((name_ids, np.round(both, 9)), axis=1)[:, :k]
+                    keep = np.lexsort((name_ids, -both), axis=1)[:, :k]
                     best[r], who[r] = np.take_along_axis(both, keep, 1), np.take_along_axis(names, keep, 1)
 
         def first_leaf(node: Node, rows: np.ndarray) -> None:
@@ -126,7 +135,7 @@ class Tree:
             d = _distances(points[rows], self.points[node.vantage : node.vantage + 1])[:, 0]
             for (low, high), child in sorted(((node.near, node.left), (node.far, node.right)), key=lambda x: np.maximum(d - x[0][1], x[0][0] - d).mean()):
                 bound = np.maximum(np.maximum(d - high, low - d), 0)
-                rest = rows[bound * factor <= best[rows, -1] + SLACK]
+                rest = rows[bound * factor <= reach(rows)]
                 if len(rest):
                     visit(child, rest)
 
@@ -140,7 +149,7 @@ class Tree:
         visit(self.root, np.arange(n))
         row, col = np.nonzero((who >= 0) & np.isfinite(best))
         member = who[row, col]
-        return row, member, inner(queries[row], self.raw[member])
+        return row, member, best[row, col]
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:

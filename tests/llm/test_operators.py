@@ -419,6 +419,23 @@ def test_nearest_against_brute_force(spark):
     assert vptree.nearest(e.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("norm", [1.0, 1e4, 1e8])
+def test_one_long_vector_hides_no_neighbour(norm):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[77] *= norm
+    ids = np.arange(len(x))
+    tree = vptree.Tree(ids, x, float(np.linalg.norm(x, axis=1).max()) * (1 + 1e-12))
+    row, member, score = tree.search(ids[:70], x[:70], 20)
+    got = sorted((int(r), int(tree.ids[m]), float(s)) for r, m, s in zip(row, member, score, strict=True))
+    want = []
+    for q in range(70):
+        s = vptree.inner(np.repeat(x[q : q + 1], len(x), 0), x)
+        want += [(q, int(i), float(s[i])) for i in np.lexsort((ids, -s)) if i != q][:20]
+    assert got == sorted(want)
+
+
 def test_tree_factor():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3000, 3))
