@@ -197,15 +197,17 @@ def _article(chosen: list[Path], every: list[Path]) -> Element:
         if up.tag in ("article", "main"):
             return up
         up = up.parent
-    # the text may stand in several elements, one of which is the article
+    # the text may stand in several elements, one of which is the article if it holds nine tenths of the selected text
+    selected = sum(len(n.text) for p in chosen for n in p.nodes)
     for tag in ("article", "main"):
         inside = {id(a): (a, 0) for p in every for n in p.nodes if (a := _named(n.element, tag)) is not None}
         for p in chosen:
             for n in p.nodes:
                 if (a := _named(n.element, tag)) is not None:
                     inside[id(a)] = a, inside[id(a)][1] + len(n.text)
-        if inside and max(size for _, size in inside.values()):
-            return max(inside.values(), key=lambda x: x[1])[0]
+        best, size = max(inside.values(), key=lambda x: x[1], default=(top, 0))
+        if size * 10 >= selected * 9:
+            return best
     while top.parent is not None and (top.tag not in BLOCKS or top.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "td")):
         top = top.parent
     return top

@@ -521,6 +521,14 @@ def test_main_text(page, want):
     assert tagpath.main_text(page) == want
 
 
+def test_text_in_two_articles_is_whole():
+    halves = [" ".join(f"{w}{i}, with words of its own." for i in range(40)) for w in ("first", "second")]
+    page = "<html><body><div>" + "".join(f"<article><p>{h}</p></article>" for h in halves) + "</div></body></html>"
+    beside = f"<html><body><div><div><p>{halves[0]} {halves[1]}</p></div><article><p>{halves[0][:300]}</p></article></div></body></html>"
+    assert all(h in tagpath.main_text(page) for h in halves)
+    assert all(h in tagpath.main_text(beside) for h in halves)
+
+
 def test_extraction_query(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x.</p>"), (2, None, None), (1, "u", "<p>x.</p>")], "page_id long, url string, html string").withColumn("text", F.lit("old"))
     got = sorted(tuple(r) for r in tagpath.extraction_digest(pages).fillna("").collect())
