@@ -8,6 +8,8 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def summary(**tables: DataFrame) -> DataFrame:
     """(name, count, distinct_ids, min_id, max_id, unique) per table."""
@@ -32,14 +34,19 @@ def rewrite_refs(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
 
 
 def running_number(df: DataFrame, order: list[str], column: str) -> DataFrame:
-    """Numbers rows from 1 in the given order without one task for all: range partitions, counts, offsets."""
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = df.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(*order)
-    numbered = ranged.withColumn("_in", F.row_number().over(within))
-    sizes = numbered.groupBy("_part").agg(F.max("_in").alias("_size"))
-    before = sizes.alias("s").join(F.broadcast(sizes.alias("t")), F.col("t._part") < F.col("s._part"), "left").groupBy("s._part").agg(F.coalesce(F.sum("t._size"), F.lit(0)).alias("_before"))
-    return numbered.join(F.broadcast(before), "_part").withColumn(column, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+    """Numbers rows from 1 in the given order without one task for all: range partitions, counts, offsets.
+
+    The ranges are sampled and dealt once: rows are written with their range and place in it, and
+    sizes and numbers are both read from that table.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the id's upper bits are the partition, its lower 33 bits the place in it
+    placed = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "running-number").withColumns({"_part": F.shiftright("_at", 33), "_in": F.expr("_at & 8589934591L")})
+    sizes = placed.groupBy("_part").agg((F.max("_in") + 1).alias("_size"))
+    # one row for each range, so that this window is small whatever the rows
+    before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(column, F.col("_in") + F.col("_before") + 1).drop("_at", "_part", "_in", "_before")
 
 
 def add_rows(existing: DataFrame, incoming: DataFrame, position: str, remap: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import contained, overlaps
+from ..storage import shared_folder
 
 
 def proper(rects: DataFrame) -> DataFrame:
@@ -101,11 +102,7 @@ def smaller_members(rects: DataFrame, groups: DataFrame) -> DataFrame:
 def overlap_groups(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, component): the smallest id reachable over edges (a_id, b_id); labels and their own labels are followed until nothing changes."""
     both = edges.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).union(edges.select("b_id", "a_id")).distinct()
-    if edges.sparkSession.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-")
-        edges.sparkSession.sparkContext.setCheckpointDir(folder)
+    shared_folder(edges.sparkSession, "overlap-groups")
     both = both.checkpoint()
     label = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")).checkpoint()
     for _ in range(rounds):

@@ -253,3 +253,20 @@ def test_ring_distances_of_all_pairs_of_an_image(spark):
         by_image.setdefault(r.image_id, []).append(r.id)
     want = {(a, b) for ids_ in by_image.values() for a in ids_ for b in ids_ if a < b}
     assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
+@pytest.mark.parametrize("parts", [4, 8, 16])
+def test_running_numbers_are_whole_and_in_order(spark, parts):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = spark.range(60_000).selectExpr("pmod(xxhash64(id), 1000000007) AS pos", "id AS a", "repeat(CAST(id AS STRING), 3) AS b")
+        got = ids.running_number(rows, ["pos", "a"], "n").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    want = got.sort_values(["pos", "a"])
+    assert (want["n"].to_numpy() == np.arange(1, 60_001)).all() and (got["b"] == got["a"].astype(str) * 3).all()
+
+
+def test_running_number_of_no_rows(spark):
+    assert ids.running_number(spark.range(0), ["id"], "n").collect() == []
