@@ -259,10 +259,10 @@ def tile_crossings(spark, sf):
     return found.join(box.select(F.col("id").alias("box_id"), "image_id"), "box_id").select("image_id", "tile_id", "box_id", "kind", F.array_join("boundaries", ",").alias("boundaries"))
 
 
-@query("joi15_images_without_annotations", sql("SELECT c.c_custkey AS id FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)"))
+@query("joi15_images_without_annotations", sql("SELECT c.c_custkey AS id FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')"))
 def images_without(spark, sf):
     images = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    return ids.without_annotations(images, V.table(spark, sf, "orders").select(F.col("o_custkey").alias("image_id")))
+    return ids.without_annotations(images, V.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("image_id")))
 
 
 @query("joi16_rewrite_refs", sql("SELECT id, CASE WHEN image_id % 3 = 0 THEN image_id + 1000000 ELSE image_id END AS image_id FROM ann"))
@@ -519,7 +519,7 @@ def cloud_hulls(spark, sf):
     return polygons.cloud_hulls(p, "image_id")
 
 
-@query("spa17_ring_distances", sql("SELECT a.id AS a_id, b.id AS b_id, greatest(a.x, b.x) <= least(a.x1, b.x1) AND greatest(a.y, b.y) <= least(a.y1, b.y1) AS hit, round(sqrt(pow(greatest(0, greatest(a.x, b.x) - least(a.x1, b.x1)), 2) + pow(greatest(0, greatest(a.y, b.y) - least(a.y1, b.y1)), 2)), 5) AS distance FROM ann a JOIN ann b ON a.image_id = b.image_id AND b.id > a.id AND b.id <= a.id + 400"))
+@query("spa17_ring_distances", sql("SELECT a.id AS a_id, b.id AS b_id, greatest(a.x, b.x) <= least(a.x1, b.x1) AND greatest(a.y, b.y) <= least(a.y1, b.y1) AS hit, round(sqrt(pow(greatest(0, greatest(a.x, b.x) - least(a.x1, b.x1)), 2) + pow(greatest(0, greatest(a.y, b.y) - least(a.y1, b.y1)), 2)), 5) AS distance FROM ann a JOIN ann b ON a.image_id = b.image_id AND b.id > a.id"))
 def ring_distances(spark, sf):
     a = V.annotations(spark, sf).selectExpr("id", "image_id", "array(x, y, x + w, y, x + w, y + h, x, y + h) AS ring")
     b = a.toDF("b_id", "_i", "ring_b")

@@ -212,7 +212,7 @@ _C = "c AS (SELECT label, count(*) AS n, avg(f0) AS c0, avg(f1) AS c1 FROM v GRO
 
 @query("mlo05_silhouette", sql("""SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM (
  SELECT p.id, max(CASE WHEN p.label = q.label THEN q.n END) AS n, max(CASE WHEN p.label = q.label THEN d / nullif(q.n - 1, 0) END) AS a, min(CASE WHEN p.label <> q.label THEN d / q.n END) AS b FROM v p
- JOIN (SELECT p.id, q.label, count(*) AS n, sum(pow(p.f0 - q.f0, 2) + pow(p.f1 - q.f1, 2)) AS d FROM v p, v q GROUP BY ALL) q ON p.id = q.id GROUP BY p.id)""", _V))
+ JOIN (SELECT p.id, q.label, count(*) AS n, sum(sqrt(pow(p.f0 - q.f0, 2) + pow(p.f1 - q.f1, 2))) AS d FROM v p, v q GROUP BY ALL) q ON p.id = q.id GROUP BY p.id)""", _V))
 def silhouette(spark, sf):
     return rounded(clustering.silhouette(_vectors(spark, sf), F2))
 
