@@ -1,9 +1,11 @@
 """HTML main text by tag-path ratios.
 
-A page's text nodes are grouped by their path of tags from the root. Each path gets the ratio of
-its text length and of its punctuation to its number of nodes, in page order of first appearance; both
-are smoothed over neighbouring paths, fused into one score and cut by a threshold. The smallest
-element that holds the selected paths' text is the article; its blocks are the result.
+A page's text is grouped by its path of tags from the root to the innermost block (inline markup is
+part of its block). Each path gets two ratios to its number of blocks: text length, where text in
+links counts a quarter, and punctuation. Both are smoothed over the tree of paths, where paths that
+are few steps apart lend each other weight, fused into one score and cut by a threshold. Paths
+in elements marked as menus, adverts and so on score below zero. The blocks of the selected paths
+are the result, with those paths that fill gaps within an element of mostly selected text.
 """
 
 from __future__ import annotations
@@ -12,21 +14,24 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import exp
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import plus, rows_of
 
-#: Elements without text of the article, and words in class, id or role that mark such elements.
+#: Elements whose text is none of the page's.
 NO_TEXT = frozenset("script style noscript template svg math head title iframe object canvas select option textarea button".split())
+#: Elements that stand beside the article, and words in class, id or role that mark others as such.
 SIDE = frozenset("nav header footer aside form menu dialog".split())
 SIDE_WORDS = frozenset("ad ads advert adverts advertisement banner promo sponsor sponsored nav navbar navigation menu sidebar side breadcrumb breadcrumbs header footer masthead comment comments disqus reply replies respond cookie cookies consent notice notices newsletter subscribe popup modal share sharing social related recommended widget toolbar pagination pager legal copyright".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu dialog alert".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption center dialog menu".split())
+#: Markup within a block, which makes no path of its own.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Opening one of the second kind ends an open one of the first.
 _P_ENDS = BLOCKS - {"body", "html", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "caption"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
@@ -37,20 +42,37 @@ _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？")
-#: Width of the smoothing kernel, in paths, and how many deviations above the mean a path must be to be selected at all.
-SIGMA, CUT = 1.0, 0.0
+#: Width of the smoothing kernel and its reach, in steps between paths.
+SIGMA, REACH = 1.0, 4
+KERNEL = [exp(-0.5 * (d / SIGMA) ** 2) for d in range(REACH + 1)]
+#: The part of the best score from which a path is selected, and what a character in a link counts.
+CUT, LINK = 0.05, 0.25
 
 
-@dataclass
+@dataclass(eq=False)
+class Path:
+    """A node of the tree of tag paths, with the text that ends there."""
+
+    parent: Path | None = None
+    side: bool = False
+    text: bool = True
+    page: bool = False
+    children: dict[str, Path] = field(default_factory=dict)
+    chars: float = 0.0
+    plain: int = 0
+    punctuation: int = 0
+    blocks: set[int] = field(default_factory=set)
+
+
+@dataclass(eq=False)
 class Element:
     tag: str
     parent: Element | None
-    side: bool
-    path: str
-    depth: int
+    path: Path
+    link: bool = False
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     """A stretch of text within one element and block."""
 
@@ -59,21 +81,14 @@ class Node:
     text: str
 
 
-@dataclass
-class Path:
-    chars: int = 0
-    punctuation: int = 0
-    nodes: list[Node] = field(default_factory=list)
-
-
 def _marks(tag: str, attributes: str) -> tuple[str, bool]:
     """The element's name on a path, and whether it stands beside the article."""
     if not attributes.strip():
-        return tag, tag in SIDE or tag in NO_TEXT
+        return tag, tag in SIDE
     got = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
     words = {w for a in ("class", "id") for w in _SPLIT.split(got.get(a, "")) if w}
     hidden = "hidden" in _SPLIT.split(re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes.lower())) or "display:none" in got.get("style", "").replace(" ", "") or got.get("aria-hidden") == "true"
-    side = tag in SIDE or tag in NO_TEXT or bool(words & SIDE_WORDS) or got.get("role") in SIDE_ROLES or hidden
+    side = tag in SIDE or bool(words & SIDE_WORDS) or got.get("role") in SIDE_ROLES or hidden
     # an element named as the article or the page's body is not put aside by its class
     if tag in ("article", "main", "body", "html") and not hidden:
         side = False
@@ -81,9 +96,21 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool]:
     return name, side
 
 
+def _opened(here: Element, tag: str, name: str, side: bool) -> Element:
+    up = here.path
+    if tag in INLINE and not side:
+        path = up
+    else:
+        key = name + "!" * side
+        path = up.children.get(key)
+        if path is None:
+            path = up.children[key] = Path(up, up.side or side, up.text and tag not in NO_TEXT, tag in ("html", "body"))
+    return Element(tag, here, path, here.link or tag == "a")
+
+
 def text_nodes(page: str) -> Iterator[Node]:
     """The page's text in order; what is not closed is closed by what follows, as browsers do."""
-    root = Element("", None, False, "", 0)
+    root = Element("", None, Path(page=True))
     at, here, block = 0, root, 0
     lower = None
 
@@ -123,7 +150,7 @@ def text_nodes(page: str) -> Iterator[Node]:
         if tag in _SIBLINGS and (found := climbed(here, _SIBLINGS[tag], _LIST_ENDS[tag])) is not None:
             here = found.parent
         name, side = _marks(tag, m[3].removesuffix("/"))
-        here = Element(tag, here, here.side or side, f"{here.path}/{name}", here.depth + 1)
+        here = _opened(here, tag, name, side)
         if tag in _RAW:
             if lower is None:
                 lower = page.lower() if len(page.lower()) == len(page) else page
@@ -133,96 +160,129 @@ def text_nodes(page: str) -> Iterator[Node]:
         yield Node(here, block, page[at:])
 
 
-def _smoothed(x: np.ndarray) -> np.ndarray:
-    """Gaussian means over neighbours, without what lies beyond the ends."""
-    reach = max(1, round(2 * SIGMA))
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
-    n = len(x)
-    pad = lambda v: np.convolve(v, kernel, "full")[reach : reach + n]
-    return pad(x) / pad(np.ones(n))
-
-
-def path_scores(paths: list[Path]) -> np.ndarray:
-    """Fused, smoothed ratios: text length per node times punctuation per node, each as a share of the largest."""
-    chars = np.array([p.chars / max(len(p.nodes), 1) for p in paths], float)
-    marks = np.array([p.punctuation / max(len(p.nodes), 1) for p in paths], float)
-    # a path keeps at least its own ratio, so that one strong path is not lost among weak neighbours
-    chars, marks = np.maximum(_smoothed(chars), chars), np.maximum(_smoothed(marks), marks)
-    return chars / max(chars.max(), 1e-9) * (1 + marks / max(marks.max(), 1e-9)) / 2
+def ratios(path: Path) -> tuple[float, float]:
+    """Text length and punctuation for each block of the path."""
+    n = max(len(path.blocks), 1)
+    return path.chars / n, path.punctuation / n
+
+
+def _smoothed(paths: list[Path]) -> list[tuple[float, float]]:
+    """Both ratios' means over the paths within REACH steps, weighed by the kernel.
+
+    Sums by how far paths end below a node of the tree are made once, so that the work is that of
+    the paths and not of their pairs.
+    """
+    below: dict[Path, list[list[float]]] = {}
+    for p in paths:
+        t, u = ratios(p)
+        a: Path | None = p
+        for d in range(REACH + 1):
+            if a is None:
+                break
+            sums = below.setdefault(a, [[0.0, 0.0, 0.0] for _ in range(REACH + 1)])[d]
+            sums[0] += t
+            sums[1] += u
+            sums[2] += 1
+            a = a.parent
+    out = []
+    for p in paths:
+        t = u = n = 0.0
+        a, came = p, None
+        for up in range(REACH + 1):
+            if a is None:
+                break
+            rows = below[a]
+            for d in range(REACH + 1 - up):
+                x, y, z = rows[d]
+                if came is not None and d:
+                    x, y, z = (v - w for v, w in zip((x, y, z), came[d - 1], strict=True))
+                w = KERNEL[up + d]
+                t, u, n = t + w * x, u + w * y, n + w * z
+            a, came = a.parent, rows
+        out.append((t / n, u / n))
+    return out
+
+
+def path_scores(paths: list[Path]) -> list[float]:
+    """Fused scores: the mean of both smoothed ratios, each as a share of the largest, less by what part of the path's text is links.
+
+    A marked path has its own ratios' mean, below zero.
+    """
+    open_ = [p for p in paths if not p.side]
+    smooth = dict(zip(open_, _smoothed(open_), strict=True))
+    pairs = [smooth.get(p) or ratios(p) for p in paths]
+    most = [max((smooth[p][i] for p in open_), default=0.0) or 1.0 for i in (0, 1)]
+    fused = [(t / most[0] + u / most[1]) / 2 for t, u in pairs]
+    return [-f if p.side else f * p.chars / p.plain for p, f in zip(paths, fused, strict=True)]
+
+
+def _filled(paths: list[Path], chosen: set[Path]) -> set[Path]:
+    """Unmarked paths within elements of selected text.
+
+    A path is taken if half or more of the text of its lowest element with selected text is
+    selected; the whole page is such an element only where selected text stands directly in it. Of
+    mostly links it is taken only beside selected blocks.
+    """
+    total: dict[Path, int] = {}
+    selected: dict[Path, int] = {}
+    for p in paths:
+        if not p.side:
+            a: Path | None = p
+            while a is not None:
+                total[a] = total.get(a, 0) + p.plain
+                if p in chosen:
+                    selected[a] = selected.get(a, 0) + p.plain
+                a = a.parent
+    direct = chosen | {p.parent for p in chosen}
+    more = set()
+    for p in paths:
+        if p in chosen or p.side:
+            continue
+        if p.chars < p.plain / 2:
+            if p.parent in direct and not p.parent.page:
+                more.add(p)
+            continue
+        a = p
+        while a.parent is not None and a not in selected:
+            a = a.parent
+        if a in selected and 2 * selected[a] >= total[a] and (not a.page or a in direct):
+            more.add(p)
+    return more
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks joined by two line feeds; empty if there is none."""
-    nodes = [n for n in text_nodes((page or "").replace("\0", "")) if n.text and not n.element.side]
-    paths: dict[str, Path] = {}
+    nodes = [n for n in text_nodes((page or "").replace("\0", "")) if n.text and n.element.path.text]
+    paths: dict[Path, None] = {}
     for n in nodes:
         n.text = html.unescape(n.text) if "&" in n.text else n.text
-        if n.text.strip():
-            p = paths.setdefault(n.element.path, Path())
-            p.nodes.append(n)
-            p.chars += len(n.text.strip())
+        if size := len(n.text.strip()):
+            p = n.element.path
+            paths[p] = None
+            p.blocks.add(n.block)
+            p.plain += size
+            p.chars += size * LINK if n.element.link else size
             p.punctuation += sum(map(n.text.count, PUNCTUATION))
-    if not paths:
-        return ""
-    ordered = list(paths.values())
-    score = path_scores(ordered)
-    least = score.mean() + CUT * score.std()
-    chosen = [p for p, s in zip(ordered, score, strict=True) if s >= least]
-    top = _article(chosen, ordered)
+    ordered = list(paths)
+    scores = path_scores(ordered)
+    least = CUT * max(scores, default=0.0)
+    chosen = {p for p, s in zip(ordered, scores, strict=True) if s > 0 and s >= least}
+    chosen |= _filled(ordered, chosen)
     blocks: dict[int, list[str]] = {}
     for n in nodes:
-        if _within(n.element, top):
+        if n.element.path in chosen:
             blocks.setdefault(n.block, []).append(n.text)
     joined = (_SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n\n".join(b for b in joined if b)
 
 
-def _within(e: Element | None, top: Element) -> bool:
-    while e is not None and e.depth >= top.depth:
-        if e is top:
-            return True
-        e = e.parent
-    return False
-
-
-def _article(chosen: list[Path], every: list[Path]) -> Element:
-    """The selected text's common element, taken up to an article or main element where one holds it."""
-    found = [n.element for p in chosen for n in p.nodes]
-    top = found[0]
-    for e in found[1:]:
-        while top.parent is not None and not _within(e, top):
-            top = top.parent
-    up = top
-    while up is not None:
-        if up.tag in ("article", "main"):
-            return up
-        up = up.parent
-    # the text may stand in several elements, one of which is the article if it holds nine tenths of the selected text
-    selected = sum(len(n.text) for p in chosen for n in p.nodes)
-    for tag in ("article", "main"):
-        inside = {id(a): (a, 0) for p in every for n in p.nodes if (a := _named(n.element, tag)) is not None}
-        for p in chosen:
-            for n in p.nodes:
-                if (a := _named(n.element, tag)) is not None:
-                    inside[id(a)] = a, inside[id(a)][1] + len(n.text)
-        best, size = max(inside.values(), key=lambda x: x[1], default=(top, 0))
-        if size * 10 >= selected * 9:
-            return best
-    while top.parent is not None and (top.tag not in BLOCKS or top.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "td")):
-        top = top.parent
-    return top
-
-
-def _named(e: Element | None, tag: str) -> Element | None:
-    """The outermost element of that name around this one."""
-    found = None
-    while e is not None:
-        found, e = (e if e.tag == tag else found), e.parent
-    return found
-
-
 def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
-    """The input's rows and columns plus text (empty for null or textless html) and n_chars; columns of these names are replaced."""
+    """The input's rows and columns plus text and n_chars; columns of these names are replaced.
+
+    Null or textless html, and a page of marked elements only, have an empty text. Each row is read
+    by itself and whole, so that repeated rows have equal texts and a page of any length is one
+    task's row; no rows give none.
+    """
     pages = pages.drop(*({"text", "n_chars"} - {column}))
 
     def run(batches):

@@ -529,6 +529,90 @@ def test_text_in_two_articles_is_whole():
     assert all(h in tagpath.main_text(beside) for h in halves)
 
 
+def brute_scores(page):
+    """Scores by pairs of paths, each a tuple of names, over blocks found with a plain walk of well-formed markup."""
+    paths, stack, block, plain = {}, [], 0, defaultdict(int)
+    for m in re.finditer(r"<(/?)(\w+)([^>]*)>|([^<]+)", page):
+        if m[4] is not None:
+            if m[4].strip():
+                key = tuple(n for n, inline in stack if not inline)
+                got = paths.setdefault(key, [0.0, 0, set()])
+                got[0] += len(m[4].strip()) * (0.25 if any(n == "a" for n, _ in stack) else 1)
+                plain[key] += len(m[4].strip())
+                got[1] += sum(c in tagpath.PUNCTUATION for c in m[4])
+                got[2].add(block)
+            continue
+        block += m[2] in tagpath.BLOCKS
+        if m[1]:
+            stack.pop()
+        else:
+            mark = re.search("class='(\\w+)'", m[3])
+            side = m[2] in tagpath.SIDE or bool(mark and mark[1] in tagpath.SIDE_WORDS)
+            stack.append((m[2] + (f".{mark[1]}" if mark else "") + "!" * side, m[2] in tagpath.INLINE and not side))
+    ratio = {k: (t / len(b), u / len(b)) for k, (t, u, b) in paths.items()}
+    open_ = [k for k in ratio if not any(n.endswith("!") for n in k)]
+
+    def steps(a, b):
+        same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
+        return len(a) + len(b) - 2 * same
+
+    def smooth(k, i):
+        w = [(np.exp(-0.5 * steps(k, q) ** 2), ratio[q][i]) for q in open_ if steps(k, q) <= 4]
+        return sum(a * b for a, b in w) / sum(a for a, _ in w)
+
+    most = [max((smooth(k, i) for k in open_), default=0) or 1 for i in (0, 1)]
+    return [sum((smooth(k, i) * paths[k][0] / plain[k] if k in open_ else -ratio[k][i]) / most[i] for i in (0, 1)) / 2 for k in ratio]
+
+
+def random_page(rng, depth=0):
+    out = ""
+    for _ in range(rng.randrange(1, 4)):
+        tag = rng.choice(["div", "section", "p", "h2", "b", "a", "nav", "li"] if depth < 4 else ["b", "a"])
+        mark = rng.choice(["", "", " class='x'", " class='ad'"]) if tag not in ("b", "a") else ""
+        inner = prose(rng, rng.randrange(0, 30)) + rng.choice([".", ", yes!", ""])
+        if tag in ("div", "section", "nav"):
+            inner += random_page(rng, depth + 1)
+        out += f"<{tag}{mark}>{inner}</{tag}>"
+    return out
+
+
+def test_path_scores_against_pairs(monkeypatch):
+    rng = random.Random(14)
+    for _ in range(150):
+        page, seen = random_page(rng), []
+        own = tagpath.path_scores
+        with monkeypatch.context() as m:
+            m.setattr(tagpath, "path_scores", lambda paths, seen=seen, own=own: seen.append(own(paths)) or seen[-1])
+            tagpath.main_text(page)
+        assert seen[0] == pytest.approx(brute_scores(page), abs=1e-9)
+
+
+UNMARKED = [
+    # (page, blocks of its article): no article, main, class or id tells them
+    ("<body><div><ul><li><a>Home</a></li><li><a>News of today</a></li></ul></div><div><div><h2><a>Heading</a></h2><p>%s</p><p>%s</p><table><tr><td>12</td></tr></table></div></div><div><span><a>Imprint</a> <a>Terms</a></span></div></body>", ["Heading", 0, 1, "12"]),
+    ("<div><div><a>One</a> | <a>Two</a></div></div><section><div><p>%s <a>a link</a>.</p><ul><li>first</li></ul></div></section>", ["0 a link.", "first"]),
+    ("<table><tr><td><a>x</a></td></tr></table><h1>Title</h1><p>%s</p><pre>code</pre>", ["Title", 0, "code"]),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), UNMARKED)
+def test_ratios_alone_find_the_article(page, want, monkeypatch):
+    rng = random.Random(15)
+    long = [", ".join(prose(rng, 12) for _ in range(6)) + "." for _ in range(page.count("%s"))]
+    blocks = [long[w] if isinstance(w, int) else w.replace("0 ", long[0] + " ") if w.startswith("0 ") else w for w in want]
+    full = page % tuple(long)
+    assert tagpath.main_text(full) == "\n\n".join(blocks)
+    monkeypatch.setattr(tagpath, "path_scores", lambda paths: [1.0] * len(paths))
+    assert tagpath.main_text(full) != "\n\n".join(blocks)
+
+
+def test_a_very_long_page_is_whole():
+    rng = random.Random(16)
+    paragraphs = [f"{prose(rng, 40)}." for _ in range(20_000)]
+    page = "<nav><a>menu</a></nav><div>" + "".join(f"<p class='c{i}'>{p}</p>" for i, p in enumerate(paragraphs)) + "</div><footer>end</footer>"
+    assert tagpath.main_text(page) == "\n\n".join(paragraphs)
+
+
 def test_extraction_query(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x.</p>"), (2, None, None), (1, "u", "<p>x.</p>")], "page_id long, url string, html string").withColumn("text", F.lit("old"))
     got = sorted(tuple(r) for r in tagpath.extraction_digest(pages).fillna("").collect())
