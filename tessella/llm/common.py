@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import dropped, shared_folder, written  # noqa: F401
+
 #: A-Z and the letters they become; everything else stays as it is.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes.translate table that lower-cases A-Z only.
@@ -18,40 +18,19 @@ LOWER_BYTES = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 #: Python's bytes.split() cuts at exactly these: \x20 and \x09-\x0D.
 ASCII_SPACE = " \t\n\x0b\f\r"
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests on one machine.
-_own_folder: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own_folder:
-            _own_folder.append(tempfile.mkdtemp(prefix="tessella-"))
-        base = _own_folder[0]
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """The rows as a table in the shared folder: it cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = path or shared_folder(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(spark: SparkSession, *paths: str) -> None:
-    """Deletes tables in the shared folder, whatever file system that is."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names that no column of df has, whatever its case: those given, with underscores before them where they are taken."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
 
 
 def plus(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:

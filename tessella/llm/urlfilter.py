@@ -6,71 +6,81 @@ regression is fitted on the driver from a small labelled URL table.
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az
+from .common import fresh, lower_az
 from .training import minimise, sigmoid
 
 #: (host, path, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-BUCKETS, SIZES = 1 << 15, (3, 4, 5)
+BUCKETS, SIZES = 1 << 16, (3, 4, 5)
+#: So much decay, as the part of a third of the table's names left out is told best with it.
+DECAY = 1e-5
 
-#: Word parts of which the small labelled table is made. None is a host or path of a given table.
+#: Words of which the small labelled table's names are made: of sites to block, and of others.
 _BLOCK_WORDS = (
-    "spam spammy cheap pills pill pharma viagra cialis casino casinos slots roulette poker jackpot bet bets betting wager gamble win winner winning bonus lottery lotto prize prizes adult xxx porn sex sexy nude cams escort dating "
-    "singles hot ads adserver advert popup click clicks track tracker tracking banner affiliate free freebie deal deals discount replica fake knockoff rolex payday loan loans credit debt cash money rich crypto bitcoin coin doubler "
-    "forex invest profit malware virus phish phishing hack hacked crack keygen warez torrent download farm bait links seo backlink weight loss diet slim miracle cure pillstore"
+    "spammer spamming scam scammer cheapest pharma pharmacy viagra xanax tramadol casinos slots roulette blackjack poker jackpot betting bettor sportsbook wager gambling gamble winner winnings bonus lottery lotto sweepstake prizes "
+    "adults xxx porn pornstar sexy nude cams escort hookup dating adserver advert adverts popup popunder clickbait tracker tracking affiliate freebie freebies giveaway discounts replica counterfeit knockoff payday loans "
+    "moneymaker millionaire richquick doubling investor forex binary profits malware virus phish phishing hacked hacking cracked keygen warez torrent pirated botnet backlink linkbuilding fatburner slimming detox miracle cureall pillbox steroid singles onlyfans livecam striptease cashback getrich earnings pyramid ponzi airdrop nft whitelist presale bitcoins cryptos dogecoin luckyday megawin freeroll freespins wagers bookmaker tipster odds clicker pixeltrack adnetwork adtracker popads cheapo discounted pilule painkiller opioid spamming spambot junkmail spammy linkfarm contentfarm loseweight fatloss casinobonus hottest winning winfast"
 ).split()
 _ALLOW_WORDS = (
-    "library news museum university college school academy institute garden weather science physics chemistry biology recipes kitchen cooking bakery history heritage archive archives maps atlas forum docs manual guide wiki "
-    "encyclopedia dictionary music orchestra concert travel railway airport council city town village parish theatre opera cinema nature wildlife forest river mountain ocean journal review magazine gazette times herald post "
-    "tribune books reading poetry writers art gallery design studio hospital clinic health nursing charity foundation society sports football cricket tennis cycling running weather climate energy water engineering software "
-    "code developer research laboratory observatory astronomy geology farmers market bank insurance law court justice parliament government ministry embassy post office teacher student children family parents community church"
+    "library news museum university college school academy institute garden weather science physics chemistry biology recipes kitchen cooking bakery history heritage archive maps atlas forum docs manual guide wiki encyclopedia "
+    "dictionary music orchestra concert travel railway airport council city town village parish theatre opera cinema nature wildlife forest river mountain ocean journal review magazine gazette times herald post tribune books "
+    "reading poetry writers gallery design studio hospital clinic health nursing charity foundation society sports football cricket tennis cycling running climate energy water engineering software code developer research "
+    "laboratory observatory astronomy geology farmers market bank insurance law court justice parliament government ministry embassy office teacher student children family parents community church stadium harbour bridge castle"
 ).split()
-_BLOCK_PATHS = "/win/bonus /buy-cheap/now /xxx/1 /ads/click /free/bet /promo/77".split()
-_PLAIN_PATHS = "/about /articles/2021 /wiki/page / /index.html /contact /2020/05/story /p/991 /it/18 /pt/407.html /nl/5521/ /pl/63?id=3".split()
-#: Bad and good names of the given pages, never in the table, on which the regression is tested.
-_HELD_OUT = frozenset("spam-farm cheap-pills casino-win adult-x ads-track free-bets thering therha ththon tionsh thther therou tionble ththre thernd ththwh".split())
-#: Syllables of invented names that mean nothing, to be allowed.
-_SYLLABLES = "ba be bo da den der do el en er est fa fer ga gen ha hal her ing is ka ken ki la lan len ler li lor ma men mer mi na nen ner ni or pa per ra ren ri ro sa sen ser sha sho so ta ten ter tha the tho ti tion to ul un va ver vi wa wen wi".split()
+#: Letters of which invented names are made, to be allowed.
+_CONSONANTS, _VOWELS = "b c d f g h j k l m n p r s t v w z ch sh st th tr".split(), "a e i o u ai ea io ou".split()
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, 1 to block): names of one or two words of a class, and invented ones, below usual prefixes and on usual domains, with plain paths for both classes."""
-    ends, before = ("example.com", "example.net", "example.org"), ("", "www.", "m.", "blog.")
+    """(host, path, 1 to block): names of one to three words of a class, and invented ones, below usual prefixes and domains, with paths of one kind for both classes."""
+    ends, before = ("example.com", "example.net", "example.org", "test"), ("", "www.", "m.", "blog.", "shop.")
     rng = np.random.default_rng(0)
 
     def names(words: list[str], n: int) -> list[str]:
-        pairs = rng.integers(0, len(words), (n, 2))
-        marks = rng.choice(["-", "-", ""], n)
-        return [*words, *(f"{words[a]}{m}{words[b]}" for (a, b), m in zip(pairs, marks, strict=True) if a != b)]
+        chosen = [[words[i] for i in rng.integers(0, len(words), size)] for size in rng.choice([2, 2, 2, 3], n)]
+        return [*words, *(rng.choice(["-", "-", ""]).join(c) for c in chosen if len(set(c)) == len(c))]
+
+    def invented() -> str:
+        return "".join(rng.choice(_CONSONANTS) + rng.choice(_VOWELS) * (rng.random() < 0.7) + rng.choice(["n", "r", "s", "l", ""]) for _ in range(rng.integers(2, 5)))
+
+    def path(words: list[str]) -> str:
+        a, b = rng.integers(0, len(words), 2)
+        n = rng.integers(1, 100_000)
+        return str(rng.choice(["/", "", f"/{n}", f"/{n}.html", f"/{words[a]}", f"/{words[a]}-{words[b]}/{n}", f"/p/{n}/", f"/it/{n}", "/index.html"]))
 
-    invented = ["".join(_SYLLABLES[i] for i in rng.integers(0, len(_SYLLABLES), rng.integers(2, 5))) for _ in range(300)]
     out = []
-    for hosts, paths, y in ((names(_BLOCK_WORDS, 500), _BLOCK_PATHS + 2 * _PLAIN_PATHS, 1), (names(_ALLOW_WORDS, 300) + invented, _PLAIN_PATHS, 0)):
-        hosts = [h for h in hosts if h not in _HELD_OUT]
+    for hosts, y in ((names(_BLOCK_WORDS, 1200), 1), (names(_ALLOW_WORDS, 500) + [invented() for _ in range(700)], 0)):
         for i, h in enumerate(hosts):
-            for j, end in enumerate(ends):
-                out.append((f"{before[(i + j) % 4]}{h}.{end}", paths[(5 * i + j) % len(paths)], y))
+            out += [(f"{before[(i + j) % 5]}{h}.{end}", path(_BLOCK_WORDS if y else _ALLOW_WORDS), y) for j, end in enumerate(ends[i % 2 :: 2])]
     return out
 
 
-def ngram_buckets(host: str, path: str) -> np.ndarray:
-    """Distinct buckets of the n-grams of each part between its ends."""
-    found = set()
-    for mark, part in (("h^", host), ("p^", path)):
-        text = f"^{part}$".encode()
-        seed = zlib.crc32(mark.encode())
-        for n in SIZES:
-            found.update(zlib.crc32(text[i : i + n], seed) % BUCKETS for i in range(len(text) - n + 1))
-    return np.fromiter(found, np.int64, len(found))
+def ngram_buckets(hosts: Sequence[str], paths: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket): the distinct buckets of each row's n-grams of host and of path, each between end marks, for all rows at once."""
+    rows, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for seed, parts in ((1, hosts), (2, paths)):
+        texts = [f"^{p}$".encode("utf-8", "surrogatepass") for p in parts]
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+        row, left = np.repeat(np.arange(len(texts)), size), np.repeat(np.cumsum(size), size) - np.arange(len(data))
+        for n in (n for n in SIZES if len(data) >= n):
+            code = np.full(len(data) - n + 1, seed, np.uint64)
+            for i in range(n):
+                code = code * np.uint64(257) + data[i : len(data) - n + 1 + i]
+            whole = left[: len(code)] >= n
+            # Fibonacci hashing: the product's high bits
+            rows.append(row[: len(code)][whole])
+            found.append((code[whole] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64))
+    pairs = np.unique(np.concatenate(rows) * BUCKETS + np.concatenate(found))
+    return pairs // BUCKETS, pairs % BUCKETS
 
 
 @dataclass
@@ -78,23 +88,25 @@ class Logistic:
     weights: np.ndarray
     bias: float
 
+    def scores(self, hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
+        """The chances that the URLs are to be blocked, from the sum over n-grams divided by the root of their number."""
+        row, bucket = ngram_buckets(hosts, paths)
+        n = np.bincount(row, minlength=len(hosts))
+        return sigmoid(self.bias + np.bincount(row, self.weights[bucket], len(hosts)) / np.sqrt(np.maximum(n, 1)))
+
     def score(self, host: str, path: str) -> float:
-        """The chance that the URL is to be blocked; the mean over n-grams, scaled by the root of their number."""
-        at = ngram_buckets(host, path)
-        return float(sigmoid(np.array(self.bias + self.weights[at].sum() / np.sqrt(max(len(at), 1)))))
+        return float(self.scores([host], [path])[0])
 
 
-def fit(table: list[tuple[str, str, int]], steps: int = 400, decay: float = 1e-3) -> Logistic:
-    rows = [ngram_buckets(h, p) for h, p, _ in table]
-    used = np.unique(np.concatenate(rows))
-    x = np.zeros((len(rows), len(used)))
-    for i, r in enumerate(rows):
-        x[i, np.searchsorted(used, r)] = 1 / np.sqrt(len(r))
+def fit(table: list[tuple[str, str, int]], steps: int = 400, decay: float = DECAY) -> Logistic:
+    row, bucket = ngram_buckets([h for h, _, _ in table], [p for _, p, _ in table])
+    used, col = np.unique(bucket, return_inverse=True)
+    value = 1 / np.sqrt(np.bincount(row, minlength=len(table)))[row]
     y = np.array([t[2] for t in table], float)
 
     def slope(p, _):
-        g = (sigmoid(x @ p[0] + p[1][0]) - y) / len(y)
-        return [x.T @ g + decay * p[0], np.array([g.sum()])]
+        g = (sigmoid(np.bincount(row, p[0][col] * value, len(y)) + p[1][0]) - y) / len(y)
+        return [np.bincount(col, g[row] * value, len(used)) + decay * p[0], np.array([g.sum()])]
 
     w, b = minimise([np.zeros(len(used)), np.zeros(1)], slope, steps, 0.2)
     weights = np.zeros(BUCKETS)
@@ -104,8 +116,7 @@ def fit(table: list[tuple[str, str, int]], steps: int = 400, decay: float = 1e-3
 
 @lru_cache(1)
 def default_model() -> Logistic:
-    # so much decay as does best on a third of the table's names left out
-    return fit(labelled_urls(), decay=1e-5)
+    return fit(labelled_urls())
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -121,7 +132,10 @@ def judged(pages: DataFrame, url: str = "url", rules: tuple = RULES, model: Logi
     """The input's rows and columns plus host, path, rule, verdict and block_score.
 
     The longest fitting rule decides (of equally long ones the first named); block_score is the
-    regression's, null where a rule decides. Columns of these names are replaced.
+    regression's, null where a rule decides. A null url, or one without `://`, has an empty host and
+    path, which the regression judges like any other. Columns of these names are replaced; repeated
+    rows stay and no rows give none. One pass over the pages: rows that a rule decides come to
+    Python as nulls.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
 
@@ -129,21 +143,26 @@ def judged(pages: DataFrame, url: str = "url", rules: tuple = RULES, model: Logi
     def score(host, path):
         import pandas as pd
 
-        return pd.Series([shared.value.score(h, p) for h, p in zip(host, path, strict=True)], dtype="float64")
+        out = pd.Series(np.nan, index=host.index)
+        asked = host.notna()
+        if asked.any():
+            out[asked] = shared.value.scores(host[asked].tolist(), path[asked].tolist())
+        return out.astype("Float64").mask(~asked)
 
     host, path = host_and_path(F.col(url))
-    out = pages.withColumns({"host": host, "path": path})
-    order = sorted(rules, key=lambda r: -len(r[0] + r[1]))
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for h, p, v in reversed(order):
-        fits = ((F.col("host") == h) | F.endswith("host", F.lit("." + h))) & F.startswith("path", F.lit(p))
-        rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(v)).otherwise(verdict)
-    out = out.withColumns({"rule": rule, "_verdict": verdict})
-    # Python sees only what no rule decides
-    decided = out.where("rule IS NOT NULL").withColumn("block_score", F.lit(None).cast("double"))
-    rest = out.where("rule IS NULL").withColumn("block_score", score("host", "path"))
-    both = decided.unionByName(rest)
-    return both.withColumn("verdict", F.coalesce("_verdict", F.when(F.col("block_score") >= threshold, "block").otherwise("allow"))).drop("_verdict")
+    at, got = fresh(pages, "at", "got")
+    found = F.lit(None).cast("struct<rule: string, verdict: string>")
+    for h, p, v in reversed(sorted(rules, key=lambda r: -len(r[0] + r[1]))):
+        fits = ((F.col(f"{at}.host") == h) | F.endswith(f"{at}.host", F.lit("." + h))) & F.startswith(f"{at}.path", F.lit(p))
+        found = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))).otherwise(found)
+    out = pages.withColumn(at, F.struct(host.alias("host"), path.alias("path"))).withColumn(got, found)
+    asked = F.col(got).isNull()
+    new = {
+        "host": F.col(f"{at}.host"), "path": F.col(f"{at}.path"), "rule": F.col(f"{got}.rule"),
+        "block_score": score(F.when(asked, F.col(f"{at}.host")), F.when(asked, F.col(f"{at}.path"))),
+    }
+    out = out.select(*(c for c in pages.columns if c.lower() not in {*new, "verdict"}), *(c.alias(n) for n, c in new.items()), got)
+    return out.withColumn("verdict", F.coalesce(f"{got}.verdict", F.when(F.col("block_score") >= threshold, "block").otherwise("allow"))).drop(got)
 
 
 def url_digest(pages: DataFrame) -> DataFrame:
