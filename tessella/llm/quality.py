@@ -11,6 +11,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, plus, rows_of, written
-from .training import minimise, sigmoid, training_labels
+from .common import fresh, held_out, plus, rows_of, written
+from .training import known_labels, minimise, sigmoid, training_labels
 
 MODULUS, REMAINDER = 3, 1
 #: Most labelled rows that the classifier is fitted on.
 TRAIN_ROWS = 8_000
 BUCKETS, DIM, ONES, WINDOW, HIDDEN = 1 << 14, 64, 4, 2, 32
-#: Tasks over which the sample is spread, so as many partial sums of vectors come to the driver.
-SAMPLE_TASKS = 6
+#: Rows of the sample for one task, and slices in which the vectors' sums are added up by executors.
+TASK_ROWS, SLICES = 256, 16
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+#: Tokens that are held at once; a text of any length is read on with what its next block needs of the last.
 _BLOCK = 50_000
 REPEAT = zlib.crc32(b"\x01=") % BUCKETS
 
@@ -45,42 +47,65 @@ class _Buckets(dict):
     """Token to bucket. All-capital words share one and numbers another; case is kept otherwise."""
 
     def __missing__(self, token: str) -> int:
-        shape = "\x01A" if len(token) > 1 and token.isupper() else "\x010" if token[0].isdigit() else token[:64]
-        if len(self) > 500_000:
-            self.clear()
-        self[token] = bucket = zlib.crc32(shape.encode("utf-8", "surrogatepass")) % BUCKETS
+        shape = "\x01A" if len(token) > 1 and token.isupper() else "\x010" if token[0].isdigit() else token
+        bucket = zlib.crc32(shape.encode("utf-8", "surrogatepass")) % BUCKETS
+        if len(token) <= 64:
+            if len(self) > 500_000:
+                self.clear()
+            self[token] = bucket
         return bucket
 
 
 _buckets = _Buckets()
 
 
-def token_buckets(text: str | None) -> Iterator[np.ndarray]:
-    """Buckets of the text's tokens, in blocks; a token equal to the one before counts as a repeat."""
-    held: list[int] = []
-
-    def block() -> np.ndarray:
-        ids = np.array(held, np.int32)
-        ids[1:][ids[1:] == ids[:-1]] = REPEAT
-        return ids
-
-    for token in _TOKEN.findall(text or ""):
-        held.append(_buckets[token])
-        if len(held) == _BLOCK:
-            yield block()
-            held = []
-    if held:
-        yield block()
-
-
-def neighbour_sums(texts: list[str | None], index: np.ndarray) -> np.ndarray:
-    total = np.zeros((BUCKETS, DIM), np.float32)
-    for text in texts:
-        for ids in token_buckets(text):
+def token_buckets(text: str | None, block: int = _BLOCK) -> Iterator[np.ndarray]:
+    """Buckets of the text's tokens, in blocks; a token whose bucket is that of the one before counts as a repeat."""
+    last = -1
+    found = map(_buckets.__getitem__, (m[0] for m in _TOKEN.finditer(text))) if text and len(text) > block else map(_buckets.__getitem__, _TOKEN.findall(text or ""))
+    while len(raw := np.fromiter(islice(found, block), np.int32)):
+        ids = raw.copy()
+        ids[1:][raw[1:] == raw[:-1]] = REPEAT
+        if raw[0] == last:
+            ids[0] = REPEAT
+        last = int(raw[-1])
+        yield ids
+
+
+class NeighbourSums:
+    """[bucket, DIM]: for each bucket the sum of the index vectors of tokens at most WINDOW places away."""
+
+    def __init__(self, index: np.ndarray):
+        self.total = np.zeros(BUCKETS * DIM)
+        at = np.argsort(-np.abs(index), axis=1, kind="stable")[:, :ONES]
+        self.at, self.sign = at, np.take_along_axis(index, at, 1).astype(np.float64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, text: str | None, block: int = _BLOCK) -> None:
+        tail = np.empty(0, np.int32)
+        for ids in token_buckets(text, block):
+            whole = np.concatenate([tail, ids])
             for step in range(1, WINDOW + 1):
-                np.add.at(total, ids[step:], index[ids[:-step]])
-                np.add.at(total, ids[:-step], index[ids[step:]])
-    return total
+                # pairs that lie in the tail were counted with the last block
+                a, b = whole[:-step], whole[step:]
+                skip = max(len(tail) - step, 0)
+                self.held += [(a[skip:], b[skip:]), (b[skip:], a[skip:])]
+                self.waiting += 2 * max(len(a) - skip, 0)
+            tail = whole[-WINDOW:]
+            if self.waiting > 500_000:
+                self._flush()
+
+    def _flush(self) -> None:
+        if self.held:
+            to, near = (np.concatenate(x).astype(np.int64) for x in zip(*self.held, strict=True))
+            for k in range(ONES):
+                self.total += np.bincount(to * DIM + self.at[near, k], self.sign[near, k], len(self.total))
+        self.held, self.waiting = [], 0
+
+    def sums(self) -> np.ndarray:
+        self._flush()
+        return self.total.reshape(BUCKETS, DIM)
 
 
 def word_vectors(sums: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -147,20 +172,28 @@ def train_network(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, steps: int
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.ndarray, Network | float]:
     """Word vectors and network from labelled rows outside the held-out fold; a number where only one label is known."""
     spark, index = docs.sparkSession, index_vectors()
-    known = training_labels(labels, "quality", MODULUS, REMAINDER, most)
+    known = training_labels(known_labels(labels, "quality", MODULUS, REMAINDER), most)
     if len({y for _, y in known}) < 2:
         return index / np.float32(np.sqrt(ONES)), float(known[0][1]) if known else 0.5
     ids = spark.createDataFrame(known, "_id long, y int")
     # at most `most` ids, so the broadcast is bounded
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y"), "quality-sample").coalesce(SAMPLE_TASKS)
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y"), "quality-sample").coalesce(-(-len(known) // TASK_ROWS))
 
     def sums(batches):
-        total = np.zeros((BUCKETS, DIM), np.float32)
+        sums = NeighbourSums(index)
         for _, (texts,) in rows_of(batches, "text"):
-            total += neighbour_sums(texts, index)
-        yield pa.record_batch([pa.array([total.tobytes()])], names=["sums"])
-
-    total = sum(np.frombuffer(r.sums, np.float32).astype(np.float64).reshape(BUCKETS, DIM) for r in sample.mapInArrow(sums, "sums binary").collect())
+            for t in texts:
+                sums.add(t)
+        parts = [x.tobytes() for x in np.split(sums.sums().astype(np.float32), SLICES)]
+        yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array(parts)], names=["slice", "sums"])
+
+    def added(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in t.column("sums").to_pylist())
+        return pa.table({"slice": t.column("slice")[:1], "sums": pa.array([total.tobytes()])})
+
+    # each executor adds some slices up, so that one set of vectors comes to the driver
+    slices = sample.mapInArrow(sums, "slice int, sums binary").groupBy("slice").applyInArrow(added, "slice int, sums binary").collect()
+    total = np.concatenate([np.frombuffer(r.sums).reshape(-1, DIM) for r in sorted(slices, key=lambda r: r.slice)]) if slices else np.zeros((BUCKETS, DIM))
     vectors = word_vectors(total, index)
     shared = spark.sparkContext.broadcast(vectors)
 
@@ -174,22 +207,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> t
     return vectors, train_network(np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, into: str = "quality_score") -> DataFrame:
     """The input's rows and columns plus quality_score (0 to 1; higher: better).
 
     Null and empty texts have no tokens and get the score of zero vectors. With labels of one kind
-    only that label is every score, without labels 0.5. A column quality_score is replaced.
+    only that label is every score, without labels 0.5. Repeated rows have equal scores; a column
+    of the name `into` is replaced; no rows give none.
     """
     vectors, net = fit_quality(docs, labels, most)
     model = docs.sparkSession.sparkContext.broadcast((vectors, net))
-    docs = docs.drop("quality_score")
-    schema = plus(docs.schema, "quality_score", T.DoubleType())
+    docs = docs.drop(into)
+    schema = plus(docs.schema, into, T.DoubleType())
 
     def run(batches):
         vectors, net = model.value
         for part, (texts,) in rows_of(batches, "text"):
             score = net.score(pooled(texts, vectors)) if isinstance(net, Network) else np.full(len(texts), net)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, into])
 
     return docs.mapInArrow(run, schema)
 
@@ -201,5 +235,10 @@ def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The input's rows and columns whose score is 0.5 or more."""
-    return score_quality(docs, labels).where("quality_score >= 0.5").select(*docs.columns)
+    """The input's rows and columns whose score is 0.5 or more.
+
+    Null and empty texts are scored as in `score_quality`; repeated rows share their fate, columns of
+    any name stay as they are, and no rows give none.
+    """
+    (score,) = fresh(docs, "quality_score")
+    return score_quality(docs, labels, into=score).where(F.col(score) >= 0.5).drop(score)

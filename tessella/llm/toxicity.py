@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import held_out, plus, rows_of, written
-from .training import minimise, sampled, sigmoid, training_labels
+from .training import known_labels, minimise, sampled, sigmoid, training_labels
 
 MODULUS, REMAINDER = 4, 2
-#: Most labelled rows, most unlabelled rows and most features of the classifier.
-TRAIN_ROWS, UNLABELLED_ROWS, FEATURES = 24_000, 24_000, 400
+#: Most toxic rows, most unlabelled rows and most features of the classifier; rows of the sample for one task.
+TRAIN_ROWS, UNLABELLED_ROWS, FEATURES, TASK_ROWS = 24_000, 24_000, 400, 1_000
 #: Least toxic rows with a feature, and least log-odds over its standard error.
 LEAST_ROWS, LEAST_SURE = 3, 4.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -99,17 +99,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, unl
     The class prior is the share of toxic labels there. Without a toxic label all scores are 0.
     """
     spark = docs.sparkSession
-    known = training_labels(labels, "toxic", MODULUS, REMAINDER, most)
-    toxic = [(i, 1) for i, y in known if y]
+    known = known_labels(labels, "toxic", MODULUS, REMAINDER)
+    n = known.agg(F.count("*").alias("all"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
+    toxic = training_labels(known.where("y = 1"), most)
     if not toxic:
         return Linear({}, np.zeros(0), -40.0)
-    prior = min(0.95, len(toxic) / len(known))
+    prior = min(0.95, n.toxic / n["all"])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     # at most `most` ids, so the broadcast is bounded
     ids = F.broadcast(spark.createDataFrame(toxic, "_id long, y int"))
     chosen = sampled(texts.where(~held_out(F.col("doc_id"), MODULUS, REMAINDER)), "doc_id", unlabelled)
     rows = texts.join(ids, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y").union(chosen.select("doc_id", "text", F.lit(0)))
-    sample = written(rows, "toxicity-sample").repartition(6, "doc_id")
+    sample = written(rows, "toxicity-sample").coalesce(-(-(len(toxic) + unlabelled) // TASK_ROWS))
 
     def count(batches):
         found = {0: Counter(), 1: Counter()}
@@ -147,7 +148,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, unl
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The input's rows and columns plus toxicity_score (0 to 1). Null and empty texts have no words and get the bias' score."""
+    """The input's rows and columns plus toxicity_score (0 to 1).
+
+    Null and empty texts have no words and get the bias' score. Repeated rows have equal scores; a
+    column toxicity_score is replaced; no rows give none. Without a toxic label all scores are 0.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels))
     docs = docs.drop("toxicity_score")
 

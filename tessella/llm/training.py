@@ -19,10 +19,14 @@ def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
-def training_labels(labels: DataFrame, label: str, modulus: int, remainder: int, most: int) -> list[tuple[int, int]]:
-    """(doc_id, 0 or 1) outside the held-out fold; null ids or labels don't count, of several labels the smallest does."""
+def known_labels(labels: DataFrame, label: str, modulus: int, remainder: int) -> DataFrame:
+    """(doc_id, y) outside the held-out fold; null ids or labels don't count, of several labels the smallest does."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), modulus, remainder))
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y"))
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y"))
+
+
+def training_labels(known: DataFrame, most: int) -> list[tuple[int, int]]:
+    """About `most` of the labels (doc_id, y), chosen by the id's hash."""
     return sorted((r.doc_id, r.y) for r in sampled(known, "doc_id", most).collect())
 
 

@@ -696,3 +696,73 @@ def test_arc_headers_of_both_versions():
 def test_bad_archives_fail(data):
     with pytest.raises(arc.ArcError):
         list(arc.parse_arc(data))
+
+
+# edges of blocks, and brute-force versions of the classifiers' features
+
+
+def brute_tokens(text):
+    shapes = []
+    for t in re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", text or ""):
+        shapes.append(zlib.crc32(("\x01A" if len(t) > 1 and t.isupper() else "\x010" if t[0].isdigit() else t).encode()) % quality.BUCKETS)
+    return [quality.REPEAT if i and b == shapes[i - 1] else b for i, b in enumerate(shapes)]
+
+
+@pytest.mark.parametrize("block", [quality._BLOCK, 7, 1])
+def test_tokens_and_neighbours_over_block_edges(block):
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice(["a", "b", "no", "NO", "7", "x" * 64 + "y", "x" * 64 + "z", "!"]) for _ in range(n)) for n in (0, 1, 2, 30, 61)] + ["same " * 50, None]
+    index = quality.index_vectors()
+    want, sums = np.zeros((quality.BUCKETS, quality.DIM)), quality.NeighbourSums(index)
+    for t in texts:
+        ids = brute_tokens(t)
+        assert np.concatenate([np.empty(0, np.int32), *quality.token_buckets(t, block)]).tolist() == ids
+        for i, a in enumerate(ids):
+            for j in range(max(0, i - quality.WINDOW), min(len(ids), i + quality.WINDOW + 1)):
+                if i != j:
+                    want[a] += index[ids[j]]
+        sums.add(t, block)
+    assert np.allclose(sums.sums(), want)
+
+
+def test_long_tokens_differ_by_their_ends():
+    (a,), (b,) = (np.concatenate(list(quality.token_buckets("x" * 64 + c))).tolist() for c in "yz")
+    assert a != b
+
+
+def test_a_repeat_at_the_edge_of_a_long_text():
+    ids = np.concatenate(list(quality.token_buckets("word " * 50_001)))
+    assert len(ids) == 50_001 and (ids[1:] == quality.REPEAT).all()
+
+
+def test_pooled_against_single_tokens():
+    rng = np.random.default_rng(18)
+    vectors = rng.normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float32)
+    texts = ["One two two, 3 4 THREE!", "", None]
+    got = quality.pooled(texts, vectors)
+    v = np.array([vectors[i] for i in brute_tokens(texts[0])])
+    assert np.allclose(got[0], np.r_[v.mean(0), (v * v).mean(0)], atol=1e-5) and not got[1:].any()
+
+
+def test_toxicity_scores_against_plain_counts():
+    rng = random.Random(19)
+    names = ["vile$", "vile", "scum", "scum+", "scumbag$", "na$", "nasty$", "nast"]
+    model = toxicity.Linear({n: i for i, n in enumerate(names)}, np.arange(8) / 7 - 0.3, -0.5)
+    for _ in range(60):
+        text = " ".join(rng.choice(["Vile", "vilely", "SCUMBAG", "scummy", "na", "nasty", "naście", "x9vile", "_scumbags"]) for _ in range(rng.randrange(8)))
+        words = {w.lower() for w in re.findall(r"[^\W\d_]+", text)}
+        count = defaultdict(int)
+        for w in words:
+            for f in {w + "$"} | {w[:n] for n in range(4, 8) if len(w) > n}:
+                count[f] += 1
+        total = -0.5 + sum(model.weights[i] for i, n in enumerate(names) if count[n.rstrip("+")] > n.endswith("+"))
+        assert model.score([text])[0] == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_classifiers_keep_columns_of_clashing_names(spark):
+    d, labels, _ = labelled(spark, 60)
+    d = d.withColumn("quality_score", F.lit("mine")).withColumn("y", F.lit(1)).withColumn("_id", F.lit(2))
+    good = quality.good_documents(d, labels)
+    assert good.columns == d.columns and {r.quality_score for r in good.collect()} == {"mine"}
+    scored = toxicity.score_toxicity(d.withColumn("toxicity_score", F.lit("old")), labels)
+    assert scored.columns[-1] == "toxicity_score" and scored.where("toxicity_score BETWEEN 0 AND 1").count() == d.count()
