@@ -30,7 +30,9 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or shared_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def dropped(spark: SparkSession, *paths: str) -> None:
@@ -39,3 +41,8 @@ def dropped(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables that `written` returned; nothing may read them any more."""
+    dropped(tables[0].sparkSession, *(t._written_at for t in tables))
