@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import dropped, shared_folder, written  # noqa: F401
+from ..storage import discarded, dropped, shared_folder, written  # noqa: F401
 
 #: A-Z and the letters they become; everything else stays as it is.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -263,19 +263,40 @@ def test_phrase_index_of_no_rows(spark):
     assert (r.n_words, r.n_hit, r.contaminated) == (3, 0, False)
 
 
-def test_segment_phrase_and_proximity():
-    words = "a b c a x b y z c a b c".split()
-    lists = {w: np.array([i for i, v in enumerate(words) if v == w], np.int32) for w in set(words)}
-    s = phraseindex.Segment(lists, {w: len(v) for w, v in lists.items()})
-    assert s.phrase(["a", "b", "c"]).tolist() == [0, 9]
-    assert s.phrase(["a", "nope"]).tolist() == []
-    assert s.near(["x", "c"], 2).tolist() == [4]
-    assert s.near(["z", "x"], 2).tolist() == []
+@pytest.mark.parametrize(("segment_tokens", "pass_chars"), [(phraseindex.SEGMENT_TOKENS, phraseindex.PASS_CHARS), (37, 40), (1, 1)])
+def test_phrases_and_proximity_over_segments_and_passes(spark, segment_tokens, pass_chars):
+    rng = random.Random(20)
+    few = [f"t{i}" for i in range(9)]
+    texts = [prose(rng, rng.randrange(0, 40), few) for _ in range(25)] + [None, "", prose(rng, 300, few)]
+    items = [(i, prose(rng, rng.randrange(1, 4), few)) for i in range(12)] + [(20, "t1 absent"), (21, None), (22, "t1 t1"), (None, "t1 t2")]
+    d, it = docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    words = [(t or "").split() for t in texts]
+    got = phraseindex.find_passages(d, it, 2, segment_tokens, pass_chars).collect()
+    for r in got:
+        want = {i for i, t in items if i is not None and t for n in [min(2, len(t.split()))] for s in range(len(t.split()) - n + 1) for p in range(len(words[r.doc_id])) if words[r.doc_id][p : p + n] == t.split()[s : s + n]}
+        assert set(r["items"]) == want
+    assert len(got) == len(texts)
+    count = defaultdict(int)
+    for w in words:
+        for x in w:
+            count[x] += 1
+    near = {(r.doc_id, r.item_id, tuple(r.positions)) for r in phraseindex.find_near(d, it, 3, segment_tokens, pass_chars).collect()}
+    want = set()
+    for i, t in items:
+        terms = sorted(set((t or "").split()))
+        if i is None or not terms or any(not count[x] for x in terms):
+            continue
+        rare = min(terms, key=lambda x: (count[x], terms.index(x)))
+        for d_, w in enumerate(words):
+            places = tuple(p for p, x in enumerate(w) if x == rare and all(any(w[q] == y for q in range(max(0, p - 3), min(len(w), p + 4))) for y in terms))
+            if places:
+                want.add((d_, i, places))
+    assert near == want and near
 
 
 def test_clean_documents(spark):
     item = "one two three four five six seven eight nine ten"
-    d = docs(spark, [f"so {item} end", "clean", None, item[:-4]]).withColumn("hits", F.lit("mine"))
+    d = docs(spark, [f"so {item} end", "clean", None, item[:-4]]).withColumns({"hits": F.lit("mine"), "gone": F.lit(5), "_gone": F.lit(6)})
     got = phraseindex.clean_documents(d, spark.createDataFrame([(7, item)], "item_id long, text string"))
     assert got.columns == d.columns and sorted(r.doc_id for r in got.collect()) == [1, 2, 3]
 
