@@ -79,6 +79,23 @@ def test_line_runs_are_levelled(spark):
     assert (1, 2, 9) in got and (3, 1, 3) in got  # settled after two documents: later ones add nothing
 
 
+def test_hot_lines_and_clashing_names(spark, monkeypatch):
+    rng = random.Random(21)
+    hot, other = "A line that a third of all documents hold, whatever they are.", [f"shared line number {i} of these documents, long" for i in range(9)]
+    texts = ["\n".join([hot] * rng.randrange(0, 3) + [rng.choice(other), "own " + prose(rng, 12)]) for _ in range(90)] + ["\n".join([other[0]] * 400)]
+    rows = [*enumerate(texts), (None, hot)]
+    d = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    names = ["row", "id", "own", "old", "lines", "gone", "_gone", "_id", "_t", "_th", "h1", "th", "pos", "n_docs", "last_doc"]
+    d = d.withColumns({n: F.lit(n) for n in names})
+    for parts in (1_000, 2):
+        monkeypatch.setattr(linededup, "HOT_PARTS", parts)
+        got = linededup.dedup_lines(d)
+        assert got.columns == [*d.columns, "n_lines", "n_dropped"]
+        found = got.collect()
+        assert all(r[n] == n for r in found for n in names)
+        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in found), key=str) == brute_lines(rows)
+
+
 # 2: SimHash
 
 
