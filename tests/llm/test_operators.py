@@ -720,11 +720,40 @@ def test_arc_to_warc_query(spark, version):
     assert arc.warc_digest(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1_000, 2])
+def test_revisits_name_their_records(spark, monkeypatch, parts):
+    monkeypatch.setattr(arc, "HOT_PARTS", parts)
+    rows = [(i, f"http://h/{i}", "x" * 1500) for i in range(20)] + [(20 + i, f"http://s/{i}", str(i % 5) * 1200) for i in range(10)] + [(40, "u", "small"), (41, None, "y" * 2000), (41, "z", "y" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({n: F.lit(1) for n in ("sha1", "key", "hot", "last", "_sha1", "_s", "_last")})
+    kept = arc.with_references(pages)
+    assert kept.columns == [*pages.columns, "refers_to", "refers_url"] and kept.where("sha1 = 1 AND key = 1 AND _last = 1").count() == len(rows)
+    records = {}
+    for r in arc.arc_to_warc(arc.pages_to_arc(kept)).collect():
+        for h, _ in arc.parse_warc(r.warc):
+            records[h["WARC-Record-ID"]] = h
+    revisits = [h for h in records.values() if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 19 + 5
+    for h in revisits:
+        to = records[h["WARC-Refers-To"]]
+        assert (to["WARC-Type"], to["WARC-Payload-Digest"], to["X-Key"]) == ("response", h["WARC-Payload-Digest"], h["X-Refers-To-Key"])
+        assert (to["WARC-Target-URI"], to["WARC-Date"]) == (h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"])
+
+
+def test_equal_ids_with_different_payloads(spark):
+    rows = [(9, "a", "p" * 1000), (9, "b", "q" * 1000), (3, "c", "q" * 1000), (None, "d", "p" * 1000)]
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in arc.warc_digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
+    assert got == [(3, "revisit", 9), (9, "response", None), (9, "response", None), (None, "revisit", 9)]
+
+
 def test_arc_headers_of_both_versions():
     for version in (1, 2):
         data = arc.arc_header(version) + arc.arc_record("http://a/", b"line\n\nend", "2001", version=version) + arc.arc_record("http://b c/", b"", version=version)
         a, b = arc.parse_arc(data)
         assert (a.fields["url"], a.body, b.fields["url"], b.body) == ("http://a/", b"line\n\nend", "http://b%20c/", b"")
+        info, first = arc.warc_info(data)
+        (own, block), (h, _) = arc.parse_warc(first + arc.converted(a, 1, info=info))
+        assert own["WARC-Type"] == "warcinfo" and own["WARC-Filename"] == "pages.warc" and own["WARC-Record-ID"] == info == h["WARC-Warcinfo-ID"]
+        assert f"ARC version {version}".encode() in block
         ((h, block),) = arc.parse_warc(arc.converted(a, 1))
         assert h["WARC-Type"] == "resource" and h["WARC-Date"] == "2001-01-01T00:00:00Z" and block == a.body
         assert arc.converted(a, 1) == arc.converted(a, 1)
