@@ -489,8 +489,9 @@ def test_nearest_against_brute_force(spark):
     rows += [(i, rows[40][1]) for i in range(300, 500)]  # many equal vectors
     rows += [(500, None), (520, [0.0] * 6), (540, [float("nan")] + [1.0] * 5), (560, [None] + [1.0] * 5), (None, [1.0] * 6), (580, [float("inf")] * 6), (600, [9.0] * 6), (620, [1.0, 2.0]), (621, [3.0, 1.0]), (640, [])]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("x", F.lit(1))
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vptree.nearest(e, shard_rows=90, query_block=9).collect())
-    assert got == brute_nearest(rows)
+    for groups in (1, 64):
+        got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vptree.nearest(e, shard_rows=90, query_block=9, group_shards=groups).collect())
+        assert got == brute_nearest(rows)
     assert vptree.nearest(e.limit(0)).collect() == []
 
 
@@ -502,8 +503,9 @@ def test_one_long_vector_hides_no_neighbour(norm):
     x[77] *= norm
     ids = np.arange(len(x))
     tree = vptree.Tree(ids, x, float(np.linalg.norm(x, axis=1).max()) * (1 + 1e-12))
-    row, member, score = tree.search(ids[:70], x[:70], 20)
-    got = sorted((int(r), int(tree.ids[m]), float(s)) for r, m, s in zip(row, member, score, strict=True))
+    q = vptree.Queries(ids[:70], x[:70], 20)
+    tree.search(q)
+    got = sorted((int(r), int(m), float(s)) for r, m, s in zip(*q.found(), strict=True))
     want = []
     for q in range(70):
         s = vptree.inner(np.repeat(x[q : q + 1], len(x), 0), x)
@@ -511,6 +513,15 @@ def test_one_long_vector_hides_no_neighbour(norm):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("norms", [(0, 8), (0, 3), (-6, 6)])
+def test_nearest_of_mixed_norms_over_shards(spark, norms):
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(400, 5)) * 10 ** rng.uniform(*norms, (400, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=50, group_shards=3).collect())
+    assert got == brute_nearest(rows)
+
+
 def test_tree_factor():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3000, 3))
@@ -519,10 +530,11 @@ def test_tree_factor():
     q = x[:50]
     truth = [set(np.argsort(-(x @ v), kind="stable")[:11]) - {i} for i, v in enumerate(q)]
     for factor, least in ((1.0, 1.0), (1.3, 0.9)):
-        row, member, _ = tree.search(ids[:50], q, 10, factor)
+        held = vptree.Queries(ids[:50], q, 10)
+        tree.search(held, factor)
         got = defaultdict(set)
-        for r, m in zip(row, member, strict=True):
-            got[r].add(int(tree.ids[m]))
+        for r, m, _ in zip(*held.found(), strict=True):
+            got[int(r)].add(int(m))
         assert np.mean([len(got[i] & set(sorted(truth[i], key=lambda j: -x[j] @ q[i])[:10])) / 10 for i in range(50)]) >= least
 
 
