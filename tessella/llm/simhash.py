@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, rows_of, written
+from .common import LOWER_BYTES, discarded, rows_of, written
 from .components import components
 
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the (23, 12, 7) code.
@@ -28,12 +28,19 @@ GOLAY = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Most members of a key that one task holds; a larger key is compared in pairs of blocks.
 BLOCK = 65_536
-#: The same where all pairs are emitted.
-PAIR_BLOCK = 2_048
+#: Members, and bytes of their sets, of a block of a group whose parts are compared with each other.
+PART_ROWS, PART_BYTES = 2_048, 32 << 20
 #: Runs up to this length are compared row by row for the whole batch at once.
 SHORT = 12
 
 
+#: 128 bits; at Jaccard 0.8 two sets' cosine is 2 * 0.8 / 1.8, an angle of 0.1515 pi, so of 19 bits with a deviation
+#: of 4. The radius is four deviations more, since it only finds candidates.
+NEAR_WORDS, NEAR_ANCHORS, NEAR_RADIUS = 2, 24, 36
+#: Shingles are of so many words; texts are near duplicates from this Jaccard similarity on, as a fraction.
+NEAR_SHINGLE, NEAR_LEAST = 5, (4, 5)
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     def rest(word: int) -> int:
         for bit in range(22, 10, -1):
@@ -194,7 +201,7 @@ def set_digest(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def fingerprints(docs: DataFrame, n: int, words: int = 1, anchors: int = 0) -> DataFrame:
-    """(doc_id, f0.., m0..) of whole texts; null texts have no words."""
+    """(doc_id, f0.., m0..) of whole texts, a row for each row of docs; null texts have no words, and zeros, as empty ones. Other columns are not looked at."""
 
     def run(batches):
         for part, (texts,) in rows_of(batches, "text"):
@@ -240,38 +247,10 @@ def trees(nodes: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, in
     return out
 
 
-def _near_unlike(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Of rows whose last column is a label: within the radius, under different labels."""
-    return (_apart(a[..., :-1], b[..., :-1]) <= radius) & (a[..., -1] != b[..., -1])
-
-
-def unlike_pairs(nodes: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of one key within the radius whose labels, the last column, differ, in pieces."""
-    if (fps[:, -1] == fps[0, -1]).all():
-        return
-    for i in range(0, len(nodes), 64):
-        x, y = np.nonzero(_near_unlike(fps[None, i:], fps[i : i + 64, None], radius))
-        upper = y > x
-        if upper.any():
-            yield nodes[i:][y[upper]], nodes[i:][x[upper]]
-
-
-def _pieces(found: list[tuple[int, int]] | Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
-    """Pairs as columns."""
-    if not isinstance(found, list):
-        yield from found
-    elif found:
-        yield [x for x, _ in found], [x for _, x in found]
-
-
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    return _apart(a, b) <= radius
-
-
-def _linked(words: int, radius: int, block: int, near: Callable = _near, spanning: Callable = stars) -> Callable:
+def _linked(words: int, radius: int, block: int, spanning: Callable = stars) -> Callable:
     """mapInArrow over rows sorted by key: edges (a, b), and the rows (a, key, block, f..) of keys beyond `block` members.
 
-    Short runs give all pairs that are `near`, longer ones what `spanning` makes of them, with block 1.
+    Short runs give all pairs within the radius, longer ones what `spanning` makes of them, with block 1.
     """
 
     def edges(a: list[int], b: list[int], long: bool = False) -> pa.RecordBatch:
@@ -294,16 +273,15 @@ def _linked(words: int, radius: int, block: int, near: Callable = _near, spannin
         in_short = np.repeat(size <= SHORT, size)
         for step in range(1, int(min(SHORT, size.max()))):
             at = np.flatnonzero((keys[step:] == keys[:-step]) & in_short[step:])
-            at = at[near(fps[at], fps[at + step], radius)]
+            at = at[_apart(fps[at], fps[at + step]) <= radius]
             if len(at):
                 yield edges(nodes[at].tolist(), nodes[at + step].tolist())
         for i in np.flatnonzero(size > SHORT):
             s = slice(first[i], first[i] + size[i])
             if size[i] > block:
                 yield hot(keys[first[i]], nodes[s], fps[s], 0)
-            else:
-                for a, b in _pieces(spanning(nodes[s], fps[s], radius)):
-                    yield edges(a, b, True)
+            elif found := spanning(nodes[s], fps[s], radius):
+                yield edges([a for a, _ in found], [b for _, b in found], True)
 
     def run(batches):
         keys, nodes, fps = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, words), np.uint64)
@@ -335,7 +313,7 @@ def _linked(words: int, radius: int, block: int, near: Callable = _near, spannin
     return run
 
 
-def links(nodes: DataFrame, words: int, keys_of: Callable, radius: int, block: int = BLOCK, near: Callable = _near, spanning: Callable = stars) -> DataFrame:
+def links(nodes: DataFrame, words: int, keys_of: Callable, radius: int, block: int = BLOCK, spanning: Callable = stars) -> DataFrame:
     """Edges (a, b, long) that connect what is connected among rows (node, f.., m..) that meet under a key and differ in `radius` bits or fewer; long: whether from a key with more than SHORT members."""
     fp_names = [f"f{i}" for i in range(words)]
     anchor_names = [c for c in nodes.columns if c[0] == "m" and c[1:].isdigit()]
@@ -350,9 +328,11 @@ def links(nodes: DataFrame, words: int, keys_of: Callable, radius: int, block: i
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[rows]), *(pa.array(np.ascontiguousarray(fps[rows, i]).view(np.int64)) for i in range(words))], names=["key", "node", *fp_names])
 
     fields = "".join(f", {x} long" for x in fp_names)
-    rows = nodes.mapInArrow(keyed, f"key long, node long{fields}")
+    # a node has some two hundred keys, so that small files of nodes would be few tasks of very many rows
+    dealt = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    rows = dealt.mapInArrow(keyed, f"key long, node long{fields}")
     sorted_rows = rows.repartition("key").sortWithinPartitions("key", "node")
-    found = written(sorted_rows.mapInArrow(_linked(words, radius, block, near, spanning), f"a long, b long, key long, block long{fields}"), "simhash-links")
+    found = written(sorted_rows.mapInArrow(_linked(words, radius, block, spanning), f"a long, b long, key long, block long{fields}"), "simhash-links")
     edges, hot = found.where("b IS NOT NULL").selectExpr("a", "b", "block IS NOT NULL AS long"), found.where("b IS NULL")
     if not hot.isEmpty():
         edges = edges.union(_between_blocks(hot, fp_names, radius, spanning).withColumn("long", F.lit(True)))
@@ -367,8 +347,8 @@ def _between_blocks(hot: DataFrame, fp_names: list[str], radius: int, spanning:
 
     def compare(t: pa.Table) -> pa.Table:
         fps = np.stack([t.column(c).to_numpy() for c in fp_names], axis=1).view(np.uint64)
-        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        return pa.concat_tables([empty, *(pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}) for a, b in _pieces(spanning(t.column("node").to_numpy(), fps, radius)))])
+        found = spanning(t.column("node").to_numpy(), fps, radius)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
@@ -382,7 +362,8 @@ def grouped(fps: DataFrame, words: int, keys_of: Callable, radius: int, block: i
     anchors = [c for c in fps.columns if c not in (*names, "doc_id")]
     first = fps.where("doc_id IS NOT NULL").groupBy(*names).agg(F.min(F.struct("doc_id", *anchors)).alias("x"))
     nodes = written(first.select(F.col("x.doc_id").alias("node"), *names, *(f"x.{c}" for c in anchors)), "simhash-nodes")
-    found = components(links(nodes, words, keys_of, radius, block).select("a", "b"))
+    edges = links(nodes, words, keys_of, radius, block)
+    found = components(edges.select("a", "b"))
     label = nodes.select("node", *names).join(found, "node", "left").select(*(F.col(c).alias(f"_{c}") for c in names), F.coalesce("component", "node").alias("component_id"))
     out = fps.select("doc_id", *names).join(label, [F.col(c) == F.col(f"_{c}") for c in names], "left")
     return out.select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -399,13 +380,6 @@ def simhash_digest(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: 128 bits; at Jaccard 0.8 two sets' cosine is 2 * 0.8 / 1.8, an angle of 0.1515 pi, so of 19 bits with a deviation
-#: of 4. The radius is four deviations more, since it only finds candidates.
-NEAR_WORDS, NEAR_ANCHORS, NEAR_RADIUS = 2, 24, 36
-#: Shingles are of so many words; texts are near duplicates from this Jaccard similarity on, as a fraction.
-NEAR_SHINGLE, NEAR_LEAST = 5, (4, 5)
-
-
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = NEAR_LEAST) -> bool:
     """Whether two sets, sorted, are that similar; two empty ones are."""
     top, bottom = least
@@ -460,55 +434,131 @@ def alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with_a = pairs.select("a", "b").join(sets.toDF("a", "x"), "a")
-    return with_a.join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    found = written(with_a.join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
+    discarded(sets)
+    return found
+
+
+class Merged:
+    """Labels of some members that are joined step by step."""
+
+    def __init__(self, labels: np.ndarray):
+        self.part = np.unique(labels, return_inverse=True)[1]
+
+    def join(self, a: int, b: int) -> None:
+        self.part[self.part == self.part[b]] = self.part[a]
+
+
+def part_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], left: np.ndarray, least: tuple[int, int] = NEAR_LEAST) -> list[tuple[int, int]]:
+    """(node, node) of that Jaccard similarity or more which join parts of different labels, between `left` members and the others; among all, if all are left.
+
+    Each left member's common shingles with all members are counted at once from lists of who has a
+    shingle, so that the work is that of the shingles in common. At most as many links as members.
+    """
+    top, bottom = least
+    size = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    other = np.ones(len(sets), bool) if left.all() else ~left
+    keep = other[owner]
+    flat, owner = flat[keep], owner[keep]
+    merged, out = Merged(labels), []
+    for i in np.flatnonzero(left):
+        first, last = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        spans = [owner[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True) if b > a]
+        common = np.bincount(np.concatenate(spans), minlength=len(sets)) if spans else np.zeros(len(sets), np.int64)
+        like = other & (common * bottom >= (size + size[i] - common) * top)
+        for j in np.flatnonzero(like & (merged.part != merged.part[i])):
+            if merged.part[j] != merged.part[i]:
+                merged.join(i, int(j))
+                out.append((int(nodes[i]), int(nodes[j])))
+    return out
+
+
+def links_between_parts(members: DataFrame, sets: DataFrame, rows: int = PART_ROWS, size: int = PART_BYTES) -> DataFrame:
+    """Links (a, b) that join different labels of a cluster, for members (node, cluster, label) with sets (node, hashes).
+
+    All members outside a cluster's largest label are compared with all others, in pairs of blocks; a
+    task holds two blocks and emits only links that join, so that no pairs are listed.
+    """
+    held = written(members.join(sets, "node").withColumn("bytes", F.octet_length("hashes").cast("long")), "near-members")
+    per_label = held.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    split = per_label.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("top_bytes"), F.count("*").alias("labels")).where("labels > 1")
+    count = lambda n, b: F.greatest(F.ceil(n / rows), F.ceil(b / size), F.lit(1)).cast("int")
+    # the bytes of the others are at most all bytes
+    split = split.select(F.col("cluster").alias("of"), F.col("top.label").alias("largest"), count(F.col("n") - F.col("top.n"), F.col("bytes")).alias("few"), count(F.col("top.n"), F.col("bytes")).alias("many"))
+    placed = held.join(split, F.col("cluster") == F.col("of")).withColumn("few_side", F.col("label") != F.col("largest"))
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("few_side"), F.col("few")).otherwise(F.col("many"))).cast("int")
+    # cells (i, j): block i of the others with block j of them, i <= j, or with block j - few of the largest label
+    own = "transform(sequence(0, few - 1), x -> struct(least(x, at) AS i, greatest(x, at) AS j))"
+    with_largest = "transform(sequence(0, many - 1), x -> struct(at AS i, few + x AS j))"
+    from_largest = "transform(sequence(0, few - 1), x -> struct(x AS i, few + at AS j))"
+    cells = F.expr(f"explode(IF(few_side, concat({own}, {with_largest}), {from_largest}))")
+    rows_ = placed.withColumn("at", at).select("cluster", "node", "label", "hashes", "few_side", "at", cells.alias("cell")).select("cluster", "cell.i", "cell.j", "node", "label", "hashes", (F.col("few_side") & (F.col("at") == F.col("cell.i"))).alias("left"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        left = t.column("left").to_numpy()
+        found = part_links(t.column("node").to_numpy(), t.column("label").to_numpy(), sets, left) if left.any() else []
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    found = written(rows_.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"), "near-between")
+    discarded(held)
+    return found
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "long").groupBy("a", "b").agg(F.max("long").alias("long"))
 
 
-def near_groups(docs: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+def near_groups(docs: DataFrame, nodes: DataFrame, block: int = BLOCK, part_rows: int = PART_ROWS) -> DataFrame:
     """(node, component) over verified links of nodes (node, doc_id, d0, d1, f0.., m0..).
 
-    Keys with few members give all their candidate pairs, others first the pairs that span them. If
-    one of those fails, all candidate pairs between what is not yet connected follow. So each
-    candidate pair is connected or was looked at.
+    Keys with few members give all their candidate pairs, others the pairs that span them. Where one
+    of those fails, all that they span is a cluster, whose parts are compared with each other member
+    by member. So each candidate pair is connected or was looked at.
     """
     names = [f"f{i}" for i in range(NEAR_WORDS)]
     anchors = [f"m{i}" for i in range(NEAR_ANCHORS)]
-    rows = nodes.select("node", *names, *anchors)
-    pairs = written(_pairs(links(rows, NEAR_WORDS, near_keys, NEAR_RADIUS, block, spanning=trees)), "near-pairs")
-    good = written(alike(pairs, docs, nodes), "near-links")
+    pairs = written(_pairs(links(nodes.select("node", *names, *anchors), NEAR_WORDS, near_keys, NEAR_RADIUS, block, spanning=trees)), "near-pairs")
+    good = alike(pairs, docs, nodes)
     found = components(good)
     spanning = pairs.where("long")
-    if spanning.join(good, ["a", "b"], "left_anti").isEmpty():
-        return found
-    ends = spanning.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    label = F.coalesce("component", "node").alias(f"f{NEAR_WORDS}")
-    labelled = rows.join(ends, "node", "left_semi").join(found, "node", "left").select("node", *names, label, *anchors)
-    more = _pairs(links(written(labelled, "near-labelled"), NEAR_WORDS + 1, near_keys, NEAR_RADIUS, min(block, PAIR_BLOCK), near=_near_unlike, spanning=unlike_pairs))
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "near-more")
-    return components(good.union(alike(more, docs, nodes)))
-
-
-def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    if not spanning.join(good, ["a", "b"], "left_anti").isEmpty():
+        clusters = components(spanning).select("node", F.col("component").alias("cluster"))
+        members = written(clusters.join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("label")), "near-clusters")
+        mixed = members.groupBy("cluster").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("cluster")
+        some = members.join(mixed, "cluster", "left_semi")
+        sets = written(shingle_sets(docs, nodes.select("node", "doc_id", "d0", "d1").join(some, "node", "left_semi")), "near-sets")
+        more = links_between_parts(some, sets, part_rows)
+        found = components(good.union(more))
+        discarded(members, sets, more)
+    discarded(pairs, good)
+    return found
+
+
+def near_duplicates(docs: DataFrame, block: int = BLOCK, part_rows: int = PART_ROWS) -> DataFrame:
     """The input's rows and columns, of each group of near duplicates only that with the smallest doc_id.
 
     Near duplicates have a Jaccard similarity of 0.8 or more of their sets of five-word shingles,
-    computed for all candidates that fingerprints and anchors find. Rows with a null doc_id all stay;
-    of rows with equal doc_id and text one stays.
+    computed for all candidates that fingerprints and anchors find. Texts without words, null ones
+    included, have equal, empty sets. Rows with a null doc_id all stay; of rows with equal doc_id
+    and text one stays. Other columns stay whatever their names; no rows give none.
     """
     fps = written(set_fingerprints(docs), "near-fps")
     rest = [c for c in fps.columns if c not in ("doc_id", "d0", "d1")]
     first = fps.where("doc_id IS NOT NULL").groupBy("d0", "d1").agg(F.min(F.struct("doc_id", *rest)).alias("x"))
     nodes = written(first.select(F.monotonically_increasing_id().alias("node"), "d0", "d1", "x.*"), "near-nodes")
-    grouped_nodes = near_groups(docs, nodes, block).join(nodes.select("node", "d0", "d1", "doc_id"), "node")
-    smallest = grouped_nodes.groupBy("component").agg(F.min("doc_id").alias("_first"))
-    linked = grouped_nodes.join(smallest, "component").select("d0", "d1", F.col("_first").alias("_linked"))
-    own = nodes.select("d0", "d1", F.col("doc_id").alias("_own")).join(linked, ["d0", "d1"], "left").select("d0", "d1", F.coalesce("_linked", "_own").alias("_first"))
-    gone = fps.select("doc_id", "d0", "d1").join(own, ["d0", "d1"]).where("doc_id <> _first").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
-    # the join has dealt rows out by doc_id already; equal rows are told by the text's hash
-    before = F.lag("_text").over(Window.partitionBy("doc_id").orderBy("_text"))
-    told = kept.withColumn("_text", F.xxhash64("text")).withColumn("_before", before)
-    return told.where("doc_id IS NULL OR _before IS NULL OR _before <> _text").select(*docs.columns)
+    grouped_nodes = near_groups(docs, nodes, block, part_rows).join(nodes.select("node", "d0", "d1", "doc_id"), "node")
+    smallest = grouped_nodes.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    linked = grouped_nodes.join(smallest, "component").select("d0", "d1", F.col("smallest").alias("linked"))
+    own = nodes.select("d0", "d1", F.col("doc_id").alias("own")).join(linked, ["d0", "d1"], "left").select("d0", "d1", F.coalesce("linked", "own").alias("first"))
+    gone = fps.select("doc_id", "d0", "d1").join(own, ["d0", "d1"]).where("doc_id <> first").select("doc_id").distinct()
+    # the input's columns stay within one, so that none of theirs meets a name of these steps
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text"))
+    kept = rows.where("id IS NOT NULL").join(gone, F.col("id") == F.col("doc_id"), "left_anti")
+    # the join has dealt rows out by id already; equal rows are told by the text's hash
+    told = kept.withColumn("before", F.lag("text").over(Window.partitionBy("id").orderBy("text")))
+    kept = told.where("before IS NULL OR before <> text").select("row")
+    return kept.union(rows.where("id IS NULL").select("row")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -217,7 +217,45 @@ def test_near_duplicates_of_long_keys_against_brute_force(spark, block):
     pairs = [(i, j) for i in range(60) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
     want = {c for c in brute_components(pairs, set(range(60))).values()}
     assert 1 < len(want) < 60
-    assert {r.doc_id for r in simhash.near_duplicates(docs(spark, texts), block).collect()} == want
+    for part_rows in (simhash.PART_ROWS, 7):
+        assert {r.doc_id for r in simhash.near_duplicates(docs(spark, texts), block, part_rows).collect()} == want
+
+
+def test_part_links_against_pairs():
+    rng = np.random.default_rng(23)
+    for trial in range(30):
+        base = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+        sets = [np.unique(np.r_[base[rng.random(60) < 0.93], rng.integers(0, 1 << 62, rng.integers(0, 6), dtype=np.uint64)]) for _ in range(25)] + [np.empty(0, np.uint64)] * 2
+        nodes, labels = np.arange(27) * 10, rng.integers(0, 12, 27)
+        left = np.ones(27, bool) if trial % 3 == 0 else rng.random(27) < 0.4
+        among = left.all()
+        want = [(i, j) for i in range(27) for j in range(27) if i != j and left[i] and (among or not left[j]) and simhash.jaccard_at_least(sets[i], sets[j])]
+        same = [(int(np.flatnonzero(labels == k)[0]), int(i)) for k in set(labels.tolist()) for i in np.flatnonzero(labels == k)]
+        got = [(a // 10, b // 10) for a, b in simhash.part_links(nodes, labels, sets, left)]
+        assert set(got) <= set(want) and len(got) < 27
+        assert brute_components(got + same, range(27)) == brute_components(want + same, range(27))
+
+
+def test_near_duplicates_keep_columns_of_clashing_names(spark):
+    rng = random.Random(24)
+    texts = [prose(rng, 80), prose(rng, 80), "", None]
+    rows = [*enumerate(texts), (7, texts[0]), (7, texts[0]), (None, texts[0]), (None, None)]
+    names = ["_gone", "_text", "_before", "row", "id", "node", "first", "before", "d0", "label"]
+    d = docs(spark, [t for _, t in rows], [i for i, _ in rows]).withColumns({n: F.lit(n) for n in names})
+    kept = simhash.near_duplicates(d)
+    found = kept.collect()
+    assert kept.columns == d.columns and all(r[n] == n for r in found for n in names)
+    assert sorted((str(r.doc_id), str(r.text)[:3]) for r in found) == sorted((str(i), str(t)[:3]) for i, t in [*rows[:3], *rows[6:]])
+
+
+def test_long_texts_cross_the_edge_of_a_block():
+    rng = random.Random(25)
+    text = prose(rng, 57)
+    for n in (4, 5):
+        whole = np.concatenate(list(simhash.shingle_hashes(text, n)))
+        for block in (1, 7, 53, 54, 57):
+            assert np.concatenate(list(simhash.shingle_hashes(text, n, block))).tolist() == whole.tolist()
+        assert len(whole) == 57 - n + 1
 
 
 def test_near_duplicates_with_one_token_repeated(spark):
