@@ -1,10 +1,13 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The model's normaliser, its pieces and byte fallback are compiled once into transducers over
-characters; each input is composed with them on the fly and the path of least weight (tropical
-semiring) is read off. A unigram model weighs a piece by its negative score. For a BPE model the
-piece transducer's states also hold the last piece, and an arc to a piece that merging would not
-leave beside it weighs infinity: the one path of finite weight is the BPE encoding.
+The model's normaliser is compiled into two sequential transducers over characters (its rewriting
+rules, and how spaces are treated), its pieces and byte fallback into a weighted one. Each input is
+composed with them on the fly, and the path of least weight (tropical semiring) is read off by a
+best-first search. A unigram model weighs a piece by its negative score. For a BPE model weights of
+pieces alone could not give the encoding: there the state also holds the last piece, and an arc to a
+piece that merging would not leave beside it weighs infinity, any other nothing, so that the one
+path of finite weight is the BPE encoding. A character without a piece has an arc to its bytes'
+pieces, heavier than any piece.
 """
 
 from __future__ import annotations
@@ -12,8 +15,9 @@ from __future__ import annotations
 import re
 import struct
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from heapq import heappop, heappush, heappushpop
 from math import inf
 
 import numpy as np
@@ -153,10 +157,135 @@ class Trie:
         return self.passed[state]
 
 
+class Sequential:
+    """A deterministic transducer over characters: `step` gives the next state and what is written, `final` what is written at the end."""
+
+    start = 0
+
+    def step(self, state: int, c: str) -> tuple[int, str]:
+        raise NotImplementedError
+
+    def final(self, state: int) -> str:
+        return ""
+
+    def write(self, text: str, state: int | None = None) -> str:
+        """What the transducer writes for the text from the state on."""
+        out, now, step = [], self.start if state is None else state, self.step
+        for c in text:
+            now, some = step(now, c)
+            out.append(some)
+        out.append(self.final(now))
+        return "".join(out)
+
+
+class Rules(Sequential):
+    """Rewriting from left to right by the longest rule that fits; other characters are written as they are.
+
+    States are those of the rules' trie. Where a state has no arc for a character, the longest rule
+    passed is written, or one character as it is, and what was read after it is read again.
+    """
+
+    def __init__(self, rules: dict[str, str]):
+        self.trie = Trie(rules)
+        self.words = [""] * len(self.trie.arcs)
+        open_ = [0]
+        while open_:
+            state = open_.pop()
+            for c, child in self.trie.arcs[state].items():
+                self.words[child] = self.words[state] + c
+                open_.append(child)
+        self._fallen: dict[int, tuple[str, str]] = {}
+
+    def _fall(self, state: int) -> tuple[str, str]:
+        """What is written on leaving the state, and what is read again."""
+        if (found := self._fallen.get(state)) is None:
+            word, passed = self.words[state], self.trie.passed[state]
+            size, out = passed[-1] if passed else (1, word[0])
+            found = self._fallen[state] = (out, word[size:])
+        return found
+
+    def step(self, state: int, c: str) -> tuple[int, str]:
+        if (child := self.trie.arcs[state].get(c)) is not None:
+            return child, ""
+        if not state:
+            return 0, c
+        out, again = self._fall(state)
+        now = 0
+        for x in again + c:
+            now, some = self.step(now, x)
+            out += some
+        return now, out
+
+    def final(self, state: int) -> str:
+        if not state:
+            return ""
+        out, again = self._fall(state)
+        return out + self.write(again, 0)
+
+
+class Spaces(Sequential):
+    """Spaces as the model's mark: one before the text, and, if squeezed, one for each run within and none at the ends."""
+
+    BEGUN, GAP = 1, 2
+
+    def __init__(self, dummy_prefix: bool, squeeze: bool):
+        self.before, self.squeeze = SPACE if dummy_prefix else "", squeeze
+
+    def step(self, state: int, c: str) -> tuple[int, str]:
+        if c == " " and self.squeeze:
+            return (self.GAP if state else 0), ""
+        c = SPACE if c == " " else c
+        return self.BEGUN, (self.before if not state else SPACE if state == self.GAP else "") + c
+
+    def write(self, text: str, state: int | None = None) -> str:
+        """As step by step; where spaces are not squeezed, all at once."""
+        if self.squeeze or not text:
+            return super().write(text, state)
+        return ("" if state else self.before) + text.replace(" ", SPACE)
+
+
+class Composed(Sequential):
+    """Two transducers after each other, composed as far as inputs need it: pairs of states, remembered arcs."""
+
+    def __init__(self, first: Sequential, second: Sequential):
+        self.first, self.second = first, second
+        self.pairs: list[tuple[int, int]] = [(first.start, second.start)]
+        self.numbers = {self.pairs[0]: 0}
+        self.arcs: dict[tuple[int, str], tuple[int, str]] = {}
+
+    def _number(self, pair: tuple[int, int]) -> int:
+        if pair not in self.numbers:
+            self.numbers[pair] = len(self.pairs)
+            self.pairs.append(pair)
+        return self.numbers[pair]
+
+    def _through(self, state: int, some: str) -> tuple[int, str]:
+        out = ""
+        for c in some:
+            state, x = self.second.step(state, c)
+            out += x
+        return state, out
+
+    def step(self, state: int, c: str) -> tuple[int, str]:
+        if (found := self.arcs.get((state, c))) is None:
+            if len(self.arcs) > REMEMBERED:
+                self.arcs.clear()
+            a, b = self.pairs[state]
+            a, some = self.first.step(a, c)
+            b, out = self._through(b, some)
+            found = self.arcs[state, c] = (self._number((a, b)), out)
+        return found
+
+    def final(self, state: int) -> str:
+        a, b = self.pairs[state]
+        b, out = self._through(b, self.first.final(a))
+        return out + self.second.final(b)
+
+
 class _Paths(dict):
     """Part of a text to its path's ids as int32 bytes; two generations, so that the commonest parts stay."""
 
-    def __init__(self, search):
+    def __init__(self, search: Callable[[str], list[int]]):
         self.search, self.older = search, {}
 
     def __missing__(self, part: str) -> bytes:
@@ -176,36 +305,32 @@ class Transducer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.normaliser = Trie(model.rules) if model.rules else None
+        spaces = Spaces(model.dummy_prefix, model.squeeze)
+        self.normaliser = Composed(Rules(model.rules), spaces) if model.rules else spaces
         own = {p: i for i, (p, _, kind) in enumerate(model.pieces) if kind in (NORMAL, USER, UNUSED) and p}
         self.ids, self.lattice = own, Trie(own)
         self.cost = [0.0 if kind == USER else -score for _, score, kind in model.pieces]
+        # a BPE model's scores are ranks of merges and no weights of paths
+        self.weight = [0.0] * len(model.pieces) if model.kind == BPE else self.cost
+        if min((self.weight[i] for i in own.values()), default=0.0) < 0:
+            raise ValueError("pieces of positive score are not supported")
         self.unknown = next((i for i, p in enumerate(model.pieces) if p[2] == UNKNOWN), 0)
-        self.unknown_cost = UNKNOWN_COST - min((s for _, s, k in model.pieces if k == NORMAL), default=0.0)
+        self.unknown_weight = UNKNOWN_COST - min((s for _, s, k in model.pieces if k == NORMAL), default=0.0)
         byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE}
         self.byte_ids = byte_ids if model.byte_fallback and len(byte_ids) == 256 else None
         self.surface = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in model.pieces]
         self._beside: dict[int, bool] = {}
-        self._paths = _Paths(self._shortest)
-        # where no piece has a space after another character, and none a line feed, all paths meet before a space and at a line feed
-        inner = any(SPACE in p.lstrip(SPACE) for p in own)
-        self._cut = None if inner else re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if not any("\n" in p for p in own) else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self._passed: dict[int, list[tuple[float, int, int]]] = {}
+        self._fallbacks: dict[str, tuple[int, tuple[int, ...]]] = {}
+        self._first, self._paths = _Paths(lambda part: self._shortest(self.normaliser.write(part))), _Paths(lambda part: self._shortest(self.normaliser.write(part, Spaces.BEGUN)))
+        # Without rules, where no piece has a space after another character, and none a line feed, all paths meet
+        # before a space and at a line feed, and the normaliser is in one state there: such parts are composed alone.
+        inner = any(SPACE in p.lstrip(SPACE) for p in own) or bool(model.rules) or model.squeeze
+        gap = f"[ {SPACE}]"
+        self._cut = None if inner else re.compile(f"\n|{gap}*[^ {SPACE}\n]+|{gap}+" if not any("\n" in p for p in own) else f"{gap}*[^ {SPACE}]+|{gap}+")
 
     def normalise(self, text: str) -> str:
-        if self.normaliser:
-            out, at = [], 0
-            while at < len(text):
-                end, value = at + 1, text[at]
-                for size, v in self.normaliser.matches(text, at):
-                    end, value = at + size, v
-                out.append(value)
-                at = end
-            text = "".join(out)
-        if self.model.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if text and self.model.dummy_prefix:
-            text = " " + text
-        return text.replace(" ", SPACE)
+        return self.normaliser.write(text)
 
     def _merged(self, text: str) -> list[str]:
         """Pieces after merging adjacent ones, best score first, leftmost on ties."""
@@ -229,84 +354,100 @@ class Transducer:
         found = self._beside[a << 32 | b] = self._merged("".join(want)) == want
         return found
 
-    def _finite(self, text: str) -> list[int]:
-        """The path of finite weight, which is unique, for a BPE model: pieces, and -1 less the code point of unknown characters.
+    def _fallback(self, c: str) -> tuple[int, tuple[int, ...]]:
+        """The state's mark (below 0: no piece) and the ids of the arc over a character without a piece: its bytes, or the unknown id."""
+        if (found := self._fallbacks.get(c)) is None:
+            ids = tuple(self.byte_ids[b] for b in c.encode("utf-8", "replace")) if self.byte_ids else (self.unknown,)
+            found = self._fallbacks[c] = (-1 if self.byte_ids else -2, ids)
+        return found
+
+    def _arcs(self, text: str, at: int) -> list[tuple[float, int, int]]:
+        """Arcs from a place, lightest and longest first: least weight, length, piece (-1: the fallback). A trie state's are made once."""
+        state, steps = 0, self.lattice.arcs
+        for c in text[at : at + self.lattice.longest]:
+            step = steps[state].get(c)
+            if step is None:
+                break
+            state = step
+        if (found := self._passed.get(state)) is None:
+            passed = self.lattice.passed[state]
+            found = sorted(((self.weight[k], size, k) for size, k in passed), key=lambda x: (x[0], -x[1]))
+            if not passed or passed[0][0] > 1:
+                found.append((self.unknown_weight, 1, -1))
+            self._passed[state] = found
+        return found
+
+    def _shortest(self, text: str) -> list[int]:
+        """Ids on the path of least weight through the composition of a normalised text with the pieces.
 
-        Best first means depth first here, as all finite weights are equal; a prefix too has one path
-        only, so that an end reached once needs no second visit.
+        States are a place in the text and the last piece (of a unigram model only whether it was
+        unknown: a run of unknown characters is one unknown id). Each state's next arc is queued by
+        the least weight that it can have, that of the state reached last first, and weighed when taken.
         """
-        beside, matches, n = self._beside.get, self.lattice.matches, len(text)
-        seen, path, turns = bytearray(n + 1), [], []
-        at, last, arcs = 0, -1, matches(text, 0)
-        left = len(arcs)
+        n, bpe, beside = len(text), self.model.kind == BPE, self._beside.get
+        if not n:
+            return []
+        # states in the order in which they were reached: place, last piece, weight, arcs, state before, ids of the arc to it
+        states: list[tuple[int, int, float, list[tuple[float, int, int]], int, tuple[int, ...]]] = []
+        settled: set[int | tuple[int, int]] = set()
+        queue: list[tuple[float, int, int]] = []
+        at, last, total, before, ids = 0, -1, 0.0, -1, ()
+        arcs_at: dict[int, list[tuple[float, int, int]]] = {}
         while at < n:
-            while left:
-                left -= 1
-                size, k = arcs[left]
-                if not seen[at + size]:
-                    fits = beside(last << 32 | k)
-                    if fits or fits is None and self._stays(last, k):
-                        break
-            else:
-                if (arcs and arcs[0][0] == 1) or seen[at + 1]:
-                    at, last, arcs, left = turns.pop()
-                    path.pop()
+            if (arcs := arcs_at.get(at)) is None:
+                arcs = arcs_at[at] = self._arcs(text, at)
+            item: tuple[float, int, int] | None = (total + arcs[0][0], -len(states), 0)
+            states.append((at, last, total, arcs, before, ids))
+            while True:
+                if item is None and not queue:
+                    raise ValueError("no path of finite weight")
+                total, before, i = heappop(queue) if item is None else heappushpop(queue, item)
+                at, last, base, arcs, _, _ = states[-before]
+                _, size, k = arcs[i]
+                i += 1
+                item = (base + arcs[i][0], before, i) if i < len(arcs) else None
+                if k >= 0:
+                    if bpe:
+                        # merging gives a beginning of the text one path only, so that a place reached has no second state
+                        if at + size in settled:
+                            continue
+                        a = last if last >= 0 else -1
+                        fits = beside(a << 32 | k)
+                        if not fits and (fits is not None or not self._stays(a, k)):
+                            continue  # infinitely heavy
+                        new = k
+                    else:
+                        new = -1
+                    ids = (k,)
+                else:
+                    new, ids = self._fallback(text[at])
+                    if new == last == -2:
+                        ids = ()
+                mark = at + size if bpe else (at + size, new)
+                if mark in settled:
                     continue
-                size, k = 1, -1 - ord(text[at])
-            turns.append((at, last, arcs, left))
-            path.append(k)
-            at += size
-            last = k if k >= 0 else -1
-            seen[at] = 1
-            arcs = matches(text, at)
-            left = len(arcs)
-        return path
-
-    def _lightest(self, text: str) -> list[int]:
-        """The path of least weight, for a unigram model, written likewise."""
-        weight, back = [inf] * (len(text) + 1), [(0, -1)] * (len(text) + 1)
-        weight[0] = 0.0
-        for i in range(len(text)):
-            arcs = list(self.lattice.matches(text, i))
-            if not arcs or arcs[0][0] > 1:
-                arcs.append((1, -1 - ord(text[i])))
-            for size, k in arcs:
-                w = weight[i] + (self.cost[k] if k >= 0 else self.unknown_cost)
-                if w < weight[i + size]:
-                    weight[i + size], back[i + size] = w, (i, k)
-        path, at = [], len(text)
-        while at:
-            at, k = back[at]
-            path.append(k)
-        return path[::-1]
-
-    def _shortest(self, text: str) -> tuple[int, ...]:
-        """Ids on the path of least weight; unknown characters are bytes, or one unknown id for a run of them."""
-        path = self._finite(text) if self.model.kind == BPE else self._lightest(text)
-        if min(path) >= 0:
-            return tuple(path)
-        ids: list[int] = []
-        was_unknown = False
-        for k in path:
-            if k >= 0:
-                ids.append(k)
-            elif self.byte_ids:
-                ids += [self.byte_ids[b] for b in chr(-1 - k).encode()]
-            elif not was_unknown:
-                ids.append(self.unknown)
-            was_unknown = k < 0
-        return tuple(ids)
+                settled.add(mark)
+                at, last, before = at + size, new, -before
+                if item is not None:
+                    heappush(queue, item)
+                break
+        parts = [ids]
+        while before > 0:
+            *_, before, ids = states[before]
+            parts.append(ids)
+        return [i for ids in reversed(parts) for i in ids]
 
     def packed(self, text: str | None) -> bytes:
         """Ids of the whole text as int32 in native order; none for null or empty text."""
-        text = self.normalise(text or "")
         if not text:
             return b""
         if self._cut is None or not self.byte_ids and "\n" in text:
-            return array("i", self._shortest(text)).tobytes()
+            return array("i", self._shortest(self.normaliser.write(text))).tobytes()
+        first, *rest = self._cut.findall(text)
         paths = self._paths
-        ids = b"".join([paths[part] for part in self._cut.findall(text)])
+        ids = self._first[first] + b"".join([paths[part] for part in rest])
         paths.aged()
+        self._first.aged()
         return ids
 
     def encode(self, text: str | None) -> list[int]:
@@ -340,6 +481,7 @@ def encode_texts(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
     """The input's rows and columns plus token_ids and n_tokens; no ids for null or empty text.
 
     The driver reads the model file; executors get its bytes. Columns of these names are replaced.
+    Repeated rows have equal ids, no rows give none.
     """
     with open(model_file, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -883,3 +883,64 @@ def test_classifiers_keep_columns_of_clashing_names(spark):
     assert good.columns == d.columns and {r.quality_score for r in good.collect()} == {"mine"}
     scored = toxicity.score_toxicity(d.withColumn("toxicity_score", F.lit("old")), labels)
     assert scored.columns[-1] == "toxicity_score" and scored.where("toxicity_score BETWEEN 0 AND 1").count() == d.count()
+
+
+# transducers
+
+
+def test_rules_take_the_longest_match():
+    rng = random.Random(26)
+    for _ in range(200):
+        keys = {"".join(rng.choice("ab c") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 6))}
+        rules = {k: "".join(rng.choice("abX ") for _ in range(rng.randrange(0, 3))) for k in keys}
+        text = "".join(rng.choice("aab bc") for _ in range(rng.randrange(0, 25)))
+        want, at = "", 0
+        while at < len(text):
+            size = max((len(k) for k in rules if text.startswith(k, at)), default=0)
+            want += rules[text[at : at + size]] if size else text[at]
+            at += size or 1
+        assert piecefst.Rules(rules).write(text) == want
+        for prefix in (True, False):
+            for squeeze in (True, False):
+                spaces = piecefst.Spaces(prefix, squeeze)
+                plain = re.sub(" +", " ", want.strip(" ")) if squeeze else want
+                done = (("▁" if prefix else "") + plain.replace(" ", "▁")) if plain else ""
+                assert piecefst.Composed(piecefst.Rules(rules), spaces).write(text) == done == spaces.write(want) == piecefst.Sequential.write(spaces, want)
+
+
+def test_unigram_paths_with_bytes_against_all_paths():
+    rng = random.Random(27)
+    normal = [("▁", -1.5, 1), ("a", -2.0, 1), ("ab", -2.2, 1), ("b", -2.5, 1), ("▁a", -2.6, 1), ("ba", -3.4, 1), ("éa", -4.0, 1)]
+    pieces = [("<unk>", 0.0, piecefst.UNKNOWN), *normal, *((f"<0x{i:02X}>", 0.0, piecefst.BYTE) for i in range(256))]
+    weight = {p: -s for p, s, _ in normal}
+    for fallback in (True, False):
+        fst = piecefst.Transducer(piecefst.Model(pieces, piecefst.UNIGRAM, byte_fallback=fallback))
+        heavy = piecefst.UNKNOWN_COST + 4.0
+
+        def best(t):
+            out = {0: 0.0}
+            for i in range(len(t)):
+                if i in out:
+                    for p, w in [*weight.items(), *([] if t[i] in weight else [(t[i], heavy)])]:
+                        if t.startswith(p, i):
+                            out[i + len(p)] = min(out.get(i + len(p), 1e9), out[i] + w)
+            return out[len(t)]
+
+        for _ in range(200):
+            text = "".join(rng.choice("aab é日") for _ in range(rng.randrange(1, 9)))
+            ids, whole = fst.encode(text), "▁" + text.replace(" ", "▁")
+            if fallback:
+                assert fst.decode(ids) == text
+                lead = [i for i in ids if i > len(normal) and not 0x80 <= i - len(normal) - 1 < 0xC0]
+                assert sum(fst.cost[i] for i in ids if i <= len(normal)) + heavy * len(lead) == pytest.approx(best(whole))
+            else:
+                assert all(not (a == b == 0) for a, b in zip(ids, ids[1:], strict=False))
+
+
+def test_a_very_long_text_is_encoded_whole():
+    import sentencepiece
+
+    fst = piecefst.Transducer(piecefst.Model.parse(open(piecefst.MODEL_FILE, "rb").read()))
+    rng = random.Random(28)
+    text = prose(rng, 100_000, ["word", "wörd", "日本", "x\n\ny", "a" * 70, "▁"])
+    assert fst.encode(text) == sentencepiece.SentencePieceProcessor(model_file=piecefst.MODEL_FILE).encode(text)
