@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from math import ceil, log
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
@@ -33,20 +33,39 @@ def rewrite_refs(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     return df.join(m, F.col(column) == F.col("_old"), "left").withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
 
 
-def running_number(df: DataFrame, order: list[str], column: str) -> DataFrame:
-    """Numbers rows from 1 in the given order without one task for all: range partitions, counts, offsets.
+def _placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with _part, their range of the order, and _at, their place in it, from 0.
 
-    The ranges are sampled and dealt once: rows are written with their range and place in it, and
-    sizes and numbers are both read from that table.
+    The ranges are sampled and dealt once: rows are written with their place, and whatever follows
+    reads that table.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # the id's upper bits are the partition, its lower 33 bits the place in it
-    placed = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "running-number").withColumns({"_part": F.shiftright("_at", 33), "_in": F.expr("_at & 8589934591L")})
-    sizes = placed.groupBy("_part").agg((F.max("_in") + 1).alias("_size"))
-    # one row for each range, so that this window is small whatever the rows
-    before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(before), "_part").withColumn(column, F.col("_in") + F.col("_before") + 1).drop("_at", "_part", "_in", "_before")
+    placed = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    return placed.withColumns({"_part": F.shiftright("_at", 33), "_at": F.expr("_at & 8589934591L")})
+
+
+def _offsets(sizes: DataFrame) -> DataFrame:
+    """(_part, _before) of (_part, _size): one row for each range, so that this window is small whatever the rows."""
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")))
+
+
+def running_number(df: DataFrame, order: list[str], column: str) -> DataFrame:
+    """Numbers rows from 1 in the given order without one task for all: range partitions, counts, offsets."""
+    placed = _placed(df, order)
+    sizes = placed.groupBy("_part").agg((F.max("_at") + 1).alias("_size"))
+    return placed.join(_offsets(sizes), "_part").withColumn(column, F.col("_at") + F.col("_before") + 1).drop("_at", "_part", "_before")
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, column: str) -> DataFrame:
+    """The sum of `value` over all earlier rows of the order, likewise; a range's own sums are one task each."""
+    placed = _placed(df, order)
+    sizes = placed.groupBy("_part").agg(F.sum(value).alias("_size"))
+    earlier = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    within = placed.withColumn("_in", F.coalesce(F.sum(value).over(earlier), F.lit(0)))
+    return within.join(_offsets(sizes), "_part").withColumn(column, F.col("_in") + F.col("_before")).drop("_at", "_part", "_in", "_before")
 
 
 def add_rows(existing: DataFrame, incoming: DataFrame, position: str, remap: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -97,19 +116,34 @@ def bloom_size(n: int, p: float) -> tuple[int, int]:
     return m, max(1, ceil(m / n * log(2)))
 
 
-def bloom_positions(item: Column, bits: int, hashes: int) -> Column:
-    """Double hashing (h1 + i * h2) mod bits, with two seeds of the engine's 64-bit hash."""
+def bloom_positions(item: Column, bits: int, hashes: int, double: bool = True) -> Column:
+    """Bit places of an item: (h1 + i * h2) mod bits, or a hash of its own seed for each, from the engine's 64-bit hash."""
+    if not double:
+        return F.array(*[F.pmod(F.shiftright(F.xxhash64(F.lit(i), item), 1), F.lit(bits)) for i in range(hashes)])
     h1, h2 = F.xxhash64(item), F.xxhash64(F.lit(1), item)
     return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(F.shiftright(h1, 1) + i * F.shiftright(h2, 8), F.lit(bits)))
 
 
-def bloom_build(items: DataFrame, column: str, capacity: int, rate: float = 0.001) -> DataFrame:
+def bloom_build(items: DataFrame, column: str, capacity: int, rate: float = 0.001, double: bool = True) -> DataFrame:
     """(word, mask): the set bits, 64 a row; rows grow with the filter, not on the driver."""
     m, k = bloom_size(capacity, rate)
-    at = items.select(F.explode(bloom_positions(F.col(column), m, k)).alias("p"))
+    at = items.select(F.explode(bloom_positions(F.col(column), m, k, double)).alias("p"))
     return at.groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(p, 64) AS INT))")).alias("mask"))
 
 
+def bloom_export(bitmap: DataFrame, path: str, capacity: int, items: int, rate: float = 0.001, double: bool = True) -> None:
+    """Writes a filter's bits with its parameters, as one table whose rows all carry them."""
+    about = {"capacity": F.lit(capacity).cast("long"), "rate": F.lit(rate), "double": F.lit(double), "items": F.lit(items).cast("long")}
+    bitmap.select("word", "mask").withColumns(about).write.mode("overwrite").parquet(path)
+
+
+def bloom_import(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The bits (word, mask) of an exported filter and its parameters capacity, rate, double and items; an empty filter has none."""
+    table = spark.read.parquet(path)
+    first = table.select("capacity", "rate", "double", "items").first()
+    return table.select("word", "mask"), first.asDict() if first else {}
+
+
 def bloom_stats(bitmap: DataFrame, capacity: int, items: int, rate: float = 0.001) -> DataFrame:
     m, k = bloom_size(capacity, rate)
     fill = F.coalesce(F.sum(F.bit_count("mask")), F.lit(0)) / m
@@ -117,11 +151,11 @@ def bloom_stats(bitmap: DataFrame, capacity: int, items: int, rate: float = 0.00
     return out.select(F.lit(m).alias("bits"), F.lit(k).alias("hashes"), "fill_ratio", F.pow("fill_ratio", F.lit(k)).alias("actual_rate"), F.lit(items / capacity).alias("utilization"), F.lit(m / max(items, 1)).alias("bits_per_item"), F.lit(items >= 0.7 * capacity).alias("should_resize"))
 
 
-def bloom_might_contain(items: DataFrame, column: str, bitmap: DataFrame, capacity: int, rate: float = 0.001) -> DataFrame:
+def bloom_might_contain(items: DataFrame, column: str, bitmap: DataFrame, capacity: int, rate: float = 0.001, double: bool = True) -> DataFrame:
     """The items' rows plus might_exist: all their bits are set."""
     m, k = bloom_size(capacity, rate)
     one = items.withColumn("_row", F.monotonically_increasing_id())
-    probe = one.select("_row", F.explode(bloom_positions(F.col(column), m, k)).alias("p")).withColumn("word", F.floor(F.col("p") / 64))
+    probe = one.select("_row", F.explode(bloom_positions(F.col(column), m, k, double)).alias("p")).withColumn("word", F.floor(F.col("p") / 64))
     hit = probe.join(bitmap, "word", "left").select("_row", (F.coalesce(F.col("mask").bitwiseAND(F.expr("shiftleft(1L, CAST(pmod(p, 64) AS INT))")), F.lit(0)) != 0).alias("set"))
     found = hit.groupBy("_row").agg(F.bool_and("set").alias("might_exist"))
     return one.join(found, "_row").drop("_row")

@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import grayscale
+from .stats import quantiles
 
 LUMINANCE = "(0.2126D * r + 0.7152D * g + 0.0722D * b)"
 
@@ -23,51 +24,78 @@ def _lightness() -> str:
 
 def luminance(pixels: DataFrame) -> DataFrame:
     lum = F.expr(LUMINANCE)
-    out = pixels.groupBy("image_id").agg(F.avg(lum).alias("mean"), F.percentile(lum, 0.5).alias("median"), F.stddev_pop(lum).alias("std"), F.min(lum).alias("min"), F.max(lum).alias("max"), F.avg(F.expr(_lightness())).alias("mean_lightness"), F.avg(F.greatest("r", "g", "b")).alias("mean_value"))
-    return out.withColumn("range", F.col("max") - F.col("min"))
+    out = pixels.groupBy("image_id").agg(F.avg(lum).alias("mean"), F.stddev_pop(lum).alias("std"), F.min(lum).alias("min"), F.max(lum).alias("max"), F.avg(F.expr(_lightness())).alias("mean_lightness"), F.avg(F.greatest("r", "g", "b")).alias("mean_value"))
+    median = quantiles(pixels.select("image_id", lum.alias("lum")), ["image_id"], "lum", [0.5]).toDF("image_id", "median")
+    return out.join(median, "image_id").withColumn("range", F.col("max") - F.col("min"))
 
 
 def exposure(pixels: DataFrame) -> DataFrame:
-    """Shares of over- and under-exposed pixels with flags over 2 %, and of clipped channels."""
+    """Shares of over- and under-exposed pixels with flags over 2 %, and of each channel's pixels clipped high and low."""
     p = pixels.withColumn("gray", grayscale())
     pct = lambda c: F.avg(F.expr(c).cast("double")) * 100
-    out = p.groupBy("image_id").agg(
-        F.count_if(F.expr("gray >= 240")).alias("over_count"), F.count_if(F.expr("gray <= 15")).alias("under_count"), pct("gray >= 240").alias("over_pct"), pct("gray <= 15").alias("under_pct"), *[pct(f"{c} >= 250 OR {c} <= 5").alias(f"clip_{c}_pct") for c in "rgb"]
-    )
-    return out.withColumns({"over_exposed": F.col("over_pct") > 2, "under_exposed": F.col("under_pct") > 2})
+    clipped = [pct(f"{c} {rule}").alias(f"clip_{c}_{end}_pct") for c in "rgb" for end, rule in (("high", ">= 250"), ("low", "<= 5"))]
+    out = p.groupBy("image_id").agg(F.count_if(F.expr("gray >= 240")).alias("over_count"), F.count_if(F.expr("gray <= 15")).alias("under_count"), pct("gray >= 240").alias("over_pct"), pct("gray <= 15").alias("under_pct"), *clipped)
+    return out.withColumns({"over_exposed": F.col("over_pct") > 2, "under_exposed": F.col("under_pct") > 2, "has_issues": (F.col("over_pct") > 2) | (F.col("under_pct") > 2)})
+
+
+def gray_counts(pixels: DataFrame) -> DataFrame:
+    """(image_id, gray, n): an image's histogram, 256 rows at most."""
+    return pixels.groupBy("image_id", grayscale().alias("gray")).agg(F.count("*").alias("n"))
 
 
 def tones(pixels: DataFrame) -> DataFrame:
-    """Shadows, midtones and highlights in percent, the histogram's centre, entropy and fullest bin (lowest on ties), and a label."""
-    h = pixels.groupBy("image_id", grayscale().alias("gray")).agg(F.count("*").alias("n"))
+    """Shadows, midtones and highlights in percent, the histogram's centre, entropy and fullest bin (lowest on ties), and which end holds over half."""
+    h = gray_counts(pixels)
     total = h.groupBy("image_id").agg(F.sum("n").alias("_t"))
     share = h.join(total, "image_id").withColumn("p", F.col("n") / F.col("_t"))
-    band = lambda c: F.sum(F.when(F.expr(c), F.col("p")).otherwise(0.0)) * 100
+    band = lambda c: F.sum(F.when(F.expr(c), F.col("n")).otherwise(0)) * 100 / F.max("_t")
     out = share.groupBy("image_id").agg(band("gray < 85").alias("shadows"), band("gray >= 85 AND gray < 171").alias("midtones"), band("gray >= 171").alias("highlights"), F.sum(F.col("gray") * F.col("p")).alias("center"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"), F.max_by("gray", F.struct("n", -F.col("gray"))).alias("fullest"))
-    label = "CASE WHEN shadows > midtones AND shadows > highlights THEN 'low key' WHEN highlights > shadows AND highlights > midtones THEN 'high key' ELSE 'balanced' END"
-    return out.withColumn("tone", F.expr(label))
+    return out.withColumn("tone", F.expr("CASE WHEN shadows > 50 THEN 'shadows-heavy' WHEN highlights > 50 THEN 'highlights-heavy' ELSE 'balanced' END"))
+
+
+def _gray_quantiles(pixels: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """(image_id, q array, low, high): linear quantiles and extremes of gray, from the histogram's running counts."""
+    w = Window.partitionBy("image_id")
+    h = gray_counts(pixels).withColumns({"last": F.sum("n").over(w.orderBy("gray")), "all": F.sum("n").over(w)})
+    value = lambda rank: F.min(F.when(F.col("last") > rank, F.col("gray")))
+    at = [F.lit(p) * (F.col("all") - 1) for p in shares]
+    out = h.groupBy("image_id").agg(*[value(f(x)).alias(f"v{i}{j}") for i, x in enumerate(at) for j, f in enumerate((F.floor, F.ceil))], *[F.max(x - F.floor(x)).alias(f"f{i}") for i, x in enumerate(at)], F.min("gray").alias("low"), F.max("gray").alias("high"))
+    return out.select("image_id", F.array(*[F.expr(f"v{i}0 * (1 - f{i}) + v{i}1 * f{i}") for i in range(len(shares))]).alias("q"), "low", "high")
 
 
 def dynamic_range(pixels: DataFrame) -> DataFrame:
-    q = F.percentile(grayscale(), F.array(*[F.lit(x) for x in (0.01, 0.05, 0.95, 0.99)]))
-    out = pixels.groupBy("image_id").agg(q.alias("q")).selectExpr("image_id", "q[0] AS p1", "q[1] AS p5", "q[2] AS p95", "q[3] AS p99")
+    out = _gray_quantiles(pixels, (0.01, 0.05, 0.95, 0.99)).selectExpr("image_id", "q[0] AS p1", "q[1] AS p5", "q[2] AS p95", "q[3] AS p99", "CAST(high - low AS DOUBLE) AS range_full")
     return out.selectExpr("*", "p95 - p5 AS range_90", "p99 - p1 AS range_98", "(p99 - p1) / 255 * 100 AS utilization", "(p99 - p1) / 255 * 100 > 70 AS good_range")
 
 
+#: By the share of pixels over or under exposed: from which percentage on, stops, and words.
+_STOPS = ((10, 2.0, "Significantly", "by 2+ stops"), (5, 1.0, "", "by 1 stop"), (2, 0.5, "Slightly", "by 0.5 stops"))
+
+
 def exposure_advice(pixels: DataFrame) -> DataFrame:
-    """Compensation in stops and a quality word, from mean luminance and exposure shares."""
-    both = luminance(pixels).select("image_id", "mean").join(exposure(pixels).select("image_id", "over_pct", "under_pct"), "image_id")
-    stops = "CASE WHEN over_pct > 10 THEN -2D WHEN over_pct > 5 THEN -1D WHEN under_pct > 10 THEN 2D WHEN under_pct > 5 THEN 1D WHEN mean < 85 THEN 0.5D WHEN mean > 170 THEN -0.5D ELSE 0D END"
-    word = "CASE WHEN over_pct > 10 OR under_pct > 10 THEN 'Poor' WHEN over_pct > 5 OR under_pct > 5 THEN 'Fair' WHEN mean BETWEEN 100 AND 155 THEN 'Excellent' ELSE 'Good' END"
-    return both.selectExpr("image_id", "mean", f"{stops} AS compensation", f"{word} AS quality")
+    """Compensation in stops, recommendations and a quality word, from mean gray and exposure shares.
+
+    Over-exposure is looked at before under-exposure, either only beyond 2 %; then dark and bright
+    means. A balanced image gets a second sentence by which end of its histogram holds more.
+    """
+    pct = lambda c: F.avg(F.expr(c).cast("double")) * 100
+    g = pixels.withColumn("gray", grayscale()).groupBy("image_id").agg(F.avg("gray").alias("mean"), pct("gray >= 240").alias("over_pct"), pct("gray <= 15").alias("under_pct"), F.count_if(F.expr("gray < 50")).alias("dark"), F.count_if(F.expr("gray >= 200")).alias("bright"))
+    cases = []
+    for column, word, verb, sign in (("over_pct", "overexposed", "reduce", -1), ("under_pct", "underexposed", "increase", 1)):
+        cases += [(f"{column} > {least}", sign * stops, f"{f'{how} {word}'.strip().capitalize()} - {verb} exposure {much}") for least, stops, how, much in _STOPS]
+    cases += [("mean < 85", 0.5, "Image appears dark - consider increasing exposure"), ("mean > 170", -0.5, "Image appears bright - consider reducing exposure")]
+    stops = "CASE " + " ".join(f"WHEN {c} THEN {v}D" for c, v, _ in cases) + " ELSE 0D END"
+    balanced = "array('Exposure appears well-balanced', CASE WHEN dark > bright THEN 'Consider slight exposure increase for better shadow detail' WHEN bright > dark THEN 'Consider slight exposure decrease to prevent highlight clipping' END)"
+    advice = "CASE " + " ".join(f"WHEN {c} THEN array('{t}')" for c, _, t in cases) + f" ELSE array_compact({balanced}) END"
+    quality = "CASE WHEN over_pct > 10 OR under_pct > 10 THEN 'Poor' WHEN over_pct > 5 OR under_pct > 5 THEN 'Fair' WHEN over_pct < 1 AND under_pct < 1 AND mean BETWEEN 85 AND 170 THEN 'Excellent' ELSE 'Good' END"
+    return g.selectExpr("image_id", "mean", f"{stops} AS compensation", f"{advice} AS recommendations", f"{quality} AS quality")
 
 
 def normalized_gray(pixels: DataFrame, low: float = 0.01, high: float = 0.998) -> DataFrame:
     """Gray stretched between two percentiles of its image, held within 0 to 255."""
     p = pixels.select("image_id", "y", "x", grayscale().alias("gray"))
-    q = p.groupBy("image_id").agg(F.percentile("gray", F.array(F.lit(low), F.lit(high))).alias("q"))
     stretched = "CAST(floor(least(1D, greatest(0D, coalesce(try_divide(gray - q[0], q[1] - q[0]), 0D))) * 255) AS INT)"
-    return p.join(q, "image_id").selectExpr("image_id", "y", "x", f"{stretched} AS gray")
+    return p.join(_gray_quantiles(pixels, (low, high)), "image_id").selectExpr("image_id", "y", "x", f"{stretched} AS gray")
 
 
 def per_image(images: DataFrame, f: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
@@ -91,25 +119,33 @@ def as_arrays(pixels: DataFrame, *planes: str) -> DataFrame:
 
 
 def spectrum(gray: np.ndarray) -> dict:
-    """Frequency metrics of one gray image: energy bands, centroid, dominant direction, radial means."""
-    z = np.fft.fftshift(np.fft.fft2(gray[0]))
+    """Frequency metrics of one gray image, scaled to 0..1: shares of squared magnitude near, between and far from the centre, centroid, energy by direction, radial means.
+
+    Near is up to a quarter, far from three quarters of the whole distance from centre to corner.
+    """
+    z = np.fft.fftshift(np.fft.fft2(gray[0] / 255.0))
     mag = np.abs(z)
     h, w = mag.shape
     yy, xx = np.indices(mag.shape)
     dist = np.hypot(yy - h // 2, xx - w // 2)
-    top = min(h, w) // 2
-    total = mag.sum()
-    ratio = lambda m: float(mag[m].sum() / total) if total else 0.0
+    top = int(np.hypot(h // 2, w // 2))
+    total, energy = mag.sum(), (mag**2).sum()
+    ratio = lambda m: float((mag[m] ** 2).sum() / energy) if energy else 0.0
     radius = dist.astype(int)
-    radial = [float(mag[radius == r].mean()) for r in range(top)]
+    rings = radius < top
+    n = np.bincount(radius[rings], minlength=top)
+    radial = (np.bincount(radius[rings], mag[rings], top) / np.maximum(n, 1)).tolist()
     edges = np.linspace(-np.pi, np.pi, 36)
-    angle = np.arctan2(yy - h // 2, xx - w // 2)
-    at = np.digitize(angle, edges) - 1
-    energy = np.array([(mag[at == k] ** 2).sum() for k in range(35)])
-    return {"low_ratio": ratio(dist <= 0.25 * top), "mid_ratio": ratio((dist > 0.25 * top) & (dist < 0.75 * top)), "high_ratio": ratio(dist >= 0.75 * top), "centroid": float((mag * dist).sum() / total) if total else 0.0, "dominant_direction": float(np.degrees(edges[int(energy.argmax())])), "radial": radial}
+    at = np.digitize(np.arctan2(yy - h // 2, xx - w // 2), edges) - 1
+    # the angle of pi itself is in no direction
+    directions = np.bincount(at[at < 35], mag[at < 35] ** 2, 35)
+    return {
+        "low_ratio": ratio(dist <= 0.25 * top), "mid_ratio": ratio((dist > 0.25 * top) & (dist < 0.75 * top)), "high_ratio": ratio(dist >= 0.75 * top), "centroid": float((mag * dist).sum() / total) if total else 0.0,
+        "dominant_direction": float(np.degrees(edges[int(directions.argmax())])), "directions": directions.tolist(), "radial": radial,
+    }
 
 
-SPECTRUM = "image_id long, low_ratio double, mid_ratio double, high_ratio double, centroid double, dominant_direction double, radial array<double>"
+SPECTRUM = "image_id long, low_ratio double, mid_ratio double, high_ratio double, centroid double, dominant_direction double, directions array<double>, radial array<double>"
 
 
 def box_mean(x: np.ndarray, r: int) -> np.ndarray:

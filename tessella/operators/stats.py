@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ids import running_sum
+
 
 def categorical(df: DataFrame, prop: str, category: str) -> DataFrame:
     """Count per (category, value) and percentage of all rows of the category, rows without a value included in the whole."""
@@ -13,12 +17,32 @@ def categorical(df: DataFrame, prop: str, category: str) -> DataFrame:
     return count.join(total, category).select(category, prop, "count", (F.col("count") * 100 / F.col("_total")).alias("percentage"))
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(*keys, q0, q1, ..): exact linear quantiles of the values that aren't null, for groups of any size.
+
+    Equal values are counted first; the counts' running sum over ranges of (keys, value) tells each
+    value's ranks, of which the wanted ones are picked. No task holds a group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = running_sum(counts, [*keys, "_v"], "_n", "_first")
+    groups = placed.groupBy(*keys).agg(F.min("_first").alias("_zero"), F.sum("_n").alias("_all"))
+    on = [F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    named = groups.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_zero", "_all")
+    ranked = placed.join(named, on).withColumn("_rank", F.col("_first") - F.col("_zero"))
+    at = [F.lit(float(p)) * (F.col("_all") - 1) for p in shares]
+    holds = lambda rank: (rank >= F.col("_rank")) & (rank < F.col("_rank") + F.col("_n"))
+    ends = [(F.floor(x), F.ceil(x)) for x in at]
+    some = ranked.where(reduce(Column.__or__, (holds(r) for e in ends for r in e)))
+    picked = some.groupBy(*keys).agg(*[F.max(F.when(holds(r), F.col("_v"))).alias(f"_{i}{j}") for i, e in enumerate(ends) for j, r in enumerate(e)], *[F.max(x - F.floor(x)).alias(f"_f{i}") for i, x in enumerate(at)])
+    return picked.select(*keys, *[(F.col(f"_{i}0") * (1 - F.col(f"_f{i}")) + F.col(f"_{i}1") * F.col(f"_f{i}")).alias(f"q{i}") for i in range(len(shares))])
+
+
 def numerical(df: DataFrame, prop: str, category: str) -> DataFrame:
     """Count, mean, sample deviation, extremes and linear quartiles per category over rows with both values."""
     v = F.col(prop).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.dropna(subset=[prop, category]).groupBy(category).agg(F.count("*").alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), q.alias("_q"))
-    return out.select("*", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75")).drop("_q")
+    known = df.dropna(subset=[prop, category]).select(category, v.alias("v"))
+    out = known.groupBy(category).agg(F.count("*").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    return out.join(quantiles(known, [category], "v", [0.25, 0.5, 0.75]).toDF(category, "p25", "p50", "p75"), category)
 
 
 def shares_of_known(df: DataFrame, prop: str, category: str) -> DataFrame:

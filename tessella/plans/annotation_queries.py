@@ -288,7 +288,8 @@ def entry_feature_stats(spark, sf):
     a = V.annotations(spark, sf).join(size, "image_id")
     place = G.spatial_features()
     x = a.select("category_id", G.box_features()["aspect_ratio"].alias("r"), place["relative_area"].alias("a"), place["distance_from_center"].alias("d"))
-    return rounded(x.groupBy("category_id").agg(F.count("*").alias("n"), F.avg("r").alias("mean_aspect"), F.avg("a").alias("mean_relative_area"), F.percentile("d", 0.5).alias("median_distance")))
+    means = x.groupBy("category_id").agg(F.count("*").alias("n"), F.avg("r").alias("mean_aspect"), F.avg("a").alias("mean_relative_area"))
+    return rounded(means.join(stats.quantiles(x, ["category_id"], "d", [0.5]).toDF("category_id", "median_distance"), "category_id"))
 
 
 @query("agg01_categorical", sql("SELECT category_name, iscrowd, count(*) AS count, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY category_name), 6) AS percentage FROM ann GROUP BY category_name, iscrowd"))

@@ -30,6 +30,15 @@ _GRAY = "CAST(round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b) A
 _LUM = "(0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b)"
 
 
+#: Pixels under a light of their image's own, so that images differ in exposure.
+_LIGHT = "CAST(least(255, greatest(0, {c} * (40 + image_id * 37 % 160) / 100 + image_id * 53 % 120 - 60)) AS INT) AS {c}"
+_LIT = "lit AS (SELECT image_id, y, x, " + ", ".join(_LIGHT.format(c=c).replace("/ 100", "// 100") for c in "rgb") + " FROM pixels)"
+
+
+def _lit_pixels(spark, sf) -> DataFrame:
+    return V.pixels(spark, sf).selectExpr("image_id", "y", "x", *[_LIGHT.format(c=c).replace("/ 100", "DIV 100") for c in "rgb"])
+
+
 @query("prj21_grayscale", sql(f"SELECT image_id, y, x, {_GRAY} AS gray FROM pixels"))
 def grayscale(spark, sf):
     from ..functions.geometry import grayscale as gray
@@ -47,28 +56,37 @@ def luminance(spark, sf):
     return rounded(pixels.luminance(V.pixels(spark, sf)).drop("mean_lightness"), 5)
 
 
-@query("agg23_exposure", sql(f"SELECT image_id, count(*) FILTER (gray >= 240) AS over_count, count(*) FILTER (gray <= 15) AS under_count, round(avg((gray >= 240)::INT) * 100, 6) AS over_pct, round(avg((gray <= 15)::INT) * 100, 6) AS under_pct, round(avg((r >= 250 OR r <= 5)::INT) * 100, 6) AS clip_r_pct, round(avg((g >= 250 OR g <= 5)::INT) * 100, 6) AS clip_g_pct, round(avg((b >= 250 OR b <= 5)::INT) * 100, 6) AS clip_b_pct, avg((gray >= 240)::INT) * 100 > 2 AS over_exposed, avg((gray <= 15)::INT) * 100 > 2 AS under_exposed FROM (SELECT *, {_GRAY} AS gray FROM pixels) GROUP BY 1"))
+def _clipped(c: str) -> str:
+    return f"round(avg(({c} >= 250)::INT) * 100, 6) AS clip_{c}_high_pct, round(avg(({c} <= 5)::INT) * 100, 6) AS clip_{c}_low_pct"
+
+
+@query("agg23_exposure", sql(f"SELECT image_id, count(*) FILTER (gray >= 240) AS over_count, count(*) FILTER (gray <= 15) AS under_count, round(avg((gray >= 240)::INT) * 100, 6) AS over_pct, round(avg((gray <= 15)::INT) * 100, 6) AS under_pct, {_clipped('r')}, {_clipped('g')}, {_clipped('b')}, avg((gray >= 240)::INT) * 100 > 2 AS over_exposed, avg((gray <= 15)::INT) * 100 > 2 AS under_exposed, greatest(avg((gray >= 240)::INT), avg((gray <= 15)::INT)) * 100 > 2 AS has_issues FROM (SELECT *, {_GRAY} AS gray FROM pixels) GROUP BY 1"))
 def exposure(spark, sf):
     return rounded(pixels.exposure(V.pixels(spark, sf)))
 
 
-@query("agg24_tones", sql(f"""SELECT *, CASE WHEN shadows > midtones AND shadows > highlights THEN 'low key' WHEN highlights > shadows AND highlights > midtones THEN 'high key' ELSE 'balanced' END AS tone FROM (
- SELECT image_id, round(sum(CASE WHEN gray < 85 THEN n ELSE 0 END) / 400.0 * 100, 5)::DOUBLE AS shadows, round(sum(CASE WHEN gray >= 85 AND gray < 171 THEN n ELSE 0 END) / 400.0 * 100, 5)::DOUBLE AS midtones, round(sum(CASE WHEN gray >= 171 THEN n ELSE 0 END) / 400.0 * 100, 5)::DOUBLE AS highlights,
- round(sum(gray * n / 400.0), 5)::DOUBLE AS center, round(-sum(n / 400.0 * log2(n / 400.0)), 5) AS entropy, arg_max(gray, n * 1000 - gray) AS fullest FROM (SELECT image_id, {_GRAY} AS gray, count(*) AS n FROM pixels GROUP BY ALL) GROUP BY 1)"""))
+@query("agg24_tones", sql(f"""SELECT *, CASE WHEN shadows > 50 THEN 'shadows-heavy' WHEN highlights > 50 THEN 'highlights-heavy' ELSE 'balanced' END AS tone FROM (
+ SELECT image_id, round(sum(CASE WHEN gray < 85 THEN n ELSE 0 END) * 100 / 400.0, 5)::DOUBLE AS shadows, round(sum(CASE WHEN gray >= 85 AND gray < 171 THEN n ELSE 0 END) * 100 / 400.0, 5)::DOUBLE AS midtones, round(sum(CASE WHEN gray >= 171 THEN n ELSE 0 END) * 100 / 400.0, 5)::DOUBLE AS highlights,
+ round(sum(gray * n / 400.0), 5)::DOUBLE AS center, round(-sum(n / 400.0 * log2(n / 400.0)), 5) AS entropy, arg_max(gray, n * 1000 - gray) AS fullest FROM (SELECT image_id, {_GRAY} AS gray, count(*) AS n FROM lit GROUP BY ALL) GROUP BY 1)""", _LIT))
 def tones(spark, sf):
-    return rounded(pixels.tones(V.pixels(spark, sf)), 5)
+    return rounded(pixels.tones(_lit_pixels(spark, sf)), 5)
 
 
-@query("agg25_dynamic_range", sql(f"SELECT image_id, round(q[1], 6) AS p1, round(q[2], 6) AS p5, round(q[3], 6) AS p95, round(q[4], 6) AS p99, round(q[3] - q[2], 6) AS range_90, round(q[4] - q[1], 6) AS range_98, round((q[4] - q[1]) / 255 * 100, 6) AS utilization, (q[4] - q[1]) / 255 * 100 > 70 AS good_range FROM (SELECT image_id, quantile_cont({_GRAY}::DOUBLE, [0.01, 0.05, 0.95, 0.99]) AS q FROM pixels GROUP BY 1)"))
+@query("agg25_dynamic_range", sql(f"SELECT image_id, round(q[1], 6) AS p1, round(q[2], 6) AS p5, round(q[3], 6) AS p95, round(q[4], 6) AS p99, full_ AS range_full, round(q[3] - q[2], 6) AS range_90, round(q[4] - q[1], 6) AS range_98, round((q[4] - q[1]) / 255 * 100, 6) AS utilization, (q[4] - q[1]) / 255 * 100 > 70 AS good_range FROM (SELECT image_id, quantile_cont({_GRAY}::DOUBLE, [0.01, 0.05, 0.95, 0.99]) AS q, (max({_GRAY}) - min({_GRAY}))::DOUBLE AS full_ FROM lit GROUP BY 1)", _LIT))
 def dynamic_range(spark, sf):
-    return rounded(pixels.dynamic_range(V.pixels(spark, sf)))
+    return rounded(pixels.dynamic_range(_lit_pixels(spark, sf)))
 
 
-@query("agg26_exposure_advice", sql(f"""SELECT image_id, round(m, 5) AS mean, CASE WHEN o > 10 THEN -2.0 WHEN o > 5 THEN -1.0 WHEN u > 10 THEN 2.0 WHEN u > 5 THEN 1.0 WHEN m < 85 THEN 0.5 WHEN m > 170 THEN -0.5 ELSE 0.0 END::DOUBLE AS compensation,
- CASE WHEN o > 10 OR u > 10 THEN 'Poor' WHEN o > 5 OR u > 5 THEN 'Fair' WHEN m BETWEEN 100 AND 155 THEN 'Excellent' ELSE 'Good' END AS quality
- FROM (SELECT image_id, avg({_LUM}) AS m, avg(({_GRAY} >= 240)::INT) * 100 AS o, avg(({_GRAY} <= 15)::INT) * 100 AS u FROM pixels GROUP BY 1)"""))
+@query("agg26_exposure_advice", sql(f"""SELECT image_id, round(m, 5) AS mean, quality, (CASE advice WHEN 'o10' THEN -2 WHEN 'o5' THEN -1 WHEN 'o2' THEN -0.5 WHEN 'u10' THEN 2 WHEN 'u5' THEN 1 WHEN 'u2' THEN 0.5 WHEN 'dark' THEN 0.5 WHEN 'bright' THEN -0.5 ELSE 0 END)::DOUBLE AS compensation,
+ CASE advice WHEN 'o10' THEN 'Significantly overexposed - reduce exposure by 2+ stops' WHEN 'o5' THEN 'Overexposed - reduce exposure by 1 stop' WHEN 'o2' THEN 'Slightly overexposed - reduce exposure by 0.5 stops'
+ WHEN 'u10' THEN 'Significantly underexposed - increase exposure by 2+ stops' WHEN 'u5' THEN 'Underexposed - increase exposure by 1 stop' WHEN 'u2' THEN 'Slightly underexposed - increase exposure by 0.5 stops'
+ WHEN 'dark' THEN 'Image appears dark - consider increasing exposure' WHEN 'bright' THEN 'Image appears bright - consider reducing exposure'
+ ELSE 'Exposure appears well-balanced' || CASE WHEN low > high THEN '; Consider slight exposure increase for better shadow detail' WHEN high > low THEN '; Consider slight exposure decrease to prevent highlight clipping' ELSE '' END END AS recommendations
+ FROM (SELECT *, CASE WHEN o > 10 OR u > 10 THEN 'Poor' WHEN o > 5 OR u > 5 THEN 'Fair' WHEN o < 1 AND u < 1 AND m >= 85 AND m <= 170 THEN 'Excellent' ELSE 'Good' END AS quality,
+ CASE WHEN o > 2 THEN (CASE WHEN o > 10 THEN 'o10' WHEN o > 5 THEN 'o5' ELSE 'o2' END) WHEN u > 2 THEN (CASE WHEN u > 10 THEN 'u10' WHEN u > 5 THEN 'u5' ELSE 'u2' END) WHEN m < 85 THEN 'dark' WHEN m > 170 THEN 'bright' ELSE 'balanced' END AS advice
+ FROM (SELECT image_id, avg(gray) AS m, avg((gray >= 240)::INT) * 100 AS o, avg((gray <= 15)::INT) * 100 AS u, count(*) FILTER (gray < 50) AS low, count(*) FILTER (gray >= 200) AS high FROM (SELECT image_id, {_GRAY} AS gray FROM lit) GROUP BY 1))""", _LIT))
 def exposure_advice(spark, sf):
-    return rounded(pixels.exposure_advice(V.pixels(spark, sf)), 5)
+    return rounded(pixels.exposure_advice(_lit_pixels(spark, sf)), 5).withColumn("recommendations", F.array_join("recommendations", "; "))
 
 
 @query("agg27_spectrum")

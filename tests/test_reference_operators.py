@@ -270,3 +270,73 @@ def test_running_numbers_are_whole_and_in_order(spark, parts):
 
 def test_running_number_of_no_rows(spark):
     assert ids.running_number(spark.range(0), ["id"], "n").collect() == []
+
+
+def flat_image(spark, spans):
+    """One image of gray pixels: (value, how many)."""
+    values = [v for v, n in spans for _ in range(n)]
+    return spark.createDataFrame([(1, 0, x, v, v, v) for x, v in enumerate(values)], "image_id long, y int, x int, r int, g int, b int")
+
+
+@pytest.mark.parametrize(
+    ("spans", "stops", "first", "quality"),
+    [
+        ([(250, 11), (128, 89)], -2.0, "Significantly overexposed - reduce exposure by 2+ stops", "Poor"),
+        ([(250, 6), (128, 94)], -1.0, "Overexposed - reduce exposure by 1 stop", "Fair"),
+        ([(250, 3), (10, 20), (128, 77)], -0.5, "Slightly overexposed - reduce exposure by 0.5 stops", "Poor"),
+        ([(10, 11), (128, 89)], 2.0, "Significantly underexposed - increase exposure by 2+ stops", "Poor"),
+        ([(10, 6), (128, 94)], 1.0, "Underexposed - increase exposure by 1 stop", "Fair"),
+        ([(10, 3), (128, 97)], 0.5, "Slightly underexposed - increase exposure by 0.5 stops", "Good"),
+        ([(80, 100)], 0.5, "Image appears dark - consider increasing exposure", "Good"),
+        ([(180, 100)], -0.5, "Image appears bright - consider reducing exposure", "Good"),
+        ([(40, 10), (128, 90)], 0.0, "Exposure appears well-balanced", "Excellent"),
+    ],
+)
+def test_exposure_advice_by_hand(spark, spans, stops, first, quality):
+    r = one(pixels.exposure_advice(flat_image(spark, spans)))
+    assert (r.compensation, r.recommendations[0], r.quality) == (stops, first, quality)
+    more = r.recommendations[1:]
+    assert more == (["Consider slight exposure increase for better shadow detail"] if stops == 0 else [])
+
+
+def test_tones_and_range_by_hand(spark):
+    assert one(pixels.tones(flat_image(spark, [(20, 50), (200, 50)]))).tone == "balanced"
+    assert one(pixels.tones(flat_image(spark, [(20, 51), (200, 49)]))).tone == "shadows-heavy"
+    t = one(pixels.tones(flat_image(spark, [(20, 40), (171, 60)])))
+    assert (t.tone, t.shadows, t.highlights, t.center, t.fullest) == ("highlights-heavy", 40, 60, pytest.approx(20 * 0.4 + 171 * 0.6), 171)
+    d = one(pixels.dynamic_range(flat_image(spark, [(i, 1) for i in range(0, 202, 2)])))
+    assert (d.range_full, d.p1, d.p99, d.range_98, d.good_range) == (200, 2, 198, pytest.approx(196), True)
+    e = one(pixels.exposure(flat_image(spark, [(252, 3), (4, 1), (100, 96)])))
+    assert (e.clip_r_high_pct, e.clip_g_low_pct, e.over_exposed, e.under_exposed, e.has_issues) == (3, 1, True, False, True)
+
+
+def test_spectrum_of_one_wave():
+    x = np.cos(2 * np.pi * 3 * np.arange(16) / 16)[None, :].repeat(16, 0) * 255
+    s = pixels.spectrum(x[None])
+    # all energy at three steps left and right of the centre; the corner is int(sqrt(128)) = 11 away, a quarter of which is under three
+    assert (s["low_ratio"], s["mid_ratio"], s["high_ratio"]) == (pytest.approx(0), pytest.approx(1), pytest.approx(0))
+    assert len(s["radial"]) == 11 and int(np.argmax(s["radial"])) == 3 and s["centroid"] == pytest.approx(3)
+
+
+def test_quantiles_of_groups(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 3, 3000), rng.integers(0, 40, 3000) / 4, strict=True)] + [(7, 1.0), (None, 2.0), (None, 4.0), (8, None)]
+    got = {r.k: (r.q0, r.q1, r.q2) for r in stats.quantiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", [0, 0.3, 1]).collect()}
+    want = {k: tuple(np.quantile([v for g, v in rows if g == k and v is not None], [0, 0.3, 1])) for k in (0, 1, 2, 7, None)}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_running_sums(spark):
+    rows = spark.range(5000).selectExpr("pmod(xxhash64(id), 10007) AS pos", "id AS a", "id % 7 AS n")
+    got = ids.running_sum(rows, ["pos", "a"], "n", "before").toPandas().sort_values(["pos", "a"])
+    assert (got["before"].to_numpy() == np.r_[0, np.cumsum(got["n"])[:-1]]).all()
+
+
+@pytest.mark.parametrize("double", [True, False])
+def test_bloom_state_goes_out_and_in(spark, tmp_path, double):
+    have = spark.range(300)
+    ids.bloom_export(ids.bloom_build(have, "id", 500, 0.01, double), str(tmp_path / "b"), 500, 300, 0.01, double)
+    bits, about = ids.bloom_import(spark, str(tmp_path / "b"))
+    assert about == {"capacity": 500, "rate": 0.01, "double": double, "items": 300}
+    assert ids.bloom_might_contain(have, "id", bits, 500, 0.01, double).where("NOT might_exist").isEmpty()
+    assert ids.bloom_might_contain(spark.range(1000, 2000), "id", bits, 500, 0.01, double).where("might_exist").count() < 40
