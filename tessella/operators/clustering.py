@@ -190,11 +190,21 @@ def hard_features(scores: DataFrame) -> DataFrame:
     return scores.withColumn("_m", mean).where(F.col("importance") < 0.5 * F.col("_m")).drop("_m")
 
 
+#: Advice, and the features of which one with an importance over 0.2 calls for it.
+AUGMENTATIONS = (
+    ("Apply random translations, crops, and spatial flips.", ("center_x", "center_y", "horizontal_position", "vertical_position")),
+    ("Apply random scaling and aspect ratio jitter.", ("box_area", "width", "height", "aspect_ratio")),
+    ("Consider random rotations and stretching.", ("elongation",)),
+)
+STANDARD_AUGMENTATION = "Standard color and geometric augmentations recommended."
+
+
 def augmentations(scores: DataFrame) -> DataFrame:
-    """Advice for features with an importance over 0.2; one default line if none is."""
-    rules = "CASE WHEN feature LIKE '%aspect_ratio%' THEN 'vary the aspect ratio' WHEN feature LIKE '%area%' THEN 'scale and crop' WHEN feature LIKE '%position%' OR feature LIKE '%center%' THEN 'shift and mosaic' END"
-    hit = scores.where("importance > 0.2").selectExpr(f"{rules} AS advice").where("advice IS NOT NULL").distinct()
-    return hit.agg(F.array_sort(F.collect_list("advice")).alias("a")).select(F.explode(F.when(F.size("a") > 0, F.col("a")).otherwise(F.array(F.lit("standard augmentation")))).alias("advice"))
+    """(advice): for features (feature, importance) with an importance over 0.2; the standard one if none is."""
+    strong = scores.where("importance > 0.2")
+    hits = [F.coalesce(F.bool_or(F.col("feature").isin(*names)), F.lit(False)).alias(f"a{i}") for i, (_, names) in enumerate(AUGMENTATIONS)]
+    found = strong.agg(*hits).select(F.array_compact(F.array(*[F.when(F.col(f"a{i}"), text) for i, (text, _) in enumerate(AUGMENTATIONS)])).alias("a"))
+    return found.select(F.explode(F.when(F.size("a") > 0, F.col("a")).otherwise(F.array(F.lit(STANDARD_AUGMENTATION)))).alias("advice"))
 
 
 def anchors(boxes: DataFrame, n: int = 6, rtol: float = 0.1) -> DataFrame:

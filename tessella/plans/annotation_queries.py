@@ -385,12 +385,17 @@ def histogram(spark, sf):
     return stats.histogram(V.annotations(spark, sf), "area", 30).select("bin", "count")
 
 
-@query("agg20_heatmap", sql("SELECT CAST(i % 40 AS INT) AS bx, CAST(i // 40 AS INT) AS by, count(id) AS count FROM (SELECT unnest(range(800)) AS i) LEFT JOIN (SELECT id, least(floor(cx / 0.5), 39) + 40 * least(floor(cy / 0.5), 19) AS cell FROM (SELECT id, (x + w / 2) / 32 AS cx, (y + h / 2) / 48 AS cy FROM ann) WHERE cx BETWEEN 0 AND 20 AND cy BETWEEN 0 AND 10) ON i = cell GROUP BY i"))
+_HEAT = "SELECT CAST(i % 40 AS INT) AS bx, CAST(i // 40 AS INT) AS by, count(id) AS count FROM (SELECT unnest(range(800)) AS i) LEFT JOIN (SELECT id, least(floor(cx / 0.5), 39) + 40 * least(floor(cy / 0.5), 19) AS cell FROM (SELECT id, (x + w / 2) / 32 AS cx, (y + h / 2) / 48 AS cy FROM ann) WHERE cx BETWEEN 0 AND 20 AND cy BETWEEN 0 AND 10) ON i = cell GROUP BY i"
+
+
+@query("agg20_heatmap", sql(_HEAT))
 def heatmap(spark, sf):
     return stats.heatmap(V.annotations(spark, sf).selectExpr("(x + w / 2) / 32 AS cx", "(y + h / 2) / 48 AS cy"))
 
 
-@query("agg21_smoothed")
+@query("agg21_smoothed", sql("""SELECT t.bx, t.y AS by, round(sum(g.n * kx.w * ky.w), 6) AS density FROM grid t JOIN k kx ON true JOIN k ky ON true
+ JOIN grid g ON g.bx = CASE WHEN (t.bx + kx.d + 80) % 80 < 40 THEN (t.bx + kx.d + 80) % 80 ELSE 79 - (t.bx + kx.d + 80) % 80 END AND g.y = CASE WHEN (t.y + ky.d + 40) % 40 < 20 THEN (t.y + ky.d + 40) % 40 ELSE 39 - (t.y + ky.d + 40) % 40 END GROUP BY 1, 2""",
+ "k AS (SELECT d, exp(-d * d / 2.0) / sum(exp(-d * d / 2.0)) OVER () AS w FROM (SELECT unnest(generate_series(-4, 4)) AS d))", f"grid AS (SELECT h.* FROM ({_HEAT}) AS h(bx, y, n))"))
 def smoothed(spark, sf):
     return rounded(stats.smoothed(heatmap(spark, sf), 40, 20, 1.0))
 
@@ -452,7 +457,9 @@ def collinear(spark, sf):
     return polygons.collinear_filtered(a, "image_id").select("image_id", "id")
 
 
-@query("ord08_anchors")
+@query("ord08_anchors", sql("SELECT CAST(i AS INT) AS rank, kept[i].w AS w, kept[i].h AS h FROM (SELECT kept, unnest(generate_series(1, least(6, len(kept)))) AS i FROM (SELECT kept FROM r ORDER BY n DESC LIMIT 1))",
+ "b AS (SELECT row_number() OVER (ORDER BY w * h DESC, id) AS n, w, h FROM (SELECT image_id % 12 AS id, max(w) AS w, max(h) AS h FROM ann GROUP BY 1))",
+ "r AS (SELECT 0::BIGINT AS n, CAST([] AS STRUCT(w DOUBLE, h DOUBLE)[]) AS kept UNION ALL SELECT b.n, CASE WHEN len(list_filter(kept, lambda k: abs(b.w - k.w) <= 1e-8 + 0.1 * abs(k.w) AND abs(b.h - k.h) <= 1e-8 + 0.1 * abs(k.h))) > 0 THEN kept ELSE list_append(kept, {'w': b.w, 'h': b.h}) END FROM r JOIN b ON b.n = r.n + 1)"))
 def anchor_boxes(spark, sf):
     c = V.annotations(spark, sf).groupBy(F.expr("image_id % 12").alias("id")).agg(F.max("w").alias("w"), F.max("h").alias("h"))
     return clustering.anchors(c)
@@ -501,23 +508,39 @@ def classify(spark, sf):
     return rects.classified(r).select("id", "kind")
 
 
-@query("spa03_tiles")
+def _starts(side: str, step: str) -> str:
+    every, shift = f"range(0, {side}, {step})", f"list_filter(range(0, {side}, {step}), lambda s: s + 640 >= {side} AND s < {side} - {step} AND s > 0)"
+    return f"CASE WHEN len({shift}) = 0 THEN list_transform({every}, lambda s: {{'at': s, 'moved': false}}) ELSE list_append(list_transform(list_filter({every}, lambda s: s < ({shift})[1]), lambda s: {{'at': s, 'moved': false}}), {{'at': greatest(0, {side} - 640), 'moved': true}}) END"
+
+
+@query("spa03_tiles", sql(f"""SELECT DISTINCT width, height, CAST(x.at AS INT) AS x1, CAST(y.at AS INT) AS y1, CAST(least(x.at + 640, width) AS INT) AS x2, CAST(least(y.at + 640, height) AS INT) AS y2
+ FROM (SELECT *, unnest(xs) AS x, unnest(generate_series(1, len(xs))) AS k, coalesce(list_position(list_transform(xs, lambda s: s.at + 640 >= width), true), 0) AS first FROM (SELECT *, unnest(ys) AS y FROM (SELECT width, height, {_starts('width', 'sx')} AS xs, {_starts('height', 'sy')} AS ys
+ FROM (SELECT width, height, greatest(1, CAST(floor(640 * (1 - width % 640 / 640.0)) AS INT)) AS sx, greatest(1, CAST(floor(640 * (1 - height % 640 / 640.0)) AS INT)) AS sy FROM (SELECT DISTINCT width, height FROM images))))) WHERE NOT y.moved OR first = 0 OR k < first OR k = 1"""))
 def tile_grid(spark, sf):
     r = tiles.overlap_ratios(tiles.resolutions(V.images(spark, sf)))
     return tiles.tiles(r, 640, 640)
 
 
 
-@query("spa11_convex_hulls")
+#: Corners of the strict hulls of points p (g, x, y), counter-clockwise from the least: starts of edges that have all points to their left or between their ends.
+_HULL = """d AS (SELECT DISTINCT g, x, y FROM p),
+edge AS (SELECT a.g, a.x, a.y FROM d a JOIN d b ON a.g = b.g AND (a.x <> b.x OR a.y <> b.y) JOIN d c ON a.g = c.g GROUP BY a.g, a.x, a.y, b.x, b.y
+ HAVING bool_and((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0 OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) <= 0))),
+corner AS (SELECT DISTINCT g, x, y FROM edge UNION SELECT g, x, y FROM d WHERE g IN (SELECT g FROM d GROUP BY 1 HAVING count(*) = 1)),
+turn AS (SELECT g, x, y, CASE WHEN x = fx AND y = fy THEN -10.0 ELSE atan2(y - fy, x - fx) END AS t FROM corner JOIN (SELECT g AS fg, min(x) AS fx, arg_min(y, (x, y)) AS fy FROM corner GROUP BY 1) ON g = fg)"""
+
+
+@query("spa11_convex_hulls", sql("SELECT g AS id, CAST(count(*) AS INT) AS corners, string_agg(x::VARCHAR || ',' || y::VARCHAR, ',' ORDER BY t) AS hull FROM turn GROUP BY 1",
+ "p AS (SELECT id AS g, seg[2 * i + 1] AS x, seg[2 * i + 2] AS y FROM (SELECT id, seg, unnest(generate_series(0, 7)) AS i FROM ann))", _HULL))
 def convex_hulls(spark, sf):
     a = V.annotations(spark, sf).select("id", F.col("segmentation")[0].alias("ring"))
     return polygons.convex_hulls(a).select("id", (F.size("hull") / 2).cast("int").alias("corners"), F.array_join(F.col("hull").cast("array<string>"), ",").alias("hull"))
 
 
-@query("spa11_cloud_hulls")
+@query("spa11_cloud_hulls", sql("SELECT g AS image_id, string_agg(x::VARCHAR || ',' || y::VARCHAR, ',' ORDER BY t) AS hull FROM turn GROUP BY 1", "p AS (SELECT image_id AS g, x, y FROM ann)", _HULL))
 def cloud_hulls(spark, sf):
     p = V.annotations(spark, sf).selectExpr("image_id", "x", "y")
-    return polygons.cloud_hulls(p, "image_id")
+    return polygons.cloud_hulls(p, "image_id").select("image_id", F.array_join(F.col("hull").cast("array<string>"), ",").alias("hull"))
 
 
 @query("spa17_ring_distances", sql("SELECT a.id AS a_id, b.id AS b_id, greatest(a.x, b.x) <= least(a.x1, b.x1) AND greatest(a.y, b.y) <= least(a.y1, b.y1) AS hit, round(sqrt(pow(greatest(0, greatest(a.x, b.x) - least(a.x1, b.x1)), 2) + pow(greatest(0, greatest(a.y, b.y) - least(a.y1, b.y1)), 2)), 5) AS distance FROM ann a JOIN ann b ON a.image_id = b.image_id AND b.id > a.id"))

@@ -107,7 +107,7 @@ def color_correction(spark, sf):
 
 def _merge_sides(spark, sf) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     a, c, i = V.annotations(spark, sf), V.categories(spark, sf), V.images(spark, sf)
-    base = {"images": i.where("id % 2 = 0").select("id", "file_name"), "annotations": a.where("image_id % 2 = 0").select("id", "image_id", "category_id"), "categories": c.where("id <= 3")}
+    base = {"images": i.where("id % 2 = 0").select("id", "file_name"), "annotations": a.where("image_id % 2 = 0").select("id", "image_id", "category_id"), "categories": c.where("id % 2 = 0")}
     extra = {
         "images": i.selectExpr("id DIV 2 * 2 AS id", "file_name", "id AS pos").where("pos % 2 = 1"),
         "annotations": a.where("image_id % 2 = 1").selectExpr("IF(id % 3 = 0, id + 1, id) AS id", "image_id DIV 2 * 2 AS image_id", "6 - category_id AS category_id", "id AS pos"),
@@ -125,9 +125,9 @@ def add_annotations(spark, sf):
     return ids.add_rows(base["annotations"], extra["annotations"], "pos")[0].select("pos", "id")
 
 
-@query("idm04_merge_categories", "SELECT name, id FROM (WITH c AS (SELECT DISTINCT event_type AS name FROM events) SELECT name, CAST(row_number() OVER (ORDER BY name) AS BIGINT) AS id FROM c)")
+@query("idm04_merge_categories", sql("SELECT name, CASE WHEN id % 2 = 0 THEN id ELSE 4 + row_number() OVER (PARTITION BY id % 2 ORDER BY id) END::BIGINT AS id FROM categories"))
 def merge_categories(spark, sf):
-    # base has the names 1 to 3; 4 and 5 are new and come after the largest id, in their order
+    # the base has the second and fourth name; the others are new and come after the largest id, in their order
     base, extra = _merge_sides(spark, sf)
     return ids.merge(base, extra)["categories"].select("name", F.col("id").cast("long").alias("id"))
 
@@ -193,13 +193,14 @@ def good_matches(spark, sf):
     return transforms.good_matches(mutual_matches(spark, sf))
 
 
-@query("mlo19_homographies", sql("SELECT image_id AS pair_id, true AS found, true AS close FROM ann GROUP BY 1 HAVING count(*) >= 8"))
+@query("mlo19_homographies", sql("SELECT image_id AS pair_id, round(1 + image_id % 5 / 10.0, 3)::DOUBLE AS scale_x, round(0.8 + image_id % 3 / 20.0, 3)::DOUBLE AS scale_y, (image_id % 7)::DOUBLE AS shift_x FROM ann GROUP BY image_id HAVING count(*) >= 8"))
 def homographies(spark, sf):
+    # points of each image and what a map of the image's own makes of them
     a = V.annotations(spark, sf)
     many = a.groupBy("image_id").agg(F.count("*").alias("n")).where("n >= 8").select("image_id")
-    m = a.join(many, "image_id").selectExpr("image_id AS pair_id", "x AS ax", "y AS ay", "1.1 * x + 0.05 * y + 3 AS bx", "-0.02 * x + 0.95 * y + 5 AS by")
+    m = a.join(many, "image_id").selectExpr("image_id AS pair_id", "x AS ax", "y AS ay", "(1 + image_id % 5 / 10D) * x + 0.05 * y + image_id % 7 AS bx", "-0.02 * x + (0.8D + image_id % 3 / 20D) * y + 5 AS by")
     h = transforms.homographies(m)
-    return h.select("pair_id", F.col("matrix").isNotNull().alias("found"), F.expr("abs(matrix[0] - 1.1) < 0.01 AND abs(matrix[4] - 0.95) < 0.01 AND abs(matrix[2] - 3) < 0.1").alias("close"))
+    return h.select("pair_id", *[F.round(F.col("matrix")[i], p).alias(n) for i, p, n in ((0, 3, "scale_x"), (4, 3, "scale_y"), (2, 2, "shift_x"))])
 
 
 @query("joi13_transform_dataset", sql("SELECT id, image_id, CAST(floor(least(x * 0.5, 319)) AS BIGINT) AS left_edge FROM ann WHERE image_id % 2 = 0 AND least(x1 * 0.5, 319) - least(x * 0.5, 319) > 1 AND least(y1 * 0.5, 239) - least(y * 0.5, 239) > 1"))
@@ -248,11 +249,19 @@ def kmeans(spark, sf):
     return clustering.cluster(x.drop("label"), ["f0", "f1", "f2", "f3"], "kmeans", 5).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("mlo04_dbscan", sql("SELECT id, CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END::BIGINT AS label FROM (SELECT vec_id AS id FROM embeddings)"))
+_EPS = 0.04
+
+
+@query("mlo04_dbscan", sql("""SELECT v.id, coalesce(own.c, near.c, -1)::BIGINT AS label FROM v LEFT JOIN comp own ON own.u = v.id
+ LEFT JOIN (SELECT e.a, min(comp.c) AS c FROM e JOIN comp ON comp.u = e.b GROUP BY 1) near ON near.a = v.id""",
+ "v AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS f0, embedding[2]::DOUBLE AS f1 FROM embeddings)",
+ f"e AS (SELECT p.id AS a, q.id AS b FROM v p JOIN v q ON pow(q.f0 - p.f0, 2) + pow(q.f1 - p.f1, 2) <= {_EPS} * {_EPS})",
+ "core AS (SELECT a AS id FROM e GROUP BY 1 HAVING count(*) >= 4)",
+ "link AS (SELECT a, b FROM e WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core))",
+ "walk AS (SELECT id AS u, id AS c FROM core UNION SELECT link.b, walk.c FROM walk JOIN link ON link.a = walk.u AND walk.c < link.b)",
+ "comp AS (SELECT u, min(c) AS c FROM walk GROUP BY 1)"))
 def dbscan(spark, sf):
-    # two lines of points, a step of 0.25 apart, far from each other
-    x = V.table(spark, sf, "embeddings").selectExpr("vec_id AS id", "vec_id DIV 2 * 0.25D AS f0", "vec_id % 2 * 1000D AS f1")
-    return clustering.dbscan(x, F2, 0.6, 3).select("id", F.col("label").cast("long").alias("label"))
+    return clustering.dbscan(_vectors(spark, sf).drop("label"), F2, _EPS, 4).select("id", F.col("label").cast("long").alias("label"))
 
 
 @query("mlo06_mutual_information", sql("""SELECT feature, round(sum(n / f * ln(n * f / (b * l))), 6) AS mi FROM (SELECT *, sum(n) OVER (PARTITION BY feature)::DOUBLE AS f, sum(n) OVER (PARTITION BY feature, bin)::DOUBLE AS b, sum(n) OVER (PARTITION BY feature, label)::DOUBLE AS l FROM (
@@ -267,15 +276,26 @@ def importance(spark, sf):
     return rounded(clustering.importance(_vectors(spark, sf, 4), ["f0", "f1", "f2", "f3"]))
 
 
-@query("mlo07_forest_size", "SELECT k, CAST(least(200, greatest(50, 15 * k)) AS INT) AS trees, CAST(least(15, greatest(3, floor(log2(k)) + 3)) AS INT) AS depth FROM (SELECT unnest([1, 2, 5, 10, 40]) AS k)")
+@query("mlo07_forest_size", sql("SELECT k, CAST(least(200, greatest(50, 15 * k)) AS INT) AS trees, CAST(least(15, greatest(3, floor(log2(k)) + 3)) AS INT) AS depth FROM (SELECT unnest([(SELECT count(DISTINCT category_id) FROM ann), (SELECT count(DISTINCT image_id) FROM ann), (SELECT count(DISTINCT iscrowd) FROM ann), (SELECT count(DISTINCT label) FROM embeddings)]) AS k)"))
 def forest_size(spark, sf):
-    return spark.createDataFrame([(k, *clustering.forest_size(k)) for k in (1, 2, 5, 10, 40)], "k int, trees int, depth int")
+    a = V.annotations(spark, sf).agg(*[F.count_distinct(c).alias(c) for c in ("category_id", "image_id", "iscrowd")]).first()
+    labels = V.table(spark, sf, "embeddings").select("label").distinct().count()
+    return spark.createDataFrame([(k, *clustering.forest_size(k)) for k in (*a, labels)], "k long, trees int, depth int")
+
 
+_SCORED = ("elongation", "horizontal_position", "box_area", "rectangularity", "vertical_position")
 
-@query("mlo14_augmentations", "SELECT unnest(['scale and crop', 'vary the aspect ratio']) AS advice")
+
+@query("mlo14_augmentations", sql("""SELECT unnest(CASE WHEN len(a) > 0 THEN a ELSE ['Standard color and geometric augmentations recommended.'] END) AS advice FROM (SELECT list_concat(
+ CASE WHEN bool_or(v > 0.2 AND feature IN ('horizontal_position', 'vertical_position')) THEN ['Apply random translations, crops, and spatial flips.'] ELSE [] END,
+ list_concat(CASE WHEN bool_or(v > 0.2 AND feature = 'box_area') THEN ['Apply random scaling and aspect ratio jitter.'] ELSE [] END, CASE WHEN bool_or(v > 0.2 AND feature = 'elongation') THEN ['Consider random rotations and stretching.'] ELSE [] END)) AS a
+ FROM (SELECT ['elongation', 'horizontal_position', 'box_area', 'rectangularity', 'vertical_position'][category_id] AS feature, count(*) / (SELECT count(*) FROM ann) AS v FROM ann GROUP BY 1))"""))
 def augmentations(spark, sf):
-    s = spark.createDataFrame([("aspect_ratio", 0.4), ("relative_area", 0.3), ("center_x", 0.1)], "feature string, importance double")
-    return clustering.augmentations(s)
+    # each category's share of the annotations stands for the importance of a feature
+    a = V.annotations(spark, sf)
+    n = a.count()
+    feature = F.element_at(F.array(*[F.lit(x) for x in _SCORED]), F.col("category_id").cast("int"))
+    return clustering.augmentations(a.groupBy(feature.alias("feature")).agg((F.count("*") / n).alias("importance")))
 
 
 @query("mlo15_hard_clusters", sql("SELECT label, CAST(sum(n) AS BIGINT) AS n, round(max(n) / sum(n), 6) AS largest_share FROM (SELECT image_id % 8 AS label, category_name, count(*) AS n FROM ann GROUP BY ALL) GROUP BY label HAVING sum(n) >= 10 AND max(n) / sum(n) < 0.7"))
@@ -286,7 +306,7 @@ def hard_clusters(spark, sf):
 @query("mlo10_components")
 def components(spark, sf):
     fs = ["f0", "f1", "f2", "f3"]
-    return clustering.components_of(_vectors(spark, sf, 4), fs, 2).select("id", F.size("encoded").alias("n"))
+    return rounded(clustering.components_of(_vectors(spark, sf, 4), fs, 2).select("id", F.abs(F.col("encoded")[0]).alias("first"), F.abs(F.col("encoded")[1]).alias("second")), 4)
 
 
 _RAW = "concat('{\"id\": ', id, ', \"image_id\": ', image_id, ', \"bbox\": [', CAST(x AS INT), ', ', CAST(y AS INT), ', ', CAST(w AS INT), ', ', CAST(h AS INT), '], \"segmentation\": [[', CAST(x AS INT), ', 1.5], [2, 3]], \"area\": ', CAST(area AS INT), ', \"iscrowd\": ', iscrowd, '}')"
