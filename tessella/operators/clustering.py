@@ -32,19 +32,72 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def cluster(df: DataFrame, features: list[str], algorithm: str, k: int, seed: int = 42) -> DataFrame:
-    """The rows plus label. hierarchical is bisecting k-means, top-down, since bottom-up merging needs all pairs."""
+    """The rows plus label. hierarchical merges bottom-up by Ward's criterion, see `ward`; bisecting goes top-down."""
+    if algorithm == "hierarchical":
+        return ward(df, features, k, seed)
     x = assembled(df, features)
     if algorithm == "kmeans":
         model = KMeans(k=k, seed=seed, maxIter=50)
     elif algorithm == "gaussian_mixture":
         model = GaussianMixture(k=k, seed=seed)
-    elif algorithm == "hierarchical":
+    elif algorithm == "bisecting":
         model = BisectingKMeans(k=k, seed=seed)
     else:
         raise ValueError(f"unknown algorithm {algorithm!r}")
     return model.fit(x).transform(x).withColumnRenamed("prediction", "label").drop("features", "probability")
 
 
+#: Points that Ward's merging holds on the driver.
+WARD_POINTS = 1_500
+
+
+def ward_labels(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """Labels 0..k-1, by size and then by first point, of weighted points merged pair by pair with the least growth of squared distances from the means."""
+    n = len(points)
+    mean, weight, label = points.astype(float).copy(), weights.astype(float).copy(), np.arange(n)
+    live = np.ones(n, bool)
+
+    def costs(i: int) -> np.ndarray:
+        c = weight[i] * weight / (weight[i] + weight) * ((mean - mean[i]) ** 2).sum(1)
+        c[~live] = np.inf
+        c[i] = np.inf
+        return c
+
+    cost = np.stack([costs(i) for i in range(n)]) if n else np.empty((0, 0))
+    for _ in range(max(0, n - max(k, 1))):
+        i, j = divmod(int(cost.argmin()), n)
+        i, j = min(i, j), max(i, j)
+        total = weight[i] + weight[j]
+        mean[i], weight[i] = (mean[i] * weight[i] + mean[j] * weight[j]) / total, total
+        live[j], label[label == j] = False, i
+        cost[j, :] = cost[:, j] = np.inf
+        cost[i, :] = cost[:, i] = costs(i)
+    found = sorted(set(label.tolist()), key=lambda c: (-weight[c], c))
+    return np.array([found.index(c) for c in label], int)
+
+
+def ward(df: DataFrame, features: list[str], k: int, seed: int = 42) -> DataFrame:
+    """The rows plus label by bottom-up merging: of the rows themselves while there are at most WARD_POINTS distinct ones, else of the weighted centres of as many k-means groups.
+
+    The second is an approximation: merging starts from those groups instead of from single rows.
+    """
+    spots = df.groupBy(*features).agg(F.count("*").alias("_w"))
+    if spots.count() <= WARD_POINTS:
+        points = spots.orderBy(*features).toPandas()
+        label = ward_labels(points[features].to_numpy(float), points["_w"].to_numpy(float), k)
+        found = df.sparkSession.createDataFrame([(*map(float, p), int(c)) for p, c in zip(points[features].to_numpy(float), label, strict=True)], ", ".join(f"_{i} double" for i in range(len(features))) + ", label int")
+        return df.join(F.broadcast(found), [F.col(f).cast("double").eqNullSafe(F.col(f"_{i}")) for i, f in enumerate(features)]).drop(*(f"_{i}" for i in range(len(features))))
+    x = assembled(df, features)
+    model = KMeans(k=WARD_POINTS, seed=seed, maxIter=20, predictionCol="_group").fit(x)
+    grouped = model.transform(x)
+    sizes = {r._group: r["count"] for r in grouped.groupBy("_group").count().collect()}
+    centres = np.array(model.clusterCenters())
+    used = sorted(sizes)
+    label = ward_labels(centres[used], np.array([sizes[g] for g in used], float), k)
+    found = df.sparkSession.createDataFrame([(int(g), int(c)) for g, c in zip(used, label, strict=True)], "_group int, label int")
+    return grouped.join(F.broadcast(found), "_group").drop("features", "_group")
+
+
 def dbscan(df: DataFrame, features: list[str], eps: float, least: int = 5) -> DataFrame:
     """(id, label): label -1 is noise, else the smallest id of the cluster's core points. Pairs meet in grid cells of eps on the first two features."""
     cells = df.select("id", *features).withColumns({"_c0": F.floor(F.col(features[0]) / eps), "_c1": F.floor(F.col(features[min(1, len(features) - 1)]) / eps)})

@@ -19,23 +19,41 @@ def edges(rings: DataFrame, ring: str = "ring", key: str = "id") -> DataFrame:
     return r.withColumn("i", F.explode(F.expr("sequence(0, n - 1)"))).selectExpr(key, "i", "n", "p[2 * i] AS ax", "p[2 * i + 1] AS ay", "p[2 * ((i + 1) % n)] AS bx", "p[2 * ((i + 1) % n) + 1] AS by")
 
 
+#: Rings of up to so many corners are checked within their row.
+SHORT_RING = 64
+
+
+def _crossing(s: str, t: str, eps: float) -> tuple[str, str]:
+    """SQL text: whether segments s and t, with ends ax.. and bx.., properly cross, and the struct of where."""
+    side = lambda a, b, p: f"(({b}x - {a}x) * ({p}y - {a}y) - ({b}y - {a}y) * ({p}x - {a}x))"
+    d1, d2 = side(f"{t}.a", f"{t}.b", f"{s}.a"), side(f"{t}.a", f"{t}.b", f"{s}.b")
+    d3, d4 = side(f"{s}.a", f"{s}.b", f"{t}.a"), side(f"{s}.a", f"{s}.b", f"{t}.b")
+    opposite = lambda a, b: f"(({a} > {eps} AND {b} < -{eps}) OR ({a} < -{eps} AND {b} > {eps}))"
+    at = f"{d1} / ({d1} - {d2})"
+    return f"{opposite(d1, d2)} AND {opposite(d3, d4)}", f"struct({s}.ax + ({s}.bx - {s}.ax) * ({at}) AS x, {s}.ay + ({s}.by - {s}.ay) * ({at}) AS y)"
+
+
 def self_intersections(rings: DataFrame, ring: str = "ring", key: str = "id", eps: float = EPS) -> DataFrame:
     """(key, intersects, px, py): whether edges that aren't neighbours properly cross, and the crossing of least (x, y).
 
-    Touching and collinear edges don't count, nor do rings of under four corners.
+    Touching and collinear edges don't count, nor do rings of under four corners. Short rings are
+    looked at within their row; the edges of longer ones meet in a join on the ring.
     """
-    e = edges(rings, ring, key).where("n >= 4")
+    odd = F.expr(f"IF(size({ring}) % 2 = 1, raise_error('a ring needs pairs of coordinates'), CAST(size({ring}) / 2 AS INT))")
+    r = rings.select(F.col(key).alias("k"), F.col(ring).alias("p"), odd.alias("n"))
+    hit, where = _crossing("s", "t", eps)
+    segment = "struct(p[2 * i] AS ax, p[2 * i + 1] AS ay, p[2 * ((i + 1) % n)] AS bx, p[2 * ((i + 1) % n) + 1] AS by)"
+    # the pairs of edges i < j that are not neighbours; the last edge is the first one's neighbour
+    later = "slice(e, i + 3, greatest(0, n - i - 2 - IF(i = 0, 1, 0)))"
+    inside = f"flatten(transform(e, (s, i) -> transform(filter({later}, t -> {hit}), t -> {where})))"
+    short = r.where(f"n IS NULL OR n <= {SHORT_RING}").withColumn("e", F.expr(f"IF(n < 4, NULL, transform(sequence(0, n - 1), i -> {segment}))"))
+    short = short.select("k", F.expr(f"array_min({inside})").alias("found"))
+    e = edges(rings, ring, key).where(f"n > {SHORT_RING}")
     s, t = e.alias("s"), e.alias("t")
-    pairs = s.join(t, (F.col(f"s.{key}") == F.col(f"t.{key}")) & F.expr("s.i < t.i AND t.i - s.i NOT IN (1, s.n - 1)"))
-    side = lambda a, b, p: f"(({b}x - {a}x) * ({p}y - {a}y) - ({b}y - {a}y) * ({p}x - {a}x))"
-    d1, d2 = side("t.a", "t.b", "s.a"), side("t.a", "t.b", "s.b")
-    d3, d4 = side("s.a", "s.b", "t.a"), side("s.a", "s.b", "t.b")
-    opposite = lambda a, b: f"(({a} > {eps} AND {b} < -{eps}) OR ({a} < -{eps} AND {b} > {eps}))"
-    hit = pairs.where(f"{opposite(d1, d2)} AND {opposite(d3, d4)}")
-    at = f"{d1} / ({d1} - {d2})"
-    hit = hit.select(F.col(f"s.{key}").alias("_k"), F.expr(f"struct(s.ax + (s.bx - s.ax) * ({at}) AS x, s.ay + (s.by - s.ay) * ({at}) AS y)").alias("p"))
-    found = hit.groupBy("_k").agg(F.min("p").alias("p"))
-    return rings.select(key).join(found, F.col(key) == F.col("_k"), "left").select(key, F.col("p").isNotNull().alias("intersects"), F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+    pairs = s.join(t, (F.col(f"s.{key}") == F.col(f"t.{key}")) & F.expr("s.i < t.i AND t.i - s.i NOT IN (1, s.n - 1)")).where(hit)
+    found = pairs.select(F.col(f"s.{key}").alias("of"), F.expr(where).alias("at")).groupBy("of").agg(F.min("at").alias("found"))
+    long = r.where(f"n > {SHORT_RING}").select("k").join(found, F.col("k") == F.col("of"), "left").select("k", "found")
+    return short.union(long).select(F.col("k").alias(key), F.col("found").isNotNull().alias("intersects"), F.col("found.x").alias("px"), F.col("found.y").alias("py"))
 
 
 def hull(points: np.ndarray) -> np.ndarray:

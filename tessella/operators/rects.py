@@ -7,6 +7,10 @@ one plane go through grid cells; a pair is kept only in the cell that holds the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +46,20 @@ def self_overlaps(rects: DataFrame, by: str | None = "image_id", cell: float = 1
     return overlap_pairs(rects, rects, by, cell).where("a_id < b_id")
 
 
-def nested(rects: DataFrame, by: str = "image_id", ordered: bool = True) -> DataFrame:
-    """(outer_id, inner_id). ordered: the outer one starts first and ends last in sweep order; else closed containment, equal boxes by id."""
-    o, r = rects.alias("o"), rects.alias("r")
+def nested(rects: DataFrame, by: str = "image_id", ordered: bool = True, cell: float = 128.0) -> DataFrame:
+    """(outer_id, inner_id). ordered: the outer one starts first and ends last in sweep order; else closed containment, equal boxes by id.
+
+    An outer rectangle is looked for in the one grid cell that holds the inner one's first corner.
+    """
     if ordered:
         rule = "(o.x0, o.y0, o.id) < (r.x0, r.y0, r.id) AND o.y0 <= r.y0 AND r.y1 <= o.y1 AND (r.x1, r.y0, r.id) < (o.x1, o.y0, o.id)"
     else:
         same = "o.x0 = r.x0 AND o.y0 = r.y0 AND o.x1 = r.x1 AND o.y1 = r.y1"
         rule = f"{contained('r', 'o')} AND o.id <> r.id AND (NOT ({same}) OR o.id < r.id)"
-    return o.join(r, F.col(f"o.{by}") == F.col(f"r.{by}")).where(rule).select(F.col(f"o.{by}").alias(by), F.col("o.id").alias("outer_id"), F.col("r.id").alias("inner_id"))
+    o = _cells(rects.where("x0 <= x1 AND y0 <= y1").select(F.struct(*rects.columns).alias("o")), cell, "o")
+    r = rects.select(F.struct(*rects.columns).alias("r")).withColumns({"cx": F.floor(F.col("r.x0") / cell), "cy": F.floor(F.col("r.y0") / cell)})
+    pairs = o.join(r, (o.cx == r.cx) & (o.cy == r.cy) & (F.col(f"o.{by}") == F.col(f"r.{by}"))).where(rule)
+    return pairs.select(F.col(f"o.{by}").alias(by), F.col("o.id").alias("outer_id"), F.col("r.id").alias("inner_id"))
 
 
 #: SQL text for the boundaries of tile a that box b crosses, in this order.
@@ -99,20 +108,66 @@ def smaller_members(rects: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.join(keep, "component").where(F.col("id") != F.col("top.id")).select("id")
 
 
-def overlap_groups(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): the smallest id reachable over edges (a_id, b_id); labels and their own labels are followed until nothing changes."""
-    both = edges.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).union(edges.select("b_id", "a_id")).distinct()
+def _least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges held in memory, and for each the least node reachable."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def contracted(edges: DataFrame, by: str | None = None, most: int = 1_000_000) -> DataFrame:
+    """Stars (a_id, b_id) to the least node that connect what the edges connect within so many of them in a task; with `by`, the edges of one group meet there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def stars() -> pa.RecordBatch:
+            nodes, least = _least_reachable(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            other = nodes != least
+            return pa.record_batch([pa.array(nodes[other]), pa.array(least[other])], names=["a_id", "b_id"])
+
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy() for c in ("a_id", "b_id")))
+            size += batch.num_rows
+            if size >= most:
+                out = stars()
+                yield out
+                # what was joined goes on with the next edges
+                held, size = [(out.column(0).to_numpy(), out.column(1).to_numpy())], 0
+        if held:
+            yield stars()
+
+    dealt = edges.where("a_id IS NOT NULL AND b_id IS NOT NULL")
+    dealt = dealt.repartition(by) if by else dealt
+    return dealt.select(F.col("a_id").cast("long"), F.col("b_id").cast("long")).mapInArrow(run, "a_id long, b_id long")
+
+
+def overlap_groups(edges: DataFrame, by: str | None = None, rounds: int = 50) -> DataFrame:
+    """(id, component): the smallest id reachable over edges (a_id, b_id); labels and their own labels are followed until nothing changes.
+
+    Tasks first contract the edges that they hold to stars. With `by`, a column of the edges whose
+    groups they never leave, a group small enough for a task is then done, and one round shows it.
+    """
     shared_folder(edges.sparkSession, "overlap-groups")
-    both = both.checkpoint()
+    stars = contracted(edges, by).distinct().checkpoint()
+    both = stars.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).union(stars.select("b_id", "a_id"))
     label = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")).checkpoint()
     for _ in range(rounds):
         near = both.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        step = label.join(near, "u").select("u", F.least("c", "m").alias("c"))
-        jump = step.join(step.select(F.col("u").alias("c"), F.col("c").alias("cc")), "c", "left").select("u", F.coalesce(F.least("c", "cc"), "c").alias("c")).checkpoint()
-        changed = jump.join(label.withColumnRenamed("c", "old"), "u").where("c < old").isEmpty()
-        label = jump
-        if changed:
+        step = label.join(near, "u").select("u", F.least("c", "m").alias("c"), F.col("c").alias("old"))
+        if step.where("c < old").isEmpty():
             break
+        jump = step.join(step.select(F.col("u").alias("c"), F.col("c").alias("cc")), "c", "left").select("u", F.coalesce(F.least("c", "cc"), "c").alias("c"))
+        label = jump.checkpoint()
     else:
         raise RuntimeError("overlap groups did not settle")
     return label.selectExpr("u AS id", "c AS component")

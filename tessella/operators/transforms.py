@@ -11,12 +11,21 @@ from ..functions.geometry import polygon_area, transform_box, transform_ring
 
 
 def match_files(originals: DataFrame, corrected: DataFrame) -> DataFrame:
-    """(original, corrected): for each original name the first corrected one that is equal to it or holds its stem (up to the first dot)."""
+    """(original, corrected): for each original name the first corrected one that is equal to it or holds its stem (up to the first dot).
+
+    The parts of corrected names that are as long as some stem meet stems by equality. Names are
+    short, so that there are few such lengths.
+    """
     o = originals.select(F.col("name").alias("original"), F.substring_index("name", ".", 1).alias("stem"))
-    same = o.join(corrected.select(F.col("name").alias("corrected")), F.col("original") == F.col("corrected"))
-    w = Window.partitionBy("original").orderBy("corrected")
-    part = o.join(corrected.select(F.col("name").alias("corrected")), F.expr("contains(corrected, stem)"))
-    return same.union(part).dropDuplicates(["original", "corrected"]).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("original", "corrected")
+    c = corrected.select(F.col("name").alias("corrected"))
+    same = o.join(c, F.col("original") == F.col("corrected")).select("original", "corrected")
+    lengths = o.select(F.length("stem").alias("n")).where("n > 0").distinct()
+    parts = c.join(F.broadcast(lengths), F.length("corrected") >= F.col("n")).select("corrected", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(corrected) - n + 1), i -> substr(corrected, i, n))"))).alias("stem"))
+    held = o.join(parts, "stem").select("original", "corrected")
+    # every name holds an empty stem
+    first = c.agg(F.min("corrected").alias("corrected"))
+    empty = o.where("stem = ''").select("original").crossJoin(F.broadcast(first)).where("corrected IS NOT NULL")
+    return same.union(held).union(empty).groupBy("original").agg(F.min("corrected").alias("corrected"))
 
 
 def basenames(files: DataFrame, path: str = "path") -> DataFrame:

@@ -470,7 +470,7 @@ def anchor_boxes(spark, sf):
  "walk AS (SELECT DISTINCT u, u AS r FROM e UNION SELECT w.u, e.v FROM walk w JOIN e ON w.r = e.u)", "comp AS (SELECT u, min(r) AS c FROM walk GROUP BY u)"))
 def invalid_ids(spark, sf):
     r = V.rects(spark, sf)
-    groups = rects.overlap_groups(rects.self_overlaps(r))
+    groups = rects.overlap_groups(rects.self_overlaps(r), by="image_id")
     return rects.smaller_members(r, groups).union(rects.nested(r).select("inner_id")).distinct().toDF("id")
 
 
@@ -478,7 +478,7 @@ def invalid_ids(spark, sf):
  "e AS (SELECT a.id AS u, b.id AS v FROM ann a JOIN ann b ON a.image_id = b.image_id AND a.id <> b.id AND a.x < b.x1 AND b.x < a.x1 AND a.y < b.y1 AND b.y < a.y1)",
  "walk AS (SELECT DISTINCT u, u AS r FROM e UNION SELECT w.u, e.v FROM walk w JOIN e ON w.r = e.u)", "comp AS (SELECT u, min(r) AS c FROM walk GROUP BY u)"))
 def overlap_groups(spark, sf):
-    return rects.overlap_groups(rects.self_overlaps(V.rects(spark, sf)))
+    return rects.overlap_groups(rects.self_overlaps(V.rects(spark, sf)), by="image_id")
 
 
 @query("set04_union_keypoints", sql("SELECT 'norm' AS source, id, x / width AS px, y / height AS py FROM ann a JOIN (SELECT id AS iid, width, height FROM images) i ON a.image_id = iid UNION ALL SELECT 'orig', id, x, y FROM ann"))

@@ -340,3 +340,48 @@ def test_bloom_state_goes_out_and_in(spark, tmp_path, double):
     assert about == {"capacity": 500, "rate": 0.01, "double": double, "items": 300}
     assert ids.bloom_might_contain(have, "id", bits, 500, 0.01, double).where("NOT might_exist").isEmpty()
     assert ids.bloom_might_contain(spark.range(1000, 2000), "id", bits, 500, 0.01, double).where("might_exist").count() < 40
+
+
+@pytest.mark.parametrize("short", [64, 0])
+def test_self_intersections_by_either_way(spark, monkeypatch, short):
+    monkeypatch.setattr(polygons, "SHORT_RING", short)
+    rng = np.random.default_rng(6)
+    rings = [(i, rng.integers(0, 9, 2 * n).astype(float).tolist()) for i, n in enumerate(rng.integers(0, 9, 60))] + [(70, None)]
+    got = {r.id: (r.intersects, r.px, r.py) for r in polygons.self_intersections(spark.createDataFrame(rings, "id long, ring array<double>")).collect()}
+    side = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    for i, ring in rings:
+        p = np.array(ring or []).reshape(-1, 2)
+        n, hits = len(p), []
+        for s in range(n):
+            for t in range(s + 2, n):
+                if n < 4 or (s == 0 and t == n - 1):
+                    continue
+                a, b, c, d = p[s], p[(s + 1) % n], p[t], p[(t + 1) % n]
+                d1, d2 = side(c, d, a), side(c, d, b)
+                if d1 * d2 < 0 and side(a, b, c) * side(a, b, d) < 0:
+                    hits.append(tuple(a + (b - a) * (d1 / (d1 - d2))))
+        assert got[i][0] == bool(hits)
+        if hits:
+            assert got[i][1:] == pytest.approx(min(hits))
+
+
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_groups_of_contracted_edges(spark, monkeypatch, most):
+    rng = np.random.default_rng(7)
+    pairs = [(int(a), int(b), int(a) // 50) for a, b in rng.integers(0, 50, (120, 2)) + 50 * rng.integers(0, 4, (120, 1))]
+    up = {x: x for a, b, _ in pairs for x in (a, b)}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b, _ in pairs:
+        x, y = sorted((find(a), find(b)))
+        up[y] = x
+    edges = spark.createDataFrame(pairs, "a_id long, b_id long, g int")
+    monkeypatch.setattr(rects, "contracted", lambda e, by=None, f=rects.contracted: f(e, by, most))
+    for by in ("g", None):
+        got = {r.id: r.component for r in rects.overlap_groups(edges, by).collect()}
+        assert got == {x: find(x) for a, b, _ in pairs for x in (a, b) if a != b or find(x) != x or x in got}
+    assert rects.overlap_groups(edges.limit(0)).collect() == []
