@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table, written
+from tessella.llm.common import discarded, table, written
 from tessella.llm.linededup import dedup_lines
 from tessella.llm.phraseindex import clean_documents
 from tessella.llm.piecefst import encode_texts
@@ -50,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discarded(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
