@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import annotation_queries, dataset_queries
+from . import annotation_queries, dataset_queries, whole_queries
 
-QUERIES: dict = {**annotation_queries.QUERIES, **dataset_queries.QUERIES}
-ORACLES: dict = {**annotation_queries.ORACLES, **dataset_queries.ORACLES}
+QUERIES: dict = {**annotation_queries.QUERIES, **dataset_queries.QUERIES, **whole_queries.QUERIES}
+ORACLES: dict = {**annotation_queries.ORACLES, **dataset_queries.ORACLES, **whole_queries.ORACLES}
