@@ -124,15 +124,18 @@ def _least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
         label = new
 
 
-def contracted(edges: DataFrame, by: str | None = None, most: int = 1_000_000) -> DataFrame:
-    """Stars (a_id, b_id) to the least node that connect what the edges connect within so many of them in a task; with `by`, the edges of one group meet there."""
+def contracted(edges: DataFrame, by: str | None = None, most: int = 1_000_000, roots: bool = False) -> DataFrame:
+    """Stars (a_id, b_id) to the least node that connect what the edges connect within so many of them in a task.
+
+    With `by`, the edges of one group meet there; with `roots`, least nodes are there too, as stars to themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def stars() -> pa.RecordBatch:
             nodes, least = _least_reachable(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            other = nodes != least
+            other = (nodes != least) | roots
             return pa.record_batch([pa.array(nodes[other]), pa.array(least[other])], names=["a_id", "b_id"])
 
         for batch in batches:
@@ -158,7 +161,7 @@ def overlap_groups(edges: DataFrame, by: str | None = None, rounds: int = 50) ->
     groups they never leave, a group small enough for a task is then done, and one round shows it.
     """
     shared_folder(edges.sparkSession, "overlap-groups")
-    stars = contracted(edges, by).distinct().checkpoint()
+    stars = contracted(edges, by, roots=True).distinct().checkpoint()
     both = stars.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).union(stars.select("b_id", "a_id"))
     label = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")).checkpoint()
     for _ in range(rounds):

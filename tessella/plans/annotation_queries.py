@@ -400,9 +400,12 @@ def smoothed(spark, sf):
     return rounded(stats.smoothed(heatmap(spark, sf), 40, 20, 1.0))
 
 
-@query("agg30_centers", "SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS f0, round(avg(embedding[2]::DOUBLE), 6) AS f1 FROM embeddings GROUP BY 1")
+FEATURES = [f"f{i}" for i in range(64)]
+
+
+@query("agg30_centers", "SELECT label, count(*) AS n, " + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 6) AS {f}" for i, f in enumerate(FEATURES)) + " FROM embeddings GROUP BY 1")
 def label_centers(spark, sf):
-    return rounded(clustering.centers(_vectors(spark, sf, 2), ["f0", "f1"]))
+    return rounded(clustering.centers(_vectors(spark, sf, 64), FEATURES))
 
 
 def _vectors(spark, sf, n):
@@ -436,9 +439,9 @@ def by_resolution(spark, sf):
     return out.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
-@query("agg37_mean_variances", "SELECT feature, round(var_pop(v), 9) AS variance FROM (SELECT label, 'f0' AS feature, avg(embedding[1]::DOUBLE) AS v FROM embeddings GROUP BY label UNION ALL SELECT label, 'f1', avg(embedding[2]::DOUBLE) FROM embeddings GROUP BY label) GROUP BY 1")
+@query("agg37_mean_variances", "SELECT 'f' || i AS feature, round(var_pop(v), 9) AS variance FROM (SELECT label, i, avg(f) AS v FROM (SELECT label, unnest(embedding::DOUBLE[]) AS f, unnest(generate_series(0, len(embedding) - 1)) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1")
 def mean_variances(spark, sf):
-    return rounded(clustering.mean_variances(_vectors(spark, sf, 2), ["f0", "f1"]), 9)
+    return rounded(clustering.mean_variances(_vectors(spark, sf, 64), FEATURES), 9)
 
 
 @query("ord01_top_n", sql("SELECT id, area FROM ann ORDER BY area DESC, id LIMIT 10"))

@@ -213,42 +213,47 @@ def transform_dataset(spark, sf):
     return out.selectExpr("id", "image_id", "floor(x) AS left_edge")
 
 
-F2 = ["f0", "f1"]
+#: The features of an embedding, all of them.
+FEATURES = [f"f{i}" for i in range(64)]
 
 
-def _vectors(spark, sf, n: int = 2) -> DataFrame:
-    return V.table(spark, sf, "embeddings").selectExpr("vec_id AS id", "CAST(label AS INT) AS label", *[f"CAST(embedding[{i}] AS DOUBLE) AS f{i}" for i in range(n)])
+def _vectors(spark, sf) -> DataFrame:
+    return V.table(spark, sf, "embeddings").selectExpr("vec_id AS id", "CAST(label AS INT) AS label", *[f"CAST(embedding[{i}] AS DOUBLE) AS {f}" for i, f in enumerate(FEATURES)])
 
 
-@query("mlo01_scaled", "SELECT vec_id AS id, label, round((embedding[1]::DOUBLE - avg(embedding[1]::DOUBLE) OVER ()) / stddev_pop(embedding[1]::DOUBLE) OVER (), 6) AS f0, round((embedding[2]::DOUBLE - avg(embedding[2]::DOUBLE) OVER ()) / stddev_pop(embedding[2]::DOUBLE) OVER (), 6) AS f1 FROM embeddings")
+@query("mlo01_scaled", "SELECT vec_id AS id, label, " + ", ".join(f"round((embedding[{i + 1}]::DOUBLE - avg(embedding[{i + 1}]::DOUBLE) OVER ()) / stddev_pop(embedding[{i + 1}]::DOUBLE) OVER (), 6) AS {f}" for i, f in enumerate(FEATURES)) + " FROM embeddings")
 def scaled(spark, sf):
-    return rounded(clustering.scaled(_vectors(spark, sf), F2))
+    return rounded(clustering.scaled(_vectors(spark, sf), FEATURES))
 
 
-_V = "v AS (SELECT vec_id AS id, label, embedding[1]::DOUBLE AS f0, embedding[2]::DOUBLE AS f1 FROM embeddings)"
-_C = "c AS (SELECT label, count(*) AS n, avg(f0) AS c0, avg(f1) AS c1 FROM v GROUP BY label)"
+#: Vectors, one row for each of their components, and the means of labels.
+_V = "v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings)"
+_LONG = "long AS (SELECT id, label, unnest(x) AS f, unnest(generate_series(0, len(x) - 1)) AS i FROM v)"
+_C = "c AS (SELECT label, max(n) AS n, list(m ORDER BY i) AS c FROM (SELECT label, i, count(*) AS n, avg(f) AS m FROM long GROUP BY 1, 2) GROUP BY 1)"
 
 
 @query("mlo05_silhouette", sql("""SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM (
  SELECT p.id, max(CASE WHEN p.label = q.label THEN q.n END) AS n, max(CASE WHEN p.label = q.label THEN d / nullif(q.n - 1, 0) END) AS a, min(CASE WHEN p.label <> q.label THEN d / q.n END) AS b FROM v p
- JOIN (SELECT p.id, q.label, count(*) AS n, sum(sqrt(pow(p.f0 - q.f0, 2) + pow(p.f1 - q.f1, 2))) AS d FROM v p, v q GROUP BY ALL) q ON p.id = q.id GROUP BY p.id)""", _V))
+ JOIN (SELECT p.id, q.label, count(*) AS n, sum(CASE WHEN p.id = q.id THEN 0 ELSE list_distance(p.x, q.x) END) AS d FROM v p, v q GROUP BY ALL) q ON p.id = q.id GROUP BY p.id)""", _V))
 def silhouette(spark, sf):
-    return rounded(clustering.silhouette(_vectors(spark, sf), F2))
+    return rounded(clustering.silhouette(_vectors(spark, sf), FEATURES))
 
 
-@query("mlo05_index_scores", sql("""SELECT round((SELECT sum(n * (pow(c0 - (SELECT avg(f0) FROM v), 2) + pow(c1 - (SELECT avg(f1) FROM v), 2))) FROM c) * ((SELECT count(*) FROM v) - (SELECT count(*) FROM c)) / ((SELECT sum(w) FROM s) * ((SELECT count(*) FROM c) - 1)), 6) AS calinski_harabasz,
- (SELECT round(avg(r), 6) FROM (SELECT max((a.t + b.t) / sqrt(pow(a.c0 - b.c0, 2) + pow(a.c1 - b.c1, 2))) AS r FROM s a JOIN s b ON a.label <> b.label GROUP BY a.label)) AS davies_bouldin""",
- _V, _C, "s AS (SELECT c.label, c0, c1, sum(pow(f0 - c0, 2) + pow(f1 - c1, 2)) AS w, avg(sqrt(pow(f0 - c0, 2) + pow(f1 - c1, 2))) AS t FROM v JOIN c ON v.label = c.label GROUP BY c.label, c0, c1)"))
+@query("mlo05_index_scores", sql("""SELECT round((SELECT sum(n * pow(list_distance(c, g), 2)) FROM c, (SELECT list(m ORDER BY i) AS g FROM (SELECT i, avg(f) AS m FROM long GROUP BY 1))) * ((SELECT count(*) FROM v) - (SELECT count(*) FROM c)) / ((SELECT sum(w) FROM s) * ((SELECT count(*) FROM c) - 1)), 6) AS calinski_harabasz,
+ (SELECT round(avg(r), 6) FROM (SELECT max((a.t + b.t) / list_distance(a.c, b.c)) AS r FROM s a JOIN s b ON a.label <> b.label GROUP BY a.label)) AS davies_bouldin""",
+ _V, _LONG, _C, "s AS (SELECT c.label, c, sum(pow(list_distance(x, c), 2)) AS w, avg(list_distance(x, c)) AS t FROM v JOIN c ON v.label = c.label GROUP BY c.label, c)"))
 def index_scores(spark, sf):
-    return rounded(clustering.index_scores(_vectors(spark, sf), F2))
+    return rounded(clustering.index_scores(_vectors(spark, sf), FEATURES))
 
 
 @query("mlo04_kmeans")
 def kmeans(spark, sf):
-    x = clustering.scaled(_vectors(spark, sf, 4), ["f0", "f1", "f2", "f3"])
-    return clustering.cluster(x.drop("label"), ["f0", "f1", "f2", "f3"], "kmeans", 5).groupBy("label").agg(F.count("*").alias("n"))
+    x = clustering.scaled(_vectors(spark, sf), FEATURES)
+    return clustering.cluster(x.drop("label"), FEATURES, "kmeans", 5).groupBy("label").agg(F.count("*").alias("n"))
 
 
+#: Density is looked at in the plane of two features.
+PLANE = FEATURES[:2]
 _EPS = 0.04
 
 
@@ -261,19 +266,18 @@ _EPS = 0.04
  "walk AS (SELECT id AS u, id AS c FROM core UNION SELECT link.b, walk.c FROM walk JOIN link ON link.a = walk.u AND walk.c < link.b)",
  "comp AS (SELECT u, min(c) AS c FROM walk GROUP BY 1)"))
 def dbscan(spark, sf):
-    return clustering.dbscan(_vectors(spark, sf).drop("label"), F2, _EPS, 4).select("id", F.col("label").cast("long").alias("label"))
+    return clustering.dbscan(_vectors(spark, sf).select("id", *PLANE), PLANE, _EPS, 4).select("id", F.col("label").cast("long").alias("label"))
 
 
-@query("mlo06_mutual_information", sql("""SELECT feature, round(sum(n / f * ln(n * f / (b * l))), 6) AS mi FROM (SELECT *, sum(n) OVER (PARTITION BY feature)::DOUBLE AS f, sum(n) OVER (PARTITION BY feature, bin)::DOUBLE AS b, sum(n) OVER (PARTITION BY feature, label)::DOUBLE AS l FROM (
- SELECT 'f0' AS feature, label, least(floor((f0 - (SELECT min(f0) FROM v)) * 10 / ((SELECT max(f0) FROM v) - (SELECT min(f0) FROM v))), 9) AS bin, count(*)::DOUBLE AS n FROM v GROUP BY ALL UNION ALL
- SELECT 'f1', label, least(floor((f1 - (SELECT min(f1) FROM v)) * 10 / ((SELECT max(f1) FROM v) - (SELECT min(f1) FROM v))), 9), count(*) FROM v GROUP BY ALL)) GROUP BY 1""", _V))
+@query("mlo06_mutual_information", sql("""SELECT 'f' || i AS feature, round(greatest(0, sum(n / f * ln(n * f / (b * l)))), 6) AS mi FROM (SELECT *, sum(n) OVER (PARTITION BY i)::DOUBLE AS f, sum(n) OVER (PARTITION BY i, bin)::DOUBLE AS b, sum(n) OVER (PARTITION BY i, label)::DOUBLE AS l FROM (
+ SELECT long.i, label, least(floor((f - lo) * 10 / (hi - lo)), 9) AS bin, count(*)::DOUBLE AS n FROM long JOIN (SELECT i, min(f) AS lo, max(f) AS hi FROM long GROUP BY 1) e ON long.i = e.i GROUP BY ALL)) GROUP BY 1""", _V, _LONG))
 def mutual_information(spark, sf):
-    return rounded(clustering.mutual_information(_vectors(spark, sf), F2))
+    return rounded(clustering.mutual_information(_vectors(spark, sf), FEATURES))
 
 
 @query("mlo06_importance")
 def importance(spark, sf):
-    return rounded(clustering.importance(_vectors(spark, sf, 4), ["f0", "f1", "f2", "f3"]))
+    return rounded(clustering.importance(_vectors(spark, sf), FEATURES))
 
 
 @query("mlo07_forest_size", sql("SELECT k, CAST(least(200, greatest(50, 15 * k)) AS INT) AS trees, CAST(least(15, greatest(3, floor(log2(k)) + 3)) AS INT) AS depth FROM (SELECT unnest([(SELECT count(DISTINCT category_id) FROM ann), (SELECT count(DISTINCT image_id) FROM ann), (SELECT count(DISTINCT iscrowd) FROM ann), (SELECT count(DISTINCT label) FROM embeddings)]) AS k)"))
@@ -305,8 +309,7 @@ def hard_clusters(spark, sf):
 
 @query("mlo10_components")
 def components(spark, sf):
-    fs = ["f0", "f1", "f2", "f3"]
-    return rounded(clustering.components_of(_vectors(spark, sf, 4), fs, 2).select("id", F.abs(F.col("encoded")[0]).alias("first"), F.abs(F.col("encoded")[1]).alias("second")), 4)
+    return rounded(clustering.components_of(_vectors(spark, sf), FEATURES, 2).select("id", F.abs(F.col("encoded")[0]).alias("first"), F.abs(F.col("encoded")[1]).alias("second")), 4)
 
 
 _RAW = "concat('{\"id\": ', id, ', \"image_id\": ', image_id, ', \"bbox\": [', CAST(x AS INT), ', ', CAST(y AS INT), ', ', CAST(w AS INT), ', ', CAST(h AS INT), '], \"segmentation\": [[', CAST(x AS INT), ', 1.5], [2, 3]], \"area\": ', CAST(area AS INT), ', \"iscrowd\": ', iscrowd, '}')"

@@ -12,7 +12,7 @@ from ..sources.views import sql
 from ..storage import shared_folder
 from . import analyses
 from .annotation_queries import rounded
-from .dataset_queries import _GRAY, _LIT, _LUM, _lit_pixels
+from .dataset_queries import _GRAY, _LIT, _LUM, FEATURES, _lit_pixels, _vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -118,6 +118,5 @@ def keypoint_files(spark, sf):
 
 @query("mlo04_hierarchical")
 def hierarchical(spark, sf):
-    fs = ["f0", "f1", "f2", "f3"]
-    x = V.table(spark, sf, "embeddings").selectExpr("vec_id AS id", *[f"CAST(embedding[{i}] AS DOUBLE) AS f{i}" for i in range(4)])
-    return clustering.cluster(clustering.scaled(x, fs), fs, "hierarchical", 5).groupBy("label").agg(F.count("*").alias("n"))
+    x = clustering.scaled(_vectors(spark, sf).drop("label"), FEATURES)
+    return clustering.cluster(x, FEATURES, "hierarchical", 5).groupBy("label").agg(F.count("*").alias("n"))

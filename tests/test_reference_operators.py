@@ -368,7 +368,7 @@ def test_self_intersections_by_either_way(spark, monkeypatch, short):
 @pytest.mark.parametrize("most", [1_000_000, 3])
 def test_groups_of_contracted_edges(spark, monkeypatch, most):
     rng = np.random.default_rng(7)
-    pairs = [(int(a), int(b), int(a) // 50) for a, b in rng.integers(0, 50, (120, 2)) + 50 * rng.integers(0, 4, (120, 1))]
+    pairs = [(int(a), int(b), int(a) // 50) for a, b in rng.integers(0, 50, (120, 2)) + 50 * rng.integers(0, 4, (120, 1))] + [(999, 999, 9)]
     up = {x: x for a, b, _ in pairs for x in (a, b)}
 
     def find(x):
@@ -380,8 +380,8 @@ def test_groups_of_contracted_edges(spark, monkeypatch, most):
         x, y = sorted((find(a), find(b)))
         up[y] = x
     edges = spark.createDataFrame(pairs, "a_id long, b_id long, g int")
-    monkeypatch.setattr(rects, "contracted", lambda e, by=None, f=rects.contracted: f(e, by, most))
+    monkeypatch.setattr(rects, "contracted", lambda e, by=None, roots=False, f=rects.contracted: f(e, by, most, roots))
     for by in ("g", None):
         got = {r.id: r.component for r in rects.overlap_groups(edges, by).collect()}
-        assert got == {x: find(x) for a, b, _ in pairs for x in (a, b) if a != b or find(x) != x or x in got}
+        assert got == {x: find(x) for a, b, _ in pairs for x in (a, b)}
     assert rects.overlap_groups(edges.limit(0)).collect() == []
