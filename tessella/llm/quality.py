@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, held_out, plus, rows_of, written
+from .common import discarded, fresh, held_out, plus, rows_of, written
 from .training import known_labels, minimise, sigmoid, training_labels
 
 MODULUS, REMAINDER = 3, 1
@@ -177,7 +177,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> t
         return index / np.float32(np.sqrt(ONES)), float(known[0][1]) if known else 0.5
     ids = spark.createDataFrame(known, "_id long, y int")
     # at most `most` ids, so the broadcast is bounded
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y"), "quality-sample").coalesce(-(-len(known) // TASK_ROWS))
+    held = written(docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y"), "quality-sample")
+    sample = held.coalesce(-(-len(known) // TASK_ROWS))
 
     def sums(batches):
         sums = NeighbourSums(index)
@@ -202,6 +203,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> t
             yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(list(pooled(texts, shared.value)), pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["doc_id", "x", "y"])
 
     rows = sorted(((r.doc_id, r.x, r.y) for r in sample.mapInArrow(pool, "doc_id long, x array<double>, y int").collect()), key=lambda r: r[0])
+    discarded(held)
     if len({r[2] for r in rows}) < 2:
         return vectors, float(rows[0][2]) if rows else 0.5
     return vectors, train_network(np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float))

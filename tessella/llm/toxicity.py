@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, plus, rows_of, written
+from .common import discarded, held_out, plus, rows_of, written
 from .training import known_labels, minimise, sampled, sigmoid, training_labels
 
 MODULUS, REMAINDER = 4, 2
@@ -110,7 +110,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, unl
     ids = F.broadcast(spark.createDataFrame(toxic, "_id long, y int"))
     chosen = sampled(texts.where(~held_out(F.col("doc_id"), MODULUS, REMAINDER)), "doc_id", unlabelled)
     rows = texts.join(ids, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y").union(chosen.select("doc_id", "text", F.lit(0)))
-    sample = written(rows, "toxicity-sample").coalesce(-(-(len(toxic) + unlabelled) // TASK_ROWS))
+    held = written(rows, "toxicity-sample")
+    sample = held.coalesce(-(-(len(toxic) + unlabelled) // TASK_ROWS))
 
     def count(batches):
         found = {0: Counter(), 1: Counter()}
@@ -139,6 +140,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, unl
             yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(has, pa.list_(pa.int32()))], names=["doc_id", "y", "has"])
 
     found = sorted((r.y, r.doc_id, r.has) for r in sample.mapInArrow(present, "doc_id long, y int, has array<int>").toLocalIterator())
+    discarded(held, counts)
     x = np.zeros((len(found), len(best)), np.uint8)
     for i, (_, _, has) in enumerate(found):
         x[i, has] = 1
