@@ -93,7 +93,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """
     spark = docs.sparkSession
     # the input's columns stay within one, so that none of theirs meets a name of these steps
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col("text"))
+    rows = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "doc_id", "text")
     keys = written(line_keys(rows, min_chars), "line-keys")
     marks = keys.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 1000).alias("at")).first()
     hot_rows = max(2, marks.n // (HOT_PARTS * batches))
