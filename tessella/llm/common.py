@@ -33,6 +33,21 @@ def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+#: A key with this part of all rows or more is hot: at most so many keys are broadcast.
+HOT_PARTS = 1_000
+
+
+def joined(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, parts: int = HOT_PARTS) -> DataFrame:
+    """rows with the columns of their group, for groups (*keys, n, ..) with their number of rows n, of `total` in all.
+
+    The few groups with a considerable part of all rows meet theirs by a broadcast of at most
+    `parts` rows, the others by their keys, so that no key gathers rows in one task.
+    """
+    least = max(2, total // parts)
+    hot, cold = F.broadcast(groups.where(F.col("n") >= least)), groups.where(F.col("n") < least)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 def plus(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(name, kind)])
 

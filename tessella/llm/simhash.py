@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, discarded, rows_of, written
+from .common import LOWER_BYTES, discarded, joined, rows_of, written
 from .components import components
 
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the (23, 12, 7) code.
@@ -360,12 +360,11 @@ def grouped(fps: DataFrame, words: int, keys_of: Callable, radius: int, block: i
     """
     names = [f"f{i}" for i in range(words)]
     anchors = [c for c in fps.columns if c not in (*names, "doc_id")]
-    first = fps.where("doc_id IS NOT NULL").groupBy(*names).agg(F.min(F.struct("doc_id", *anchors)).alias("x"))
-    nodes = written(first.select(F.col("x.doc_id").alias("node"), *names, *(f"x.{c}" for c in anchors)), "simhash-nodes")
-    edges = links(nodes, words, keys_of, radius, block)
-    found = components(edges.select("a", "b"))
-    label = nodes.select("node", *names).join(found, "node", "left").select(*(F.col(c).alias(f"_{c}") for c in names), F.coalesce("component", "node").alias("component_id"))
-    out = fps.select("doc_id", *names).join(label, [F.col(c) == F.col(f"_{c}") for c in names], "left")
+    first = fps.groupBy(*names).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", *anchors))).alias("x"), F.count("*").alias("n"))
+    nodes = written(first.select(F.col("x.doc_id").alias("node"), "n", *names, *(f"x.{c}" for c in anchors)), "simhash-nodes")
+    found = components(links(nodes.where("node IS NOT NULL").drop("n"), words, keys_of, radius, block).select("a", "b"))
+    label = nodes.join(found, "node", "left").select(*names, "n", F.coalesce("component", "node").alias("component_id"))
+    out = joined(fps.select("doc_id", *names), label, names, fps.count())
     return out.select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
@@ -548,13 +547,13 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, part_rows: int = PART_R
     """
     fps = written(set_fingerprints(docs), "near-fps")
     rest = [c for c in fps.columns if c not in ("doc_id", "d0", "d1")]
-    first = fps.where("doc_id IS NOT NULL").groupBy("d0", "d1").agg(F.min(F.struct("doc_id", *rest)).alias("x"))
-    nodes = written(first.select(F.monotonically_increasing_id().alias("node"), "d0", "d1", "x.*"), "near-nodes")
+    first = fps.where("doc_id IS NOT NULL").groupBy("d0", "d1").agg(F.min(F.struct("doc_id", *rest)).alias("x"), F.count("*").alias("n"))
+    nodes = written(first.select(F.monotonically_increasing_id().alias("node"), "d0", "d1", "n", "x.*"), "near-nodes")
     grouped_nodes = near_groups(docs, nodes, block, part_rows).join(nodes.select("node", "d0", "d1", "doc_id"), "node")
     smallest = grouped_nodes.groupBy("component").agg(F.min("doc_id").alias("smallest"))
     linked = grouped_nodes.join(smallest, "component").select("d0", "d1", F.col("smallest").alias("linked"))
-    own = nodes.select("d0", "d1", F.col("doc_id").alias("own")).join(linked, ["d0", "d1"], "left").select("d0", "d1", F.coalesce("linked", "own").alias("first"))
-    gone = fps.select("doc_id", "d0", "d1").join(own, ["d0", "d1"]).where("doc_id <> first").select("doc_id").distinct()
+    own = nodes.select("d0", "d1", "n", F.col("doc_id").alias("own")).join(linked, ["d0", "d1"], "left").select("d0", "d1", "n", F.coalesce("linked", "own").alias("first"))
+    gone = joined(fps.select("doc_id", "d0", "d1"), own, ["d0", "d1"], fps.count()).where("doc_id <> first").select("doc_id").distinct()
     # the input's columns stay within one, so that none of theirs meets a name of these steps
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text"))
     kept = rows.where("id IS NOT NULL").join(gone, F.col("id") == F.col("doc_id"), "left_anti")

@@ -267,10 +267,11 @@ def test_near_duplicates_with_one_token_repeated(spark):
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     nodes = {x for a, b in pairs if a != b for x in (a, b)}
     want = brute_components(pairs, {x for p in pairs for x in p})
-    assert got == {n: want[n] for n in nodes}
+    for task_edges in (500_000, 40, 7):
+        got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long"), task_edges=task_edges).collect()}
+        assert got == {n: want[n] for n in nodes}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
