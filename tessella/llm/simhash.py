@@ -486,8 +486,8 @@ def links_between_parts(members: DataFrame, sets: DataFrame, rows: int = PART_RO
     split = per_label.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("top_bytes"), F.count("*").alias("labels")).where("labels > 1")
     count = lambda n, b: F.greatest(F.ceil(n / rows), F.ceil(b / size), F.lit(1)).cast("int")
     # the bytes of the others are at most all bytes
-    split = split.select(F.col("cluster").alias("of"), F.col("top.label").alias("largest"), count(F.col("n") - F.col("top.n"), F.col("bytes")).alias("few"), count(F.col("top.n"), F.col("bytes")).alias("many"))
-    placed = held.join(split, F.col("cluster") == F.col("of")).withColumn("few_side", F.col("label") != F.col("largest"))
+    split = split.select("cluster", "n", F.col("top.label").alias("largest"), count(F.col("n") - F.col("top.n"), F.col("bytes")).alias("few"), count(F.col("top.n"), F.col("bytes")).alias("many"))
+    placed = joined(held, split, ["cluster"], held.count()).withColumn("few_side", F.col("label") != F.col("largest"))
     at = F.pmod(F.xxhash64("node"), F.when(F.col("few_side"), F.col("few")).otherwise(F.col("many"))).cast("int")
     # cells (i, j): block i of the others with block j of them, i <= j, or with block j - few of the largest label
     own = "transform(sequence(0, few - 1), x -> struct(least(x, at) AS i, greatest(x, at) AS j))"
@@ -502,7 +502,9 @@ def links_between_parts(members: DataFrame, sets: DataFrame, rows: int = PART_RO
         found = part_links(t.column("node").to_numpy(), t.column("label").to_numpy(), sets, left) if left.any() else []
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    found = written(rows_.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"), "near-between")
+    # dealt by cell, since a deal by cluster would do for the groups and bring all cells of a large cluster to one task
+    dealt = rows_.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cluster", "i", "j")
+    found = written(dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"), "near-between")
     discarded(held)
     return found
 
