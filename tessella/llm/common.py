@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +18,28 @@ LOWER_BYTES = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 #: Python's bytes.split() cuts at exactly these: \x20 and \x09-\x0D.
 ASCII_SPACE = " \t\n\x0b\f\r"
 
+#: What this worker process keeps from task to task: of one operator at a time.
+_kept: dict[Hashable, object] = {}
+
+
+def kept[T](key: Hashable, make: Callable[[], T]) -> T:
+    """What `make` gives, kept for later tasks of this worker process; what was kept for another key goes.
+
+    Workers outlive stages, so that else each would hold the memory of all operators of a session.
+    """
+    if key not in _kept:
+        released()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def released() -> None:
+    """What this worker process kept for any operator goes; called by operators that keep nothing."""
+    if _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, discarded, fresh, rows_of, written
+from .common import LOWER_BYTES, discarded, fresh, released, rows_of, written
 
 #: Tokens in a segment, but for a longer document, which is a segment alone.
 SEGMENT_TOKENS = 1_000_000
@@ -45,6 +45,7 @@ def build_index(docs: DataFrame, segment_tokens: int = SEGMENT_TOKENS) -> DataFr
     """
 
     def run(batches):
+        released()
         ids: list = []
         words: list[list[bytes]] = []
         held = made = 0
@@ -159,6 +160,7 @@ def _asked(index: DataFrame, phrases: dict[tuple[str, ...], list[int]], match: C
     groups = spark.sparkContext.broadcast(rarest_first(phrases, {r.term: r.n for r in counts.toLocalIterator()}))
 
     def search(t: pa.Table) -> pa.Table:
+        released()
         terms, lists, starts, ids = t.column("term").to_pylist(), {}, None, []
         positions = t.column("positions").combine_chunks()
         for i, term in enumerate(terms):

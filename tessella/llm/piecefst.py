@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plus, rows_of
+from .common import kept, plus, rows_of
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -458,15 +458,9 @@ class Transducer:
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
-_built: dict[int, Transducer] = {}
-
-
 def _transducer(data: bytes) -> Transducer:
     """One for each worker process, so that remembered paths last over tasks."""
-    if (key := hash(data)) not in _built:
-        _built.clear()
-        _built[key] = Transducer(Model.parse(data))
-    return _built[key]
+    return kept(("pieces", hash(data)), lambda: Transducer(Model.parse(data)))
 
 
 def _encoded(fst: Transducer, texts: list[str | None]) -> tuple[list[pa.Array], list[bytes]]:

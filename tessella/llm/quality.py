@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discarded, fresh, held_out, plus, rows_of, written
+from .common import discarded, fresh, held_out, kept, plus, rows_of, written
 from .training import known_labels, minimise, sigmoid, training_labels
 
 MODULUS, REMAINDER = 3, 1
@@ -31,6 +31,8 @@ TASK_ROWS, SLICES = 256, 16
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 #: Tokens that are held at once; a text of any length is read on with what its next block needs of the last.
 _BLOCK = 50_000
+#: Tokens whose buckets a worker process keeps; of larger vocabularies the rest are rare, and hashed anew.
+KNOWN_TOKENS = 50_000
 REPEAT = zlib.crc32(b"\x01=") % BUCKETS
 
 
@@ -50,19 +52,16 @@ class _Buckets(dict):
         shape = "\x01A" if len(token) > 1 and token.isupper() else "\x010" if token[0].isdigit() else token
         bucket = zlib.crc32(shape.encode("utf-8", "surrogatepass")) % BUCKETS
         if len(token) <= 64:
-            if len(self) > 500_000:
+            if len(self) >= KNOWN_TOKENS:
                 self.clear()
             self[token] = bucket
         return bucket
 
 
-_buckets = _Buckets()
-
-
 def token_buckets(text: str | None, block: int = _BLOCK) -> Iterator[np.ndarray]:
     """Buckets of the text's tokens, in blocks; a token whose bucket is that of the one before counts as a repeat."""
-    last = -1
-    found = map(_buckets.__getitem__, (m[0] for m in _TOKEN.finditer(text))) if text and len(text) > block else map(_buckets.__getitem__, _TOKEN.findall(text or ""))
+    last, buckets = -1, kept("quality", _Buckets)
+    found = map(buckets.__getitem__, (m[0] for m in _TOKEN.finditer(text))) if text and len(text) > block else map(buckets.__getitem__, _TOKEN.findall(text or ""))
     while len(raw := np.fromiter(islice(found, block), np.int32)):
         ids = raw.copy()
         ids[1:][raw[1:] == raw[:-1]] = REPEAT

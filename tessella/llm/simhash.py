@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, discarded, joined, rows_of, written
+from .common import LOWER_BYTES, discarded, joined, released, rows_of, written
 from .components import components
 
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the (23, 12, 7) code.
@@ -204,6 +204,7 @@ def fingerprints(docs: DataFrame, n: int, words: int = 1, anchors: int = 0) -> D
     """(doc_id, f0.., m0..) of whole texts, a row for each row of docs; null texts have no words, and zeros, as empty ones. Other columns are not looked at."""
 
     def run(batches):
+        released()
         for part, (texts,) in rows_of(batches, "text"):
             fps, low = fingerprint_texts(texts, n, words, anchors)
             cols = [*fps.T, *low.T]
@@ -284,6 +285,7 @@ def _linked(words: int, radius: int, block: int, spanning: Callable = stars) ->
                 yield edges([a for a, _ in found], [b for _, b in found], True)
 
     def run(batches):
+        released()
         keys, nodes, fps = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, words), np.uint64)
         hot_key, at = None, 0
         for batch in batches:
@@ -319,6 +321,7 @@ def links(nodes: DataFrame, words: int, keys_of: Callable, radius: int, block: i
     anchor_names = [c for c in nodes.columns if c[0] == "m" and c[1:].isdigit()]
 
     def keyed(batches):
+        released()
         for batch in batches:
             for at in range(0, batch.num_rows, 5000):
                 part = batch.slice(at, 5000)
@@ -346,6 +349,7 @@ def _between_blocks(hot: DataFrame, fp_names: list[str], radius: int, spanning:
     rows = hot.join(blocks, "key").select("key", F.col("a").alias("node"), *fp_names, F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "node", *fp_names)
 
     def compare(t: pa.Table) -> pa.Table:
+        released()
         fps = np.stack([t.column(c).to_numpy() for c in fp_names], axis=1).view(np.uint64)
         found = spanning(t.column("node").to_numpy(), fps, radius)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
@@ -393,6 +397,7 @@ def set_fingerprints(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "d0", "d1", *(f"f{i}" for i in range(NEAR_WORDS)), *(f"m{i}" for i in range(NEAR_ANCHORS))]
 
     def run(batches):
+        released()
         for part, (texts,) in rows_of(batches, "text"):
             digests = []
 
@@ -412,6 +417,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, hashes) for nodes (node, doc_id, d0, d1): the set of shingles of that document's text with this digest."""
 
     def run(batches):
+        released()
         for part, (texts,) in rows_of(batches, "text"):
             sets = [shingle_set(t, NEAR_SHINGLE) for t in texts]
             digests = np.array([set_digest(x) for x in sets], np.int64).reshape(-1, 2)
@@ -428,6 +434,7 @@ def alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     sets = written(shingle_sets(docs, nodes.select("node", "doc_id", "d0", "d1").join(ends, "node", "left_semi")), "near-sets")
 
     def run(batches):
+        released()
         for part, sets in rows_of(batches, "x", "y"):
             keep = [jaccard_at_least(*(np.frombuffer(v, np.uint64) for v in pair)) for pair in zip(*sets, strict=True)]
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -497,6 +504,7 @@ def links_between_parts(members: DataFrame, sets: DataFrame, rows: int = PART_RO
     rows_ = placed.withColumn("at", at).select("cluster", "node", "label", "hashes", "few_side", "at", cells.alias("cell")).select("cluster", "cell.i", "cell.j", "node", "label", "hashes", (F.col("few_side") & (F.col("at") == F.col("cell.i"))).alias("left"))
 
     def compare(t: pa.Table) -> pa.Table:
+        released()
         sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
         left = t.column("left").to_numpy()
         found = part_links(t.column("node").to_numpy(), t.column("label").to_numpy(), sets, left) if left.any() else []

@@ -1,7 +1,9 @@
 """The corpus pipeline's stages on small tables, against brute force and the library."""
 
+import gc
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -86,3 +88,30 @@ def test_run_on_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_a_worker_process_keeps_memory_of_one_operator_at_a_time(spark):
+    class Taken:
+        """Gives the function that would run over batches."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    def alive(kind):
+        gc.collect()
+        return [x for x in gc.get_objects() if type(x) is kind]
+
+    data = open(piecefst.MODEL_FILE, "rb").read()
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["some words", None])], names=["doc_id", "text"])
+    for other in (lambda: list(quality.token_buckets("a word")), lambda: list(simhash.set_fingerprints(Taken())([batch])), lambda: list(simhash.fingerprints(Taken(), 4)([batch]))):
+        other()
+        before = len(alive(piecefst.Transducer))
+        assert piecefst._transducer(data) is piecefst._transducer(data)
+        assert len(alive(piecefst.Transducer)) == before + 1 and not any(alive(quality._Buckets))
+        other()
+        assert len(alive(piecefst.Transducer)) == before
+    list(quality.token_buckets(" ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(120_000))))
+    assert max(map(len, alive(quality._Buckets))) <= 50_000
