@@ -80,6 +80,13 @@ def test_small_files(spark, tmp_path):
     assert (tmp_path / "c" / "report.txt").read_text() == "said"
 
 
+def test_an_image_has_one_keypoint_file_however_its_rows_lie(spark, tmp_path):
+    rows = spark.range(40, numPartitions=4).selectExpr("concat('img', id % 3) AS image_name", "id AS keypoint_id", "array(id, 7) AS descriptor")
+    files.save_keypoints(rows, str(tmp_path / "k"), descriptors=1)
+    assert sorted(len(list(d.glob("*.csv"))) for d in (tmp_path / "k").iterdir() if d.is_dir()) == [1, 1, 1]
+    assert {(r.file, int(r.descriptor_0)) for r in files.read_keypoints(spark, str(tmp_path / "k")).collect()} == {(f"img{i % 3}_normalized_keypoints", i) for i in range(40)}
+
+
 @pytest.mark.parametrize("architecture", encoder.ARCHITECTURES)
 def test_autoencoders_learn(architecture):
     rng = np.random.default_rng(1)
