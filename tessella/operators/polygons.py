@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,18 +207,87 @@ def moved(shape: dict, rotation: np.ndarray, position: np.ndarray) -> dict:
     return shape | {"points": np.asarray(shape["points"], float) @ np.asarray(rotation, float).reshape(3, 3) + position}
 
 
-def ring_distances(pairs: DataFrame, a: str = "ring_a", b: str = "ring_b") -> DataFrame:
-    """The pairs plus hit and distance between the convex hulls of two flat rings."""
+def _nearest_on_segments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The points of segments a[i] b[i] nearest to the origin."""
+    e = b - a
+    ee = (e * e).sum(1)
+    t = np.clip(-(a * e).sum(1) / np.where(ee > 0, ee, 1), 0, 1)
+    return a + t[:, None] * e
+
+
+def gjk_many(a: np.ndarray, b: np.ndarray, most: int = 128, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """(hit, distance) of the convex hulls of points a[i] and b[i], arrays [pairs, corners, 2]: `gjk` in the plane for all pairs at once."""
+    n = len(a)
+    hit, distance = np.zeros(n, bool), np.zeros(n)
+    at = np.arange(n)
+    p = q = v = a[:, 0] - b[:, 0]
+    for _ in range(most):
+        if not len(at):
+            return hit, distance
+        rows = np.arange(len(at))
+        far_a = np.einsum("nij,nj->ni", a, v).argmin(1)
+        far_b = np.einsum("nij,nj->ni", b, v).argmax(1)
+        w = a[rows, far_a] - b[rows, far_b]
+        vv = (v * v).sum(1)
+        touch = vv < tolerance**2
+        apart = ~touch & (vv - (v * w).sum(1) <= tolerance * np.maximum(1, np.sqrt(vv)))
+        # the triangle of the segment p q and w holds the origin if all three turns have one sign
+        cross = lambda x, y: x[:, 0] * y[:, 1] - x[:, 1] * y[:, 0]
+        turns = np.stack([cross(p, q), cross(q, w), cross(w, p)])
+        held = ~touch & ~apart & ((turns > 0).all(0) | (turns < 0).all(0))
+        hit[at[touch | held]] = True
+        distance[at[apart]] = np.sqrt(vv[apart])
+        on = ~(touch | apart | held)
+        at, a, b, p, q, w = at[on], a[on], b[on], p[on], q[on], w[on]
+        x, y = _nearest_on_segments(p, w), _nearest_on_segments(q, w)
+        first = ((x * x).sum(1) <= (y * y).sum(1))[:, None]
+        v = np.where(first, x, y)
+        p, q = np.where(first, p, q), w
+    vv = (v * v).sum(1)
+    hit[at], distance[at] = vv < tolerance, np.sqrt(vv)
+    return hit, distance
+
+
+#: Numbers that a block of pairs of rings holds at once, padding included.
+PAIR_BLOCK = 1 << 20
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [gjk({"kind": "points", "points": np.array(x, float).reshape(-1, 2)}, {"kind": "points", "points": np.array(y, float).reshape(-1, 2)}, 2)[:2] for x, y in zip(pdf[a], pdf[b], strict=True)]
-            yield pdf.assign(hit=[g[0] for g in got], distance=[g[1] for g in got]).drop(columns=[a, b])
 
+def ring_distances(pairs: DataFrame, a: str = "ring_a", b: str = "ring_b") -> DataFrame:
+    """The pairs plus hit and distance between the convex hulls of two flat rings; without points in one of them both are null."""
     from pyspark.sql import types as T
 
     kept = [f for f in pairs.schema.fields if f.name not in (a, b)]
-    return pairs.mapInPandas(run, T.StructType([*kept, T.StructField("hit", T.BooleanType()), T.StructField("distance", T.DoubleType())]))
+    out = T.StructType([*kept, T.StructField("hit", T.BooleanType()), T.StructField("distance", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flats, starts, sizes = [], [], []
+            for c in (a, b):
+                column = batch.column(c)
+                flats.append(column.values.to_numpy(zero_copy_only=False).astype(float, copy=False))
+                starts.append(column.offsets.to_numpy()[:-1])
+                sizes.append(np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()), 0))
+                if (sizes[-1] % 2).any():
+                    raise ValueError("a ring needs pairs of coordinates")
+            some = np.flatnonzero((sizes[0] > 0) & (sizes[1] > 0))
+            hit, distance = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows)
+            # pairs of like sizes go together, so that one long ring does not pad all others
+            some = some[np.lexsort((sizes[1][some], sizes[0][some]))]
+            while len(some):
+                wide = np.maximum.accumulate(sizes[0][some] + sizes[1][some])
+                take = max(1, int((wide * np.arange(1, len(some) + 1) <= PAIR_BLOCK).sum()))
+                now, some = some[:take], some[take:]
+                rings = []
+                for flat, start, size in zip(flats, starts, sizes, strict=True):
+                    # shorter rings repeat their last corner
+                    corner = np.minimum(np.arange(size[now].max() // 2), size[now][:, None] // 2 - 1)
+                    first = start[now][:, None] + 2 * corner
+                    rings.append(np.stack([flat[first], flat[first + 1]], axis=2))
+                hit[now], distance[now] = gjk_many(*rings)
+            none = (sizes[0] == 0) | (sizes[1] == 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(hit, mask=none), pa.array(distance, mask=none)], names=out.names)
+
+    return pairs.mapInArrow(run, out)
 
 
 def collinear_filtered(points: DataFrame, key: str, eps: float = 1e-10) -> DataFrame:

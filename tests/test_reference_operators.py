@@ -1,6 +1,7 @@
 """Fixtures with known results for the annotation operators."""
 
 import os
+import time
 
 import numpy as np
 import pytest
@@ -245,6 +246,24 @@ def test_spectrum_of_a_constant():
     assert s["low_ratio"] == pytest.approx(1) and s["centroid"] == pytest.approx(0, abs=1e-9)
 
 
+def test_ring_distances_of_many_pairs_equal_single_ones(spark):
+    rng = np.random.default_rng(3)
+    some = [(rng.integers(0, 9, 2 * k).astype(float) + rng.integers(0, 14), rng.integers(0, 9, 2 * m).astype(float)) for k in range(1, 7) for m in range(1, 7) for _ in range(12)]
+    points = lambda r: {"kind": "points", "points": r.reshape(-1, 2)}
+    want = {i: polygons.gjk(points(x), points(y), 2)[:2] for i, (x, y) in enumerate(some)}
+    rows = [(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(some)] + [(-1, None, [0.0, 0.0]), (-2, [0.0, 0.0], [])]
+    got = {r.id: (r.hit, r.distance) for r in polygons.ring_distances(spark.createDataFrame(rows, "id long, ring_a array<double>, ring_b array<double>")).collect()}
+    assert got.pop(-1) == got.pop(-2) == (None, None)
+    assert {i: h for i, (h, _) in got.items()} == {i: h for i, (h, _) in want.items()}
+    assert [got[i][1] for i in want] == pytest.approx([d for _, d in want.values()], abs=1e-6)
+    # a hundred thousand pairs, which took a minute or more one by one
+    square = np.array([[0, 0], [1, 0], [1, 1], [0, 1]], float)
+    shift = np.arange(100_000)[:, None, None] % 50 * np.array([1.0, 0.0])
+    began = time.process_time()
+    hit, distance = polygons.gjk_many(np.broadcast_to(square, (100_000, 4, 2)), square + shift)
+    assert time.process_time() - began < 10 and hit.sum() == 4_000 and distance.max() == pytest.approx(48)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_ring_distances_of_all_pairs_of_an_image(spark):
     rows = annotation_queries.ring_distances(spark, "/root/testdata/sf0.001").select("a_id", "b_id").collect()
