@@ -116,6 +116,11 @@ def bloom_size(n: int, p: float) -> tuple[int, int]:
     return m, max(1, ceil(m / n * log(2)))
 
 
+def bloom_capacity(items: DataFrame, least: int) -> int:
+    """A filter's capacity for all the items: `least` while they fit, else their number, so that the rate holds."""
+    return max(least, items.count())
+
+
 def bloom_positions(item: Column, bits: int, hashes: int, double: bool = True) -> Column:
     """Bit places of an item: (h1 + i * h2) mod bits, or a hash of its own seed for each, from the engine's 64-bit hash."""
     if not double:

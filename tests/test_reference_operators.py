@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import geometry as G
 from tessella.functions import jsonpath as J
 from tessella.operators import clustering, ids, pixels, polygons, rects, stats, tiles, transforms
-from tessella.plans import annotation_queries
+from tessella.plans import annotation_queries, dataset_queries
 from tessella.sources import coco, views
 
 BOX = "id long, x0 double, y0 double, x1 double, y1 double"
@@ -246,6 +246,12 @@ def test_spectrum_of_a_constant():
     assert s["low_ratio"] == pytest.approx(1) and s["centroid"] == pytest.approx(0, abs=1e-9)
 
 
+def test_filter_grows_with_its_items(spark, tmp_path):
+    assert ids.bloom_capacity(spark.range(5), 100) == 100 and ids.bloom_capacity(spark.range(500), 100) == 500
+    spark.range(450_000).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    assert tuple(one(dataset_queries.bloom_membership(spark, str(tmp_path)))) == (450_000, 450_000, True)
+
+
 def test_ring_distances_of_many_pairs_equal_single_ones(spark):
     rng = np.random.default_rng(3)
     some = [(rng.integers(0, 9, 2 * k).astype(float) + rng.integers(0, 14), rng.integers(0, 9, 2 * m).astype(float)) for k in range(1, 7) for m in range(1, 7) for _ in range(12)]
