@@ -44,13 +44,21 @@ def mutual_matches(a: DataFrame, b: DataFrame, pair: str = "pair_id") -> DataFra
 
 
 def good_matches(matches: DataFrame, pair: str = "pair_id") -> DataFrame:
-    """Matches within mean + half a deviation; if these are under ten, the nearest max(10, half); pairs with under four have none."""
+    """Matches within mean + half a deviation; if these are under ten, the nearest max(10, half); pairs with under four have none.
+
+    With whole distances the rule is looked at in whole numbers, n d - S <= 0 or 4 (n d - S)^2 <= n Q - S^2
+    for sum S and sum of squares Q: a mean and a deviation end in bits that depend on the order of the
+    rows, and a distance can lie exactly on the limit.
+    """
     w = Window.partitionBy(pair)
-    x = matches.withColumns({"_n": F.count("*").over(w), "_cut": F.avg("distance").over(w) + 0.5 * F.stddev_pop("distance").over(w), "_rank": F.row_number().over(w.orderBy("distance", "a_id"))})
-    x = x.withColumn("_good", F.count_if(F.col("distance") <= F.col("_cut")).over(w))
-    keep = F.when(F.col("_good") < 10, F.col("_rank") <= F.greatest(F.lit(10), F.floor(F.col("_n") / 2))).otherwise(F.col("distance") <= F.col("_cut"))
+    d = F.col("distance")
+    x = matches.withColumns({"_n": F.count("*").over(w), "_s": F.sum(d).over(w), "_q": F.sum(d * d).over(w), "_rank": F.row_number().over(w.orderBy("distance", "a_id"))})
+    over = F.col("_n") * d - F.col("_s")
+    within = (over <= 0) | (4 * over * over <= F.col("_n") * F.col("_q") - F.col("_s") * F.col("_s"))
+    x = x.withColumn("_within", within).withColumn("_good", F.count_if("_within").over(w))
+    keep = F.when(F.col("_good") < 10, F.col("_rank") <= F.greatest(F.lit(10), F.floor(F.col("_n") / 2))).otherwise(F.col("_within"))
     x = x.where(keep).withColumn("_left", F.count("*").over(w)).where("_left >= 4")
-    return x.drop("_n", "_cut", "_rank", "_good", "_left")
+    return x.drop("_n", "_s", "_q", "_rank", "_within", "_good", "_left")
 
 
 def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:

@@ -252,6 +252,15 @@ def test_filter_grows_with_its_items(spark, tmp_path):
     assert tuple(one(dataset_queries.bloom_membership(spark, str(tmp_path)))) == (450_000, 450_000, True)
 
 
+def test_matches_on_the_limit_do_not_depend_on_the_order_of_rows(spark):
+    # mean 5.6 and half a deviation 1.4: the sevens lie on the limit
+    rng, distances = np.random.default_rng(0), [8, 9, 6, 3, 4, 7, 3, 3, 6, 3, 5, 2, 4, 9, 12]
+    orders = [rng.permutation(distances).tolist() for _ in range(4000)]
+    m = spark.createDataFrame(list(enumerate(orders)), "pair_id long, d array<int>").selectExpr("pair_id", "posexplode(d) AS (a_id, distance)").withColumn("b_id", F.col("a_id"))
+    kept = transforms.good_matches(m).groupBy("pair_id").agg(F.count("*").alias("n"), F.max("distance").alias("most"))
+    assert [tuple(r) for r in kept.groupBy("n", "most").count().collect()] == [(11, 7, 4000)]
+
+
 def test_ring_distances_of_many_pairs_equal_single_ones(spark):
     rng = np.random.default_rng(3)
     some = [(rng.integers(0, 9, 2 * k).astype(float) + rng.integers(0, 14), rng.integers(0, 9, 2 * m).astype(float)) for k in range(1, 7) for m in range(1, 7) for _ in range(12)]
