@@ -88,18 +88,81 @@ def crossings_by_box(crossings: DataFrame) -> DataFrame:
     return crossings.groupBy("box_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("tile_id", "kind", "boundaries"))).alias("tiles"))
 
 
-def coverage_cells(rects: DataFrame, by: str = "image_id") -> DataFrame:
-    """(by, x0, y0, x1, y1, n): the plane cut at all edges of a group's rectangles, cells under two or more."""
-    p = proper(rects)
-    edges = lambda a, b: p.select(by, F.explode(F.array(a, b)).alias("v")).distinct()
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(by).orderBy("v")
-    xs = edges("x0", "x1").select(by, F.col("v").alias("cx0"), F.lead("v").over(w).alias("cx1")).where("cx1 IS NOT NULL")
-    ys = edges("y0", "y1").select(by, F.col("v").alias("cy0"), F.lead("v").over(w).alias("cy1")).where("cy1 IS NOT NULL")
-    columns = p.join(xs, by).where("x0 < cx1 AND cx0 < x1")
-    cells = columns.join(ys, by).where("y0 < cy1 AND cy0 < y1")
-    return cells.groupBy(by, "cx0", "cy0", "cx1", "cy1").agg(F.count("*").alias("n")).where("n >= 2").selectExpr(by, "cx0 AS x0", "cy0 AS y0", "cx1 AS x1", "cy1 AS y1", "n")
+def _covered(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(x0, y0, x1, y1, n) of cells under two rectangles or more of one group, for strips of the grid of up to `most` cells."""
+    xs, ys = np.unique(np.concatenate([x0, x1])), np.unique(np.concatenate([y0, y1]))
+    left, right, low, high = (np.searchsorted(*e) for e in ((xs, x0), (xs, x1), (ys, y0), (ys, y1)))
+    for begin, lines in ((b, min(max(1, most // len(ys)), len(xs) - 1 - b)) for b in range(0, len(xs) - 1, max(1, most // len(ys)))):
+        on = (left < begin + lines) & (right > begin)
+        # what begins and ends at each corner, summed up along both axes
+        corner = np.zeros((lines + 1, len(ys)), np.int64)
+        a, b = np.maximum(left[on] - begin, 0), np.minimum(right[on] - begin, lines)
+        for at, edge, sign in ((a, low, 1), (a, high, -1), (b, low, -1), (b, high, 1)):
+            np.add.at(corner, (at, edge[on]), sign)
+        n = corner.cumsum(0).cumsum(1)[:-1, :-1]
+        cx, cy = np.nonzero(n >= 2)
+        if len(cx):
+            yield xs[begin + cx], ys[cy], xs[begin + cx + 1], ys[cy + 1], n[cx, cy]
+
+
+#: Cells of a group's grid that a task holds at once.
+CELLS = 1 << 20
+
+
+def coverage_cells(rects: DataFrame, by: str = "image_id", most: int = CELLS) -> DataFrame:
+    """(by, x0, y0, x1, y1, n): the plane cut at all edges of a group's rectangles, cells under two or more.
+
+    Only rectangles are dealt, by group; their cells are counted where they meet, strip by strip.
+    """
+    p = proper(rects).select(by, *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    kind = p.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cells(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            out, size = [], 0
+            names = t.column(by).combine_chunks()
+            boxes = [t.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")]
+            code = names.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cuts = np.r_[0, np.flatnonzero(np.diff(code)) + 1, len(code)]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                for found in _covered(*(v[begin:end] for v in boxes), most):
+                    out.append((np.full(len(found[0]), begin), *found))
+                    size += len(found[0])
+                    if size >= 1 << 16:
+                        yield batch_of(names, out)
+                        out, size = [], 0
+            if out:
+                yield batch_of(names, out)
+
+        def batch_of(names: pa.Array, out: list[tuple]) -> pa.RecordBatch:
+            first, *values = (np.concatenate(c) for c in zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([names.take(pa.array(first)), *map(pa.array, values)], names=[by, "x0", "y0", "x1", "y1", "n"])
+
+        # a group can go on in the next batch
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(by)
+            same = key.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            last = int(np.flatnonzero(same != same[-1])[-1]) + 1 if (same != same[-1]).any() else 0
+            if held and (last or held[-1].column(by)[-1] != key[0]):
+                goes_on = held[-1].column(by)[-1] == key[0]
+                cut = (int(np.flatnonzero(same != same[0])[0]) if (same != same[0]).any() else batch.num_rows) if goes_on else 0
+                yield from cells([*held, batch.slice(0, cut)])
+                held = []
+                batch, last = batch.slice(cut), last - cut
+            if last > 0:
+                yield from cells([batch.slice(0, last)])
+                batch = batch.slice(last)
+            if batch.num_rows:
+                held.append(batch)
+        if held:
+            yield from cells(held)
+
+    dealt = p.where(F.col(by).isNotNull()).repartition(by).sortWithinPartitions(by)
+    return dealt.mapInArrow(run, f"{by} {kind}, x0 double, y0 double, x1 double, y1 double, n long")
 
 
 def smaller_members(rects: DataFrame, groups: DataFrame) -> DataFrame:

@@ -246,6 +246,30 @@ def test_spectrum_of_a_constant():
     assert s["low_ratio"] == pytest.approx(1) and s["centroid"] == pytest.approx(0, abs=1e-9)
 
 
+@pytest.mark.parametrize("most", [1, 50, 1 << 20])
+def test_coverage_cells_are_counted_within_groups(spark, most):
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 7 if i < 300 else 7 + i, *map(float, (x, y, x + w, y + h))) for i, (x, y, w, h) in enumerate(rng.integers(0, 12, (320, 4)))]
+    rows += [(900, None, 0.0, 0.0, 1.0, 1.0), (901, None, 0.0, 0.0, 1.0, 1.0)]
+    want = {}
+    for g in {r[1] for r in rows} - {None}:
+        own = [r[2:] for r in rows if r[1] == g and r[2] < r[4] and r[3] < r[5]]
+        xs, ys = (sorted({r[k] for r in own} | {r[k + 2] for r in own}) for k in (0, 1))
+        for a, c in zip(xs, xs[1:]):
+            for b, d in zip(ys, ys[1:]):
+                n = sum(r[0] < c and a < r[2] and r[1] < d and b < r[3] for r in own)
+                if n >= 2:
+                    want[(g, a, b, c, d)] = n
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = rects.coverage_cells(spark.createDataFrame(rows, "id long, image_id long, x0 double, y0 double, x1 double, y1 double"), most=most)
+        assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+        got = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {tuple(r)[:5]: r.n for r in got} == want and len(got) == len(want)
+
+
 def test_filter_grows_with_its_items(spark, tmp_path):
     assert ids.bloom_capacity(spark.range(5), 100) == 100 and ids.bloom_capacity(spark.range(500), 100) == 500
     spark.range(450_000).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
