@@ -32,9 +32,9 @@ def query(name: str, oracle: str | None = None):
 def coco_round_trip(spark, sf):
     # a document for each tenth image's annotations, which is what one client would load
     a = V.annotations(spark, sf).where("image_id % 10 = 0").select("id", "image_id", "category_id", "segmentation", "area", "bbox", "iscrowd")
-    path = shared_folder(spark, "document")
-    coco.document(V.images(spark, sf), a, V.categories(spark, sf)).write.text(path)
-    d = coco.read_coco(spark, path)
+    path = f"{shared_folder(spark, 'document')}.json"
+    coco.save_document(path, V.images(spark, sf), a, V.categories(spark, sf))
+    d = coco.read_document(spark, path)
     n = d["images"].agg(F.count("*").alias("images")).crossJoin(d["categories"].agg(F.count("*").cast("int").alias("categories")))
     rows = d["annotations"].selectExpr("id", "image_id", "category_id", "area", "bbox[0] AS x", "bbox[2] AS width", "iscrowd", "CAST(size(segmentation[0]) AS BIGINT) AS corners")
     return rows.crossJoin(F.broadcast(n))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import dropped, shared_folder
+from .files import place
+
 IMAGES = "array<struct<id: bigint, width: int, height: int, file_name: string, license: int, date_captured: string>>"
 ANNOTATIONS = "array<struct<id: bigint, image_id: bigint, category_id: bigint, segmentation: array<array<double>>, area: double, bbox: array<double>, iscrowd: int, keypoints: array<double>>>"
 CATEGORIES = "array<struct<id: bigint, name: string, supercategory: string>>"
@@ -48,11 +51,60 @@ def of_categories(annotations: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def document(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
-    """(document): one COCO document as JSON. For sets that a client can load at all; larger ones are written as tables."""
+    """(document): one COCO document as JSON, for sets that fit in one value; `save_document` writes one of any size."""
     one = lambda t, n: t.agg(F.array_sort(F.collect_list(F.struct("id", *[c for c in t.columns if c != "id"]))).alias(n))
     return one(images, "images").crossJoin(one(annotations, "annotations")).crossJoin(one(categories, "categories")).select(F.to_json(F.struct("images", "annotations", "categories")).alias("document"))
 
 
+#: The lines before, between and after the records of a document that `save_document` writes.
+_FRAME = ('{"images": [', '], "annotations": [', '], "categories": [', "]}")
+
+
+def save_document(path: str, images: DataFrame, annotations: DataFrame, categories: DataFrame) -> None:
+    """One COCO document as one JSON file, a record on each line, each list in order of id.
+
+    Tasks write the sorted lines, which the driver's JVM then copies into the file as a stream.
+    """
+    spark = images.sparkSession
+    fs, target = place(spark, path)
+    out, copy = fs.create(target, True), spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+    sep = ",\n"
+    try:
+        for head, t in zip(_FRAME, (images, annotations, categories), strict=False):
+            out.write(bytearray(f"{head}\n".encode()))
+            columns = ["id", *[c for c in t.columns if c != "id"]]
+            folder = shared_folder(spark, "document-lines")
+            t.select(*columns).orderBy(*columns).select(F.to_json(F.struct(*columns)).alias("value")).write.option("lineSep", sep).text(folder)
+            lines_fs, lines = place(spark, folder)
+            parts = sorted((f.getPath().getName(), f.getLen(), f.getPath()) for f in lines_fs.listStatus(lines) if f.getLen() and f.getPath().getName().startswith("part-"))
+            for i, (_, size, part) in enumerate(parts):
+                stream = lines_fs.open(part)
+                try:
+                    # the last record has no separator after it
+                    copy.copyLarge(stream, out, 0, size - (len(sep) if i + 1 == len(parts) else 0))
+                finally:
+                    stream.close()
+            out.write(bytearray(b"\n"))
+            dropped(spark, folder)
+        out.write(bytearray(f"{_FRAME[-1]}\n".encode()))
+    finally:
+        out.close()
+
+
+def read_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """images, annotations and categories of a file that `save_document` wrote, read in blocks of lines by many tasks."""
+    # a block's lines are one task's, in order
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")).alias("at"))
+    at = {r["value"]: r["at"] for r in lines.where(F.col("value").isin(*_FRAME)).collect()}
+    spot = lambda line: F.struct(F.lit(at[line].block).cast("long").alias("block"), F.lit(at[line].place).cast("long").alias("place"))
+
+    def rows(k: int, kind: str) -> DataFrame:
+        inside = lines.where((F.col("at") > spot(_FRAME[k])) & (F.col("at") < spot(_FRAME[k + 1])) & (F.col("value") != ""))
+        return inside.select(F.from_json(F.regexp_replace("value", ",$", ""), kind.removeprefix("array<")[:-1]).alias("r")).select("r.*")
+
+    return {"images": rows(0, IMAGES), "annotations": rows(1, ANNOTATIONS), "categories": rows(2, CATEGORIES)}
+
+
 def write_by_resolution(images: DataFrame, annotations: DataFrame, path: str) -> None:
     """Tables images and annotations below path, in folders width=.../height=..."""
     images.write.partitionBy("width", "height").mode("overwrite").json(f"{path}/images")

@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _place(spark: SparkSession, path: str):
+def place(spark: SparkSession, path: str):
+    """A path's file system and the path as Hadoop has them."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """Writes one file, in any file system that Spark reaches, from the driver: for reports and single arrays."""
-    fs, p = _place(spark, path)
+    fs, p = place(spark, path)
     out = fs.create(p, True)
     try:
         out.write(bytearray(data))
@@ -28,7 +29,7 @@ def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
 
 def get_bytes(spark: SparkSession, path: str) -> bytes:
     """One file's bytes on the driver."""
-    fs, p = _place(spark, path)
+    fs, p = place(spark, path)
     stream = fs.open(p)
     try:
         return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))

@@ -1,5 +1,6 @@
 """Fixtures with known results for the annotation operators."""
 
+import json
 import os
 import time
 
@@ -270,6 +271,24 @@ def test_coverage_cells_are_counted_within_groups(spark, most):
     assert {tuple(r)[:5]: r.n for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("block", ["300", "128m"])
+def test_document_is_written_and_read_in_parts(spark, tmp_path, block):
+    i = spark.range(20, numPartitions=3).selectExpr("19 - id AS id", "CAST(5 AS INT) AS width", "CAST(6 AS INT) AS height", "IF(id = 3, '], \"annotations\": [', 'a,') AS file_name")
+    a = spark.range(50, numPartitions=4).selectExpr("id", "id % 20 AS image_id", "array(CAST(id AS DOUBLE), 0.5D) AS bbox", "IF(id % 2 = 0, 1, NULL) AS iscrowd")
+    c = spark.range(0).selectExpr("id", "'x' AS name")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        path = str(tmp_path / "d.json")
+        coco.save_document(path, i, a, c)
+        assert json.loads((tmp_path / "d.json").read_text()) == json.loads(one(coco.document(i, a, c)).document)
+        back = coco.read_document(spark, path)
+        assert sorted((r.id, r.file_name) for r in back["images"].collect()) == sorted((r.id, r.file_name) for r in i.collect())
+        assert sorted((r.id, r.image_id, r.bbox, r.iscrowd) for r in back["annotations"].collect()) == [tuple(r) for r in a.orderBy("id").collect()]
+        assert back["categories"].count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_filter_grows_with_its_items(spark, tmp_path):
     assert ids.bloom_capacity(spark.range(5), 100) == 100 and ids.bloom_capacity(spark.range(500), 100) == 500
     spark.range(450_000).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
