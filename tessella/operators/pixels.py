@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import grayscale
-from .stats import quantiles
 
 LUMINANCE = "(0.2126D * r + 0.7152D * g + 0.0722D * b)"
 
@@ -25,7 +24,8 @@ def _lightness() -> str:
 def luminance(pixels: DataFrame) -> DataFrame:
     lum = F.expr(LUMINANCE)
     out = pixels.groupBy("image_id").agg(F.avg(lum).alias("mean"), F.stddev_pop(lum).alias("std"), F.min(lum).alias("min"), F.max(lum).alias("max"), F.avg(F.expr(_lightness())).alias("mean_lightness"), F.avg(F.greatest("r", "g", "b")).alias("mean_value"))
-    median = quantiles(pixels.select("image_id", lum.alias("lum")), ["image_id"], "lum", [0.5]).toDF("image_id", "median")
+    counts = pixels.groupBy("image_id", lum.alias("lum")).agg(F.count("*").alias("n")).where("lum IS NOT NULL")
+    median = _quantiles(counts, "lum", (0.5,)).select("image_id", F.col("q")[0].alias("median"))
     return out.join(median, "image_id").withColumn("range", F.col("max") - F.col("min"))
 
 
@@ -53,16 +53,23 @@ def tones(pixels: DataFrame) -> DataFrame:
     return out.withColumn("tone", F.expr("CASE WHEN shadows > 50 THEN 'shadows-heavy' WHEN highlights > 50 THEN 'highlights-heavy' ELSE 'balanced' END"))
 
 
-def _gray_quantiles(pixels: DataFrame, shares: tuple[float, ...]) -> DataFrame:
-    """(image_id, q array, low, high): linear quantiles and extremes of gray, from the histogram's running counts."""
+def _quantiles(counts: DataFrame, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(image_id, q array, low, high): linear quantiles and extremes of an image's values, from running counts over rows (image_id, value, n).
+
+    A task passes over an image's counts in order and doesn't hold them.
+    """
     w = Window.partitionBy("image_id")
-    h = gray_counts(pixels).withColumns({"last": F.sum("n").over(w.orderBy("gray")), "all": F.sum("n").over(w)})
-    value = lambda rank: F.min(F.when(F.col("last") > rank, F.col("gray")))
+    h = counts.withColumns({"last": F.sum("n").over(w.orderBy(value)), "all": F.sum("n").over(w)})
+    at_rank = lambda rank: F.min(F.when(F.col("last") > rank, F.col(value)))
     at = [F.lit(p) * (F.col("all") - 1) for p in shares]
-    out = h.groupBy("image_id").agg(*[value(f(x)).alias(f"v{i}{j}") for i, x in enumerate(at) for j, f in enumerate((F.floor, F.ceil))], *[F.max(x - F.floor(x)).alias(f"f{i}") for i, x in enumerate(at)], F.min("gray").alias("low"), F.max("gray").alias("high"))
+    out = h.groupBy("image_id").agg(*[at_rank(f(x)).alias(f"v{i}{j}") for i, x in enumerate(at) for j, f in enumerate((F.floor, F.ceil))], *[F.max(x - F.floor(x)).alias(f"f{i}") for i, x in enumerate(at)], F.min(value).alias("low"), F.max(value).alias("high"))
     return out.select("image_id", F.array(*[F.expr(f"v{i}0 * (1 - f{i}) + v{i}1 * f{i}") for i in range(len(shares))]).alias("q"), "low", "high")
 
 
+def _gray_quantiles(pixels: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    return _quantiles(gray_counts(pixels), "gray", shares)
+
+
 def dynamic_range(pixels: DataFrame) -> DataFrame:
     out = _gray_quantiles(pixels, (0.01, 0.05, 0.95, 0.99)).selectExpr("image_id", "q[0] AS p1", "q[1] AS p5", "q[2] AS p95", "q[3] AS p99", "CAST(high - low AS DOUBLE) AS range_full")
     return out.selectExpr("*", "p95 - p5 AS range_90", "p99 - p1 AS range_98", "(p99 - p1) / 255 * 100 AS utilization", "(p99 - p1) / 255 * 100 > 70 AS good_range")

@@ -54,10 +54,22 @@ def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotations(spark, sf_dir).selectExpr("id", "image_id", "x AS x0", "y AS y0", "x + w AS x1", "y + h AS y1", "area")
 
 
+#: Pixels of a task, about.
+PIXELS = 1 << 19
+
+
 def pixels(spark: SparkSession, sf_dir: str, per_image: int = 400) -> DataFrame:
-    """(image_id, y, x, r, g, b): a small synthetic colour grid for each image."""
+    """(image_id, y, x, r, g, b): a small synthetic colour grid for each image.
+
+    Images are dealt before they are spread over their pixels, to as many tasks as their number needs,
+    so that what follows by image finds an image's pixels together.
+    """
     side = int(per_image**0.5)
-    grid = images(spark, sf_dir).select(F.col("id").alias("image_id")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(side - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
+    ids = images(spark, sf_dir).select(F.col("id").alias("image_id"))
+    parts = max(spark.sparkContext.defaultParallelism, -(-ids.count() * side * side // PIXELS))
+    # with the session's own number of partitions, Spark takes this for the exchange of the distinct ids and lets tasks be merged
+    parts += parts == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grid = ids.repartition(parts, "image_id").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(side - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
     return grid.selectExpr("image_id", "y", "x", "CAST((x * 31 + y * 17 + image_id) % 256 AS INT) AS r", "CAST((x * 13 + y * 29 + image_id * 3) % 256 AS INT) AS g", "CAST((x * 7 + y * 11 + image_id * 5) % 256 AS INT) AS b")
 
 

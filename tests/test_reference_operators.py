@@ -289,6 +289,24 @@ def test_document_is_written_and_read_in_parts(spark, tmp_path, block):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_pixels_of_an_image_lie_in_one_task_and_tasks_grow_with_images(spark, tmp_path):
+    e = spark.range(4000).selectExpr("id AS event_id", "id AS user_id")
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    p = views.pixels(spark, str(tmp_path))
+    tasks = p.withColumn("task", F.spark_partition_id()).groupBy("image_id").agg(F.count_distinct("task").alias("tasks"), F.count("*").alias("n"))
+    assert tasks.where("tasks <> 1 OR n <> 400").isEmpty() and tasks.count() == 4000
+    assert p.rdd.getNumPartitions() == 5 and 4000 * 400 / 4 < views.PIXELS
+    before, views.PIXELS = views.PIXELS, 100_000
+    try:
+        assert views.pixels(spark, str(tmp_path)).rdd.getNumPartitions() == 16
+    finally:
+        views.PIXELS = before
+    # no operator deals pixels or counts by image again
+    for f in (pixels.tones, pixels.luminance, pixels.exposure, pixels.dynamic_range, pixels.normalized_gray):
+        plan = f(p)._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "hashpartitioning(image_id" in x and "ENSURE_REQUIREMENTS" in x], plan
+
+
 def test_filter_grows_with_its_items(spark, tmp_path):
     assert ids.bloom_capacity(spark.range(5), 100) == 100 and ids.bloom_capacity(spark.range(500), 100) == 500
     spark.range(450_000).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
