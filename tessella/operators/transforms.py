@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +35,47 @@ def basenames(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def mutual_matches(a: DataFrame, b: DataFrame, pair: str = "pair_id") -> DataFrame:
-    """(pair, a_id, b_id, distance): rows (pair, id, words array<long>) that are each other's nearest by differing bits; ties to the smaller id."""
-    d = F.expr("aggregate(zip_with(words, _words, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v)")
-    both = a.select(pair, F.col("id").alias("a_id"), "words").join(b.select(F.col(pair).alias("_p"), F.col("id").alias("b_id"), F.col("words").alias("_words")), F.col(pair) == F.col("_p"))
-    both = both.select(pair, "a_id", "b_id", d.alias("distance"))
-    na = F.row_number().over(Window.partitionBy(pair, "a_id").orderBy("distance", "b_id"))
-    nb = F.row_number().over(Window.partitionBy(pair, "b_id").orderBy("distance", "a_id"))
-    return both.withColumn("_a", na).withColumn("_b", nb).where("_a = 1 AND _b = 1").drop("_a", "_b")
+    """(pair, a_id, b_id, distance): rows (pair, id, words array<long>) that are each other's nearest by differing bits; ties to the smaller id.
+
+    The two sides of a pair meet in a task, which holds a block of their distances at a time. Words are of one length.
+    """
+    side = lambda t: t.where(F.col(pair).isNotNull() & F.col("words").isNotNull()).select(pair, "id", F.col("words").cast("array<long>").alias("words"))
+    left, right = side(a), side(b)
+    kind = lambda t, c: t.schema[c].dataType.simpleString()
+    schema = f"{pair} {kind(left, pair)}, a_id {kind(left, 'id')}, b_id {kind(right, 'id')}, distance int"
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        # in order of id, so that the first of equal distances has the smaller one
+        x, y = x.sort_by("id"), y.sort_by("id")
+        p, q = (np.array(t.column("words").to_pylist(), np.int64).reshape(t.num_rows, -1) if t.num_rows else None for t in (x, y))
+        found = ([], [], [])
+        if p is not None and q is not None:
+            found = nearest_of_each_other(p, q)
+        first, second, distance = map(np.asarray, found, (np.int64, np.int64, np.int32))
+        return pa.table({pair: x.column(pair).take(pa.array(first)), "a_id": x.column("id").take(pa.array(first)), "b_id": y.column("id").take(pa.array(second)), "distance": pa.array(distance, pa.int32())})
+
+    return left.groupBy(pair).cogroup(right.groupBy(pair)).applyInArrow(run, schema)
+
+
+#: Distances between the words of two sides that a task holds at once.
+DISTANCES = 1 << 20
+
+
+def nearest_of_each_other(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of rows p[i] and q[j] that are each other's first nearest by differing bits, in blocks of rows."""
+    to_q, least_q = np.empty(len(p), np.int64), np.empty(len(p), np.int64)
+    to_p, least_p = np.zeros(len(q), np.int64), np.full(len(q), np.iinfo(np.int64).max)
+    step = max(1, DISTANCES // len(q))
+    for at in range(0, len(p), step):
+        d = np.zeros((len(p[at : at + step]), len(q)), np.int64)
+        for k in range(p.shape[1]):
+            d += np.bitwise_count((p[at : at + step, k, None] ^ q[None, :, k]).view(np.uint64))
+        to_q[at : at + step], least_q[at : at + step] = d.argmin(1), d.min(1)
+        low = d.min(0)
+        to_p = np.where(low < least_p, at + d.argmin(0), to_p)
+        least_p = np.minimum(low, least_p)
+    i = np.flatnonzero(to_p[to_q] == np.arange(len(p)))
+    return i, to_q[i], least_q[i]
 
 
 def good_matches(matches: DataFrame, pair: str = "pair_id") -> DataFrame:

@@ -307,6 +307,30 @@ def test_pixels_of_an_image_lie_in_one_task_and_tasks_grow_with_images(spark, tm
         assert not [x for x in plan.splitlines() if "hashpartitioning(image_id" in x and "ENSURE_REQUIREMENTS" in x], plan
 
 
+def test_mutual_matches_sort_no_pairs(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(g), i, rng.integers(-4, 4, 2).tolist()) for i, g in enumerate(rng.integers(0, 6, 160))]
+    rows = [r for r in rows if r[0] != 5 or r[1] % 2] + [(None, 900, [0, 0]), (None, 901, [0, 0])]
+    a, b = (spark.createDataFrame([r for r in rows if r[1] % 2 == k], "pair_id long, id long, words array<long>") for k in (0, 1))
+    dist = lambda x, y: sum(((u ^ v) & (1 << 64) - 1).bit_count() for u, v in zip(x[2], y[2]))
+    want, sides = set(), ([r for r in rows if r[1] % 2 == 0 and r[0] is not None], [r for r in rows if r[1] % 2 and r[0] is not None])
+    near = lambda r, others: min(((dist(r, o), o[1]) for o in others if o[0] == r[0]), default=None)
+    for x in sides[0]:
+        best = near(x, sides[1])
+        if best and near(next(o for o in sides[1] if o[1] == best[1]), sides[0])[1] == x[1]:
+            want.add((x[0], x[1], best[1], best[0]))
+    got = transforms.mutual_matches(a, b)
+    assert {tuple(r) for r in got.collect()} == want
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    p, q = rng.integers(0, 1 << 60, (50, 2)), rng.integers(0, 1 << 60, (40, 2))
+    whole = transforms.nearest_of_each_other(p, q)
+    before, transforms.DISTANCES = transforms.DISTANCES, 90
+    try:
+        assert all((x == y).all() for x, y in zip(whole, transforms.nearest_of_each_other(p, q)))
+    finally:
+        transforms.DISTANCES = before
+
+
 def test_filter_grows_with_its_items(spark, tmp_path):
     assert ids.bloom_capacity(spark.range(5), 100) == 100 and ids.bloom_capacity(spark.range(500), 100) == 500
     spark.range(450_000).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
