@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.geometry import grayscale
 
@@ -105,16 +108,41 @@ def normalized_gray(pixels: DataFrame, low: float = 0.01, high: float = 0.998) -
     return p.join(_gray_quantiles(pixels, (low, high)), "image_id").selectExpr("image_id", "y", "x", f"{stretched} AS gray")
 
 
+#: Values that f is given at once, about, so that what it makes of them stays in a core's cache; a larger image comes alone.
+AT_ONCE = 1 << 17
+
+
 def per_image(images: DataFrame, f: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
-    """f over each row's array: rows (image_id, height, width, values array<double>), planes after each other; schema begins with image_id."""
+    """f over images of one size at once: rows (image_id, height, width, values array<double>), planes after each other; schema begins with image_id.
+
+    f takes [n, planes, height, width] and gives n values by name.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, values = batch.column("image_id"), batch.column("values")
+            h, w, n = (c.to_numpy(zero_copy_only=False) for c in (batch.column("height"), batch.column("width"), pc.list_value_length(values)))
+            kinds, kind = np.unique(np.stack([h, w, n]).astype(np.int64), axis=1, return_inverse=True)
+            for k, (height, width, size) in enumerate(kinds.T.tolist()):
+                of_kind, step = np.flatnonzero(kind.ravel() == k), max(1, AT_ONCE // max(size, 1))
+                for at in (of_kind[i : i + step] for i in range(0, len(of_kind), step)):
+                    take = pa.array(at)
+                    planes = values.take(take).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1, height, width)
+                    found = {"image_id": ids.take(take)} | f(planes)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[c.name]).cast(c.type) for c in kind_of], schema=kind_of)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [{"image_id": i} | f(np.array(v, float).reshape(-1, h, w)) for i, h, w, v in zip(pdf.image_id, pdf.height, pdf.width, pdf["values"], strict=True)]
-            if rows:
-                yield pd.DataFrame(rows)
+    kind_of = to_arrow_schema(T.StructType.fromDDL(schema))
+    return images.mapInArrow(run, schema)
 
-    return images.mapInPandas(run, schema)
+
+def each(f: Callable[[np.ndarray], dict]) -> Callable[[np.ndarray], dict]:
+    """For per_image, of a function of a single image."""
+
+    def run(planes: np.ndarray) -> dict:
+        found = [f(p) for p in planes]
+        return {name: [x[name] for x in found] for name in found[0]}
+
+    return run
 
 
 def as_arrays(pixels: DataFrame, *planes: str) -> DataFrame:
@@ -156,21 +184,28 @@ SPECTRUM = "image_id long, low_ratio double, mid_ratio double, high_ratio double
 
 
 def box_mean(x: np.ndarray, r: int) -> np.ndarray:
-    """Means over (2r + 1) squares with edges mirrored, edge pixels included."""
-    p = np.pad(x, r, mode="symmetric")
-    c = np.pad(p.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    """Means over (2r + 1) squares of the last two axes with edges mirrored, edge pixels included."""
+    none = [(0, 0)] * (x.ndim - 2)
+    p = np.pad(x, [*none, (r, r), (r, r)], mode="symmetric")
+    c = np.pad(p.cumsum(-2).cumsum(-1), [*none, (1, 0), (1, 0)])
     k = 2 * r + 1
-    return (c[k:, k:] - c[:-k, k:] - c[k:, :-k] + c[:-k, :-k]) / (k * k)
+    return (c[..., k:, k:] - c[..., :-k, k:] - c[..., k:, :-k] + c[..., :-k, :-k]) / (k * k)
 
 
 def guided_filter(guide: np.ndarray, x: np.ndarray, r: int, eps: float = 1e-4) -> np.ndarray:
+    """x [.., h, w] filtered by its guide; x may have more axes in front than the guide."""
     mg, mx = box_mean(guide, r), box_mean(x, r)
     a = (box_mean(guide * x, r) - mg * mx) / (box_mean(guide * guide, r) - mg * mg + eps)
     return box_mean(a, r) * guide + box_mean(mx - a * mg, r)
 
 
+def _most(x: np.ndarray) -> np.ndarray:
+    """The maximum of each plane."""
+    return x.max(axis=(-2, -1), keepdims=True)
+
+
 def correct_channel(channel: np.ndarray, guide: np.ndarray, radius: int = 10, strength: float = 0.8, mode: str = "both", safety: float = 0.0) -> np.ndarray:
-    """A channel drawn towards the guide's structure by its log ratio, filtered on two manifolds of the guide.
+    """A channel [.., h, w] drawn towards the guide's structure by its log ratio, filtered on two manifolds of the guide.
 
     mode keeps both signs of the correction, or only one that brightens or darkens; safety over 0
     goes back to the old value where the ratio changes by more.
@@ -178,12 +213,12 @@ def correct_channel(channel: np.ndarray, guide: np.ndarray, radius: int = 10, st
     tiny = 1e-6
     ratio = np.clip(np.log2((channel + tiny) / (guide + tiny)), -4, 4)
     weight = np.clip(np.minimum(channel, guide), tiny, None)
-    span = guide.max() - guide.min()
-    t = (guide - guide.min()) / span if span > 0 else np.zeros_like(guide)
-    fields = []
-    for share in (1 - t, t):
-        w = weight * (share + tiny)
-        fields.append(guided_filter(guide, ratio * w, radius) / np.maximum(guided_filter(guide, w, radius), tiny))
+    low = guide.min(axis=(-2, -1), keepdims=True)
+    span = _most(guide) - low
+    t = np.where(span > 0, (guide - low) / np.where(span > 0, span, 1), 0)
+    w = np.stack([weight * (share + tiny) for share in (1 - t, t)])
+    over, under = guided_filter(guide, np.stack([ratio * w, w]), radius)
+    fields = over / np.maximum(under, tiny)
     # a mean of clamped ratios, so it stays within their range
     smooth = np.clip((1 - t) * fields[0] + t * fields[1], -4, 4)
     change = smooth - ratio
@@ -194,17 +229,18 @@ def correct_channel(channel: np.ndarray, guide: np.ndarray, radius: int = 10, st
     out = guide * 2 ** (ratio + strength * change)
     if safety > 0:
         out = np.where(np.abs(strength * change) > safety, channel, out)
-    return np.clip(out, 0, 2 * max(channel.max(), tiny))
+    return np.clip(out, 0, 2 * np.maximum(_most(channel), tiny))
 
 
 def correct_colors(planes: np.ndarray, guide: int = 1, channels: tuple[int, ...] = (0, 2), **options) -> np.ndarray:
-    """Planes [3, h, w] with the named channels corrected against the guide; values over 1 are scaled by the maximum."""
-    top = planes.max()
-    x = planes / top if top > 1 else planes.astype(float)
+    """Planes [3, h, w] of an image or [n, 3, h, w] of several, each for itself, with the named channels corrected against the guide; an image's values over 1 are scaled by its maximum."""
+    top = planes.max(axis=(-3, -2, -1), keepdims=True)
+    top = np.where(top > 1, top, 1.0)
+    x = planes / top
     out = x.copy()
     for c in channels:
-        out[c] = correct_channel(x[c], x[guide], **options)
-    return out * top if top > 1 else out
+        out[..., c, :, :] = correct_channel(x[..., c, :, :], x[..., guide, :, :], **options)
+    return out * top
 
 
 def edge_strength(plane: np.ndarray) -> float:

@@ -242,6 +242,23 @@ def test_color_filters():
     assert pixels.run_pipeline(planes, [(2, lambda p: p + 1), (1, lambda p: p * 0)]).max() == 1
 
 
+@pytest.mark.parametrize("options", [{}, {"mode": "brighten"}, {"mode": "darken", "safety": 0.1}])
+def test_colors_of_several_images_at_once(options):
+    rng = np.random.default_rng(4)
+    several = rng.uniform(0, 255, (5, 3, 7, 9)) * np.array([1, 1e-3, 0.5, 1, 0])[:, None, None, None]
+    several[3, 1] = 9  # a flat guide
+    out = pixels.correct_colors(several, radius=2, **options)
+    assert all((out[i] == pixels.correct_colors(several[i], radius=2, **options)).all() for i in range(5))
+    assert abs(out - several)[0].mean() > 0
+
+
+def test_images_of_one_size_come_together(spark):
+    rows = [(i, y, x, float(i)) for i, h in ((1, 2), (2, 3), (3, 2), (4, 3), (5, 2)) for y in range(h) for x in range(4)]
+    arrays = pixels.as_arrays(spark.createDataFrame(rows, "image_id long, y int, x int, r double").coalesce(1), "r", "r * 2")
+    found = pixels.per_image(arrays.coalesce(1), lambda p: {"n": [len(p)] * len(p), "high": [p.shape[2]] * len(p), "second": p[:, 1].max((1, 2))}, "image_id long, n int, high int, second double").collect()
+    assert sorted(map(tuple, found)) == [(1, 3, 2, 2.0), (2, 2, 3, 4.0), (3, 3, 2, 6.0), (4, 2, 3, 8.0), (5, 3, 2, 10.0)]
+
+
 def test_spectrum_of_a_constant():
     s = pixels.spectrum(np.ones((1, 8, 8)))
     assert s["low_ratio"] == pytest.approx(1) and s["centroid"] == pytest.approx(0, abs=1e-9)
