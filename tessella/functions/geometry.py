@@ -48,35 +48,45 @@ def spatial_features(width: str = "width", height: str = "height") -> dict[str,
     }
 
 
-def _ring_sum(ring: str, term: str) -> str:
-    """Sum of `term` over corners i and the next one, of n; the ring is closed."""
-    return f"aggregate(sequence(0, CAST(size({ring}) / 2 AS INT) - 1), 0D, (s, i) -> s + ({term}))".replace("NEXT", f"(i + 1) % CAST(size({ring}) / 2 AS INT)")
+def _of_ring(ring: str, body: str) -> str:
+    """SQL text of `body`, which names the ring _r: it is made once, however often the body reads it."""
+    return f"transform(array({ring}), _r -> {body})[0]"
+
+
+def _ring_sum(term: str) -> str:
+    """Sum of `term` over the places _i of the corners of _r and NEXT of the one after each; the ring is closed."""
+    return f"aggregate(sequence(0, size(_r) - size(_r) % 2 - 2, 2), 0D, (_s, _i) -> _s + ({term.replace('NEXT', 'IF(_i + 3 < size(_r), _i + 2, 0)')}))"
+
+
+#: Of a ring _r: its shoelace area, under three corners 0; its closed length, under two corners 0.
+_AREA = f"IF(size(_r) >= 6, abs({_ring_sum('_r[_i] * _r[NEXT + 1] - _r[NEXT] * _r[_i + 1]')}) / 2, 0D)"
+_LENGTH = f"IF(size(_r) >= 4, {_ring_sum('sqrt(power(_r[NEXT] - _r[_i], 2) + power(_r[NEXT + 1] - _r[_i + 1], 2))')}, 0D)"
 
 
 def polygon_area(ring: str) -> Column:
     """Shoelace area; under three corners 0."""
-    term = f"{ring}[2 * i] * {ring}[2 * (NEXT) + 1] - {ring}[2 * (NEXT)] * {ring}[2 * i + 1]"
-    return F.expr(f"IF(size({ring}) >= 6, abs({_ring_sum(ring, term)}) / 2, 0D)")
+    return F.expr(_of_ring(ring, _AREA))
 
 
 def polygon_perimeter(ring: str) -> Column:
     """Length of the closed ring; under two corners 0."""
-    term = f"sqrt(power({ring}[2 * (NEXT)] - {ring}[2 * i], 2) + power({ring}[2 * (NEXT) + 1] - {ring}[2 * i + 1], 2))"
-    return F.expr(f"IF(size({ring}) >= 4, {_ring_sum(ring, term)}, 0D)")
+    return F.expr(_of_ring(ring, _LENGTH))
 
 
 def segmentation_features(segmentation: str = "segmentation", box_area: str = "w * h") -> dict[str, Column]:
-    """Features of the first ring if it has three corners or more and an even length; else 0, 0, 1, 0, 0."""
-    ring = f"get({segmentation}, 0)"
-    good = f"size({segmentation}) > 0 AND size({ring}) >= 6 AND size({ring}) % 2 = 0"
-    a, p = polygon_area(ring), polygon_perimeter(ring)
-    ok = F.expr(f"coalesce({good}, false)")
+    """Features of the first ring if it has three corners or more and an even length; else 0, 0, 1, 0, 0.
+
+    All are read from one expression, which a projection works out once for a row.
+    """
+    good = "coalesce(size(_r) >= 6 AND size(_r) % 2 = 0, false)"
+    ring = F.expr(_of_ring(f"get({segmentation}, 0)", f"IF({good}, struct(size(_r) DIV 2 AS n, {_AREA} AS a, {_LENGTH} AS p), NULL)"))
+    n, a, p = (ring[c] for c in "nap")
     return {
-        "segmentation_points": F.when(ok, F.expr(f"CAST(size({ring}) / 2 AS INT)")).otherwise(0),
-        "segmentation_area": F.when(ok, a).otherwise(0.0),
-        "bbox_to_seg_ratio": F.when(ok & (a > 0), F.expr(box_area) / a).otherwise(1.0),
-        "segmentation_perimeter": F.when(ok, p).otherwise(0.0),
-        "segmentation_circularity": F.when(ok & (p > 0), 4 * F.pi() * a / (p * p)).otherwise(0.0),
+        "segmentation_points": F.coalesce(n.cast("int"), F.lit(0)),
+        "segmentation_area": F.when(n.isNotNull(), a).otherwise(0.0),
+        "bbox_to_seg_ratio": F.when(a > 0, F.expr(box_area) / a).otherwise(1.0),
+        "segmentation_perimeter": F.when(n.isNotNull(), p).otherwise(0.0),
+        "segmentation_circularity": F.when(p > 0, 4 * F.pi() * a / (p * p)).otherwise(0.0),
     }
 
 

@@ -169,6 +169,20 @@ def test_degenerate_boxes_and_rings(spark):
     assert {tuple(x) for x in got} == {(0, 0.0, 1.0, 0.0, 0.0)}
 
 
+def test_rings_are_made_once(spark):
+    rings = [[0.0, 0.0, 4.0, 0.0, 4.0, 3.0], [0.0, 0.0, 4.0, 0.0, 4.0, 3.0, 9.0], [1.0, 1.0, 4.0, 5.0], [1.0, 1.0], [0.0, 0.0, None, 0.0, 4.0, 3.0], None]
+    d = spark.createDataFrame([(i, r) for i, r in enumerate(rings)], "id int, ring array<double>")
+    got = d.select("id", G.polygon_area("ring").alias("a"), G.polygon_perimeter("ring").alias("p")).orderBy("id").collect()
+    assert [(r.a, r.p) for r in got] == [(6, 12), (6, 12), (0, 10), (0, 0), (None, None), (0, 0)]
+    features = d.select("id", *[c.alias(n) for n, c in G.segmentation_features("array(ring)", "12D").items()]).orderBy("id").collect()
+    none = (0, 0, 1, 0, 0)
+    assert [tuple(r)[1:] for r in features] == [(3, 6, 2, 12, pytest.approx(np.pi / 6)), none, none, none, (3, None, 1, None, 0), none]
+    # an interpreted function works out the ring wherever its text stands
+    made = lambda c: d.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString().count("reverse(")
+    assert [made(f("reverse(ring)")) for f in (G.polygon_area, G.polygon_perimeter)] == [1, 1]
+    assert max(made(c) for c in G.segmentation_features("array(reverse(ring))", "1D").values()) <= 4
+
+
 def test_transform_keypoints_needs_triplets(spark):
     d = spark.createDataFrame([([1.0, 2.0],)], "k array<double>").withColumn("m", F.expr("array(1D,0D,0D,0D,1D,0D,0D,0D,1D)"))
     with pytest.raises(Exception, match="triplets"):
