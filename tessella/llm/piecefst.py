@@ -322,7 +322,7 @@ class Transducer:
         self._beside: dict[int, bool] = {}
         self._passed: dict[int, list[tuple[float, int, int]]] = {}
         self._fallbacks: dict[str, tuple[int, tuple[int, ...]]] = {}
-        self._first, self._paths = _Paths(lambda part: self._shortest(self.normaliser.write(part))), _Paths(lambda part: self._shortest(self.normaliser.write(part, Spaces.BEGUN)))
+        self._first, self._paths = _Paths(lambda part: self._path(self.normaliser.write(part))), _Paths(lambda part: self._path(self.normaliser.write(part, Spaces.BEGUN)))
         # Without rules, where no piece has a space after another character, and none a line feed, all paths meet
         # before a space and at a line feed, and the normaliser is in one state there: such parts are composed alone.
         inner = any(SPACE in p.lstrip(SPACE) for p in own) or bool(model.rules) or model.squeeze
@@ -437,12 +437,57 @@ class Transducer:
             parts.append(ids)
         return [i for ids in reversed(parts) for i in ids]
 
+    def _straight(self, text: str) -> list[int] | None:
+        """`_shortest` for a BPE model while pieces will do; None where a character's bytes may be needed.
+
+        Pieces weigh nothing there, so that the search goes on from the state reached last and needs no
+        queue: the same states are reached in the same order.
+        """
+        n, at, last, beside, passed, found = len(text), 0, -1, self._beside.get, self._passed.get, []
+        steps, longest = self.lattice.arcs, self.lattice.longest
+        ends: set[int] = set()
+        left: list[tuple[int, int, Iterator[tuple[float, int, int]]]] = []
+        while at < n:
+            state = 0
+            for c in text[at : at + longest]:
+                if (step := steps[state].get(c)) is None:
+                    break
+                state = step
+            arcs = iter(passed(state) or self._arcs(text, at))
+            while True:
+                for _, size, k in arcs:
+                    if k < 0:
+                        return None
+                    # merging gives a beginning of the text one path only, so that a place reached has no second state
+                    if at + size in ends:
+                        continue
+                    fits = beside(last << 32 | k)
+                    if fits or fits is None and self._stays(last, k):
+                        break
+                else:
+                    if not left:
+                        return None
+                    at, last, arcs = left.pop()
+                    found.pop()
+                    continue
+                break
+            left.append((at, last, arcs))
+            found.append(k)
+            at, last = at + size, k
+            ends.add(at)
+        return found
+
+    def _path(self, text: str) -> list[int]:
+        """Ids of a normalised text."""
+        path = self._straight(text) if self.model.kind == BPE else None
+        return self._shortest(text) if path is None else path
+
     def packed(self, text: str | None) -> bytes:
         """Ids of the whole text as int32 in native order; none for null or empty text."""
         if not text:
             return b""
         if self._cut is None or not self.byte_ids and "\n" in text:
-            return array("i", self._shortest(self.normaliser.write(text))).tobytes()
+            return array("i", self._path(self.normaliser.write(text))).tobytes()
         first, *rest = self._cut.findall(text)
         paths = self._paths
         ids = self._first[first] + b"".join([paths[part] for part in rest])

@@ -945,3 +945,19 @@ def test_a_very_long_text_is_encoded_whole():
     rng = random.Random(28)
     text = prose(rng, 100_000, ["word", "wörd", "日本", "x\n\ny", "a" * 70, "▁"])
     assert fst.encode(text) == sentencepiece.SentencePieceProcessor(model_file=piecefst.MODEL_FILE).encode(text)
+
+
+def test_bpe_paths_need_no_queue(monkeypatch):
+    fst = piecefst.Transducer(piecefst.Model.parse(open(piecefst.MODEL_FILE, "rb").read()))
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("aeinrst\u2581 .,-'0123\u00e9\u4e2d\ue123ABZ"), 30)) for _ in range(300)] + ["", "x" * 200, "\u2581" * 9, "a\ue123", "unbelievably un\u00e9"]
+    texts = [fst.normalise(t) for t in texts]
+    straight = [fst._straight(t) for t in texts]
+    assert all(s is None or s == fst._shortest(t) for s, t in zip(straight, texts, strict=True))
+    assert [fst._path(t) for t in texts] == [fst._shortest(t) for t in texts]
+    # bytes are left to the weighted search
+    assert straight[-2] is None and straight[-1] and sum(map(bool, straight)) > 20
+    want = fst.encode("The unbelievable story of re-entered words")
+    monkeypatch.setattr(piecefst, "heappushpop", None)
+    monkeypatch.setattr(piecefst, "heappop", None)
+    assert piecefst.Transducer(fst.model).encode("The unbelievable story of re-entered words") == want
